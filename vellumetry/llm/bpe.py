@@ -6,7 +6,8 @@ boundary.  `sufficient_lookahead` computes it from the merges; `StreamingEncoder
 keeping only the bytes of an unfinished character.
 
 Defined cases: null text counts as empty and gives no ids; repeated rows are encoded each; columns of other names are
-carried along, and clashing names (token_ids, decoded) are replaced; an empty table gives an empty table.
+carried along, and clashing names (token_ids, decoded) are replaced; an empty table gives an empty table.  Characters
+that Python's Unicode data doesn't know yet count as neither letters nor numbers.
 """
 
 from __future__ import annotations
