@@ -124,13 +124,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return written(e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(tops), "components")
 
 
-def links_in_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def links_in_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], limits: Callable[[DataFrame], DataFrame] | None = None, possible: str = "true") -> tuple[DataFrame, DataFrame]:
     """Components of the links among nodes that share a block, without listing the pairs of a block.
 
     members: (block, node), distinct.  verify: candidate pairs (a, b), a < b -> those that are links.
     1. Star: the nodes of a block against its smallest node.  2. What is then still apart inside a block: the nodes
     outside the block's largest component against the block's nodes of other components.  Pairs inside one component
-    can't change a component, so nothing is lost.  Returns (node, component) and the links found.
+    can't change a component, so nothing is lost.  limits: nodes still apart (node) -> figures of theirs (node, limit, a
+struct); possible: SQL over the limits lx and ly of two nodes, false only where the two can't be a link; such pairs
+never become rows.  Returns (node, component) and the links found.
     """
     first = members.groupBy("block").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     first = written(first.select("block", "a"), "blocks")
@@ -144,8 +146,12 @@ def links_in_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     split = sizes.groupBy("block").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     split = written(split.select("block", F.col("most.c").alias("largest")), "split")
     apart = written(own.join(split, "block").select("block", "node", "c", (F.col("c") == F.col("largest")).alias("in_largest")), "apart")
-    few = apart.where("not in_largest").select("block", F.col("node").alias("x"), F.col("c").alias("cx"))
-    rest = few.join(apart, "block").where("c <> cx and (in_largest or x < node)")
+    if limits:
+        apart = written(apart.join(limits(apart.select("node").distinct()), "node"), "apart")
+    else:
+        apart = apart.withColumn("limit", F.lit(0))
+    few = apart.where("not in_largest").select("block", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("limit").alias("lx"))
+    rest = few.join(apart.withColumnRenamed("limit", "ly"), "block").where(f"c <> cx and (in_largest or x < node) and ({possible})")
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     more = written(verify(rest), "links")
     dropped(first, shared, own, split)

@@ -127,13 +127,17 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def only(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents with these ids."""
+    if ids.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    return documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+
+
 def with_texts(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """Add ta and tb to pairs (a, b) of doc_ids.  Only texts that pairs need are shuffled, if their ids are few enough
     to broadcast; else documents and ids meet in a shuffle join."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if needed.count() <= MOST_BROADCAST:
-        needed = F.broadcast(needed)
-    texts = documents.select("doc_id", "text").join(needed, "doc_id", "left_semi")
+    texts = only(documents, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     first = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return first.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
@@ -149,6 +153,29 @@ def verifier(reps: DataFrame, documents: DataFrame) -> Callable[[DataFrame], Dat
     return verify
 
 
+#: Of two linked sets the intersection is at least 3/7 of the sum of the sizes, and at most either size or the number
+#: of elements of one that any other set has.
+POSSIBLE = "7 * least(lx.shared, ly.shared) >= 3 * (lx.size + ly.size)"
+
+
+def shared_counts(documents: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """For links_in_blocks: of each node's shingles, how many there are and how many any other of the nodes has."""
+
+    def make():
+        memo = _Words()
+        return lambda rows: ((shingles(t, memo).view(np.int64).tolist(),) for (t,) in rows)
+
+    def limits(nodes: DataFrame) -> DataFrame:
+        texts = only(documents, nodes.withColumnRenamed("node", "doc_id")).dropDuplicates(["doc_id"])
+        each = map_columns(texts, ["text"], ["doc_id"], make, "elements array<long>")
+        each = written(each.select(F.col("doc_id").alias("node"), F.explode("elements").alias("element")), "elements")
+        common = each.groupBy("element").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("element", F.lit(1).alias("shared"))
+        counted = each.join(written(common, "shared"), "element", "left").groupBy("node").agg(F.count("*").alias("size"), F.count("shared").alias("shared"))
+        return counted.select("node", F.struct("size", "shared").alias("limit"))
+
+    return limits
+
+
 def components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents(doc_id, text)."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -156,7 +183,7 @@ def components(documents: DataFrame) -> DataFrame:
     classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("blocks").alias("blocks"))
     reps = written(classes, "classes")
     members = reps.select(F.explode("blocks").alias("block"), F.col("rep").alias("node"))
-    found, _ = links_in_blocks(members, verifier(reps, documents))
+    found, _ = links_in_blocks(members, verifier(reps, documents), shared_counts(documents), POSSIBLE)
     of_class = reps.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class_component"))
     of_class = written(of_class, "class-components")
     joined = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
