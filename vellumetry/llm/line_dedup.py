@@ -62,36 +62,33 @@ def within_edits(a: Column, b: Column, tau: int = TAU) -> Column:
     text = F.when(F.char_length(a) >= F.char_length(b), b).otherwise(a)
     width = 2 * tau + 2
     full, top = (1 << width) - 1, 1 << (width - 1)
-    size = lambda s: F.char_length(s).cast("long")
-
-    def step(s: Column, c: Column) -> Column:
-        """s: p (characters of the pattern), m (its length), j, vp, vn, dist.  c: the text's character j."""
-        eq = F.lit(0).cast("long")
-        for k in range(width):  # bit k: pattern character j - tau - 1 + k, from 0
-            at = s["j"] - (tau + 1) + k
-            eq = eq + F.when((at >= 0) & (F.get(s["p"], at.cast("int")) == c), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-        return F.struct(s["p"].alias("p"), s["m"].alias("m"), s["j"].alias("j"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["dist"].alias("dist"), eq.alias("eq"))
-
-    def diagonal(s: Column) -> Column:
-        d0 = ((((s["eq"].bitwiseAND(s["vp"])) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(s["eq"]).bitwiseOR(s["vn"])).bitwiseAND(full)
-        return F.struct(s["p"].alias("p"), s["m"].alias("m"), s["j"].alias("j"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["dist"].alias("dist"), d0.alias("d0"))
-
-    def deltas(s: Column) -> Column:
-        hp = s["vn"].bitwiseOR(F.bitwise_not(s["d0"].bitwiseOR(s["vp"]))).bitwiseAND(full)
-        hn = s["d0"].bitwiseAND(s["vp"])
-        low = s["j"] + tau < s["m"]  # the lowest diagonal is still inside the pattern
-        last = F.call_function("shiftleft", F.lit(1).cast("long"), (s["m"] - s["j"] + tau).cast("int"))  # the bit of the last row's character
+    long = lambda n: F.lit(n).cast("long")
+    characters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    edge = F.array_repeat(F.lit(""), tau + 1)
+    around, n = F.concat(edge, characters(pattern), edge), F.char_length(text)
+
+    # bit k of an element: the text's character j equals the pattern's character j - tau - 1 + k, from 0
+    marks = F.transform(F.sequence(F.lit(1), n), lambda _: long(0))
+    for k in reversed(range(width)):
+        same = F.zip_with(characters(text), F.slice(around, F.lit(k + 1), n), lambda x, y: F.when(x == y, long(1)).otherwise(long(0)))
+        marks = F.zip_with(marks, same, lambda m, e: F.shiftleft(m, 1).bitwiseOR(e))
+    marks = F.when(n > 0, marks).otherwise(F.array().cast("array<bigint>"))
+
+    def step(s: Column, eq: Column) -> Column:
+        d0 = ((eq.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(eq).bitwiseOR(s["vn"]).bitwiseAND(full)
+        hp = s["vn"].bitwiseOR(F.bitwise_not(d0.bitwiseOR(s["vp"]))).bitwiseAND(full)
+        hn = d0.bitwiseAND(s["vp"])
+        last = F.call_function("shiftleft", long(1), s["left"] + tau)  # the bit of the last row's character
         along = F.when(hp.bitwiseAND(last) != 0, 1).when(hn.bitwiseAND(last) != 0, -1).otherwise(0)
-        dist = s["dist"] + F.when(low, (s["d0"].bitwiseAND(top) == 0).cast("int")).otherwise(along)
-        half = F.shiftright(s["d0"], 1)
+        dist = s["dist"] + F.when(s["left"] > tau, (d0.bitwiseAND(top) == 0).cast("int")).otherwise(along)
+        half = F.shiftright(d0, 1)
         vp = hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp))).bitwiseAND(full)
-        vn = half.bitwiseAND(hp)
-        return F.struct(s["p"].alias("p"), s["m"].alias("m"), (s["j"] + 1).alias("j"), vp.alias("vp"), vn.alias("vn"), dist.alias("dist"))
+        done = F.struct((s["left"] - 1).alias("left"), vp.alias("vp"), half.bitwiseAND(hp).alias("vn"), dist.alias("dist"))
+        return F.when(s["dist"] > 2 * tau, s).otherwise(done)  # at most tau of it can be won back at the end
 
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    begin = F.struct(F.filter(F.split(pattern, ""), lambda c: c != "").alias("p"), size(pattern).alias("m"), F.lit(0).cast("long").alias("j"), F.lit(full & ~((1 << (tau + 1)) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(tau).alias("dist"))
-    walked = F.aggregate(chars, begin, lambda s, c: F.element_at(F.transform(F.transform(F.array(step(s, c)), diagonal), deltas), 1))
-    return (size(pattern) - size(text) <= tau) & (walked["dist"] <= tau)
+    begin = F.struct(F.char_length(pattern).alias("left"), long(full & ~((1 << (tau + 1)) - 1)).alias("vp"), long(0).alias("vn"), F.lit(tau).alias("dist"))
+    walked = F.aggregate(marks, begin, step)
+    return (F.abs(F.char_length(a) - F.char_length(b)) <= tau) & (walked["dist"] <= tau)
 
 
 def verifier(documents: DataFrame, tau: int):
