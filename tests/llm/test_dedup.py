@@ -149,6 +149,18 @@ def test_banded_distance(spark, tau):
         assert got[k] == (distance(a, b) <= tau), (a, b)
 
 
+def test_bigram_parity_bounds_the_distance(spark):
+    rnd = random.Random(9)
+    rows = []
+    for k in range(400):
+        a = "".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 60)))
+        n = rnd.randint(0, 3)
+        rows.append((k, a, edited(rnd, a, n) or "a", n))
+    df = spark.createDataFrame(rows, "k int, a string, b string, n int")
+    flips = df.select("n", F.bit_count(line_dedup.bigram_parity(F.col("a")).bitwiseXOR(line_dedup.bigram_parity(F.col("b")))).alias("flips")).collect()
+    assert all(r.flips <= 4 * r.n for r in flips)
+
+
 def brute_lines(docs):
     """doc_id -> text with all lines but the first of each class removed."""
     lines = [(i, k, line.strip(" ")) for i, t in sorted(docs, key=lambda d: d[0]) if t for k, line in enumerate(t.split("\n")) if re.search(r"[^ \t\n\x0B\f\r]", line.strip(" "))]

@@ -107,6 +107,37 @@ def verifier(documents: DataFrame, tau: int):
     return verify
 
 
+def bigram_parity(line: Column) -> Column:
+    """A bit for each of 64 classes of bigrams: whether the line has an odd number of them.  One edit takes away at most
+    two bigrams and brings at most two, so it flips at most four bits, and lines within tau edits differ in at most
+    4 * tau."""
+    chars = F.filter(F.split(line, ""), lambda c: c != "")
+    one = F.lit(1).cast("long")
+    bits = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.lit(0), F.size(chars) - 1)), lambda x, y: F.call_function("shiftleft", one, F.pmod(F.hash(x, F.coalesce(y, F.lit(""))), F.lit(64))))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseXOR(b))
+
+
+def possible(tau: int) -> str:
+    """The last character counts as a bigram of its own, so an edit at the end is covered by the same four bits."""
+    return f"coalesce(bit_count(lx.parity ^ ly.parity) <= {4 * tau}, true) and abs(lx.size - ly.size) <= {tau}"
+
+
+def line_limits(documents: DataFrame):
+    """For links_in_blocks: size and bigram parity of each line, the parity null where an id stands for two lines."""
+
+    def limits(nodes: DataFrame) -> DataFrame:
+        needed = nodes.withColumnRenamed("node", "lid")
+        if needed.count() <= MOST_BROADCAST:
+            needed = F.broadcast(needed)
+        texts = lines(documents).select(F.xxhash64("line").alias("lid"), "line").join(needed, "lid", "left_semi")
+        each = texts.groupBy("lid", F.md5("line").alias("digest")).agg(F.first("line").alias("line"))
+        each = each.select("lid", F.char_length("line").alias("size"), bigram_parity(F.col("line")).alias("parity"))
+        one = each.groupBy("lid").agg(F.min("size").alias("size"), F.min("parity").alias("parity"), F.count("*").alias("n"))
+        return one.select(F.col("lid").alias("node"), F.struct("size", F.when(F.col("n") == 1, F.col("parity")).alias("parity")).alias("limit"))
+
+    return limits
+
+
 def repeated_lines(documents: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, place: the lines to remove."""
     every = lines(documents)
@@ -114,7 +145,7 @@ def repeated_lines(documents: DataFrame, tau: int = TAU, least_chars: int = LEAS
     size = F.char_length("line")
     long_lines = every.where(size >= least_chars)
     members = long_lines.select(F.explode(segment_keys(F.col("line"), size, tau)).alias("block"), F.xxhash64("line").alias("node"))
-    found, _ = links_in_blocks(members, verifier(documents, tau))
+    found, _ = links_in_blocks(members, verifier(documents, tau), line_limits(documents), possible(tau))
     first = ids.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"), F.min("lid").alias("lid"))
     classed = written(first.join(found.withColumnRenamed("node", "lid"), "lid", "left"), "line-classes")
     near = classed.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
