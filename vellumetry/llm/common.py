@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_FOLDER: list[str] = []
+#: Blocks with more than one node (16 bytes each) are broadcast up to so many, counted first; more are joined by shuffling.
+MOST_BROADCAST = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -136,11 +138,13 @@ never become rows.  Returns (node, component) and the links found.
     """
     first = members.groupBy("block").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     first = written(first.select("block", "a"), "blocks")
-    pairs = members.join(first, "block").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    few_blocks = first.count() <= MOST_BROADCAST
+    pairs = members.join(F.broadcast(first) if few_blocks else first, "block").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = written(verify(pairs), "links")
     found = connected_components(links)
 
-    shared = written(members.join(first.select("block"), "block", "left_semi"), "shared")
+    blocks = first.select("block")
+    shared = written(members.join(F.broadcast(blocks) if few_blocks else blocks, "block", "left_semi"), "shared")
     own = written(shared.join(found, "node", "left").select("block", "node", F.coalesce("component", "node").alias("c")), "own")
     sizes = own.groupBy("block", "c").agg(F.count("*").alias("n"))
     split = sizes.groupBy("block").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
