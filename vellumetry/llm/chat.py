@@ -58,10 +58,10 @@ def jump_tables(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             break
         out.append(jumps.select("tree_id", "node", "up"))
         above = level.select("tree_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("n").alias("n2"))
-        level = written(
-            level.join(above, ["tree_id", "up"], "left").select("tree_id", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("n2", F.lit(0).cast("long"))).alias("n")),
-            "jumps",
-        )
+        # only messages that haven't met their root are joined, so that short trees don't pay for the rounds of long ones
+        moved = level.where("up is not null").join(above, ["tree_id", "up"])
+        moved = moved.select("tree_id", "node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("n") + F.col("n2")).alias("n"))
+        level = written(moved.unionByName(level.where("up is null")), "jumps")
     rooted = level.where("up is null").select("tree_id", "node", (F.col("total") / F.col("n")).alias("score"), "n")
     return out, rooted
 
