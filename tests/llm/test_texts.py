@@ -294,3 +294,24 @@ def test_template_without_an_article_element(spark):
     out = {r.page_id: r.text for r in html_extract.texts(df).collect()}
     assert out[3] == "Text 3 of the page, long enough.\nMore 21" and out[100] == "" and out[101] == "alone"
     assert html_extract.texts(df.where("false")).collect() == []
+
+
+def test_the_template_decides_where_pages_have_article_elements(spark):
+    """The story sits in a div, cards elsewhere are article elements; a text repeated inside the story is template."""
+    card = "<div class=list><article class=card><h3>Card {0}</h3></article><article class=card><h3>Another card {0}</h3></article></div>"
+    page = "<html><body><div class=story><h1>Title {0}</h1><p>The long story of the page with number {0}, told at length.</p><p>Read with care.</p></div>" + card + "</body></html>"
+    wide = "<html><body><main><h1>Title {0}</h1><div class=body><p>The long story of the page with number {0}, told at length.</p><p>Care <b>is</b> {0}</p></div>" + card + "</main></body></html>"
+    rows = [(k, f"http://a.example/{k}", page.format(k)) for k in range(6)] + [(10 + k, f"http://b.example/{k}", wide.format(k)) for k in range(6)]
+    out = {r.page_id: r.text for r in html_extract.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[2] == "Title 2\nThe long story of the page with number 2, told at length."
+    assert out[13] == "Title 3\nThe long story of the page with number 3, told at length.\nCare is 3"
+
+
+def test_large_templates_stay_whole(spark, monkeypatch):
+    """More than 200 tokens in a host's template, joined by shuffling as by broadcast."""
+    menu = "".join(f"<div class=m{k}>Entry {k}</div>" for k in range(300))
+    rows = [(k, f"http://h.example/{k}", f"<html><body>{menu}<div class=c><p>Text {k}.</p><p>More {k * 7}</p></div></body></html>") for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (html_extract.MOST_BROADCAST, 0):
+        monkeypatch.setattr(html_extract, "MOST_BROADCAST", most)
+        assert {r.page_id: r.text for r in html_extract.texts(df).collect()}[3] == "Text 3.\nMore 21"

@@ -6,11 +6,12 @@ is summed into a commutative hash, so vectors of any length are compared by one
 host with a third of all pages is no hot task.  Tokens of one vector and enough support form an equivalence class;
 a class is valid if its elements nest, and the valid classes, nested by path, are the host's template.
 
-Pass 2 matches pages against their host's template.  Template elements bound the slots; the slot that holds the
-article is extracted: the content of `article` or `main` if the template (or the page) has it, else the slot under the
-template element with the most text outside links.  Regions that are furniture by kind (navigation, header, footer,
-sidebar, notice, advert, form, script, style, comments by readers) never count, nor do, outside an article element, text
-nodes that the template holds.  Hosts with fewer than LEAST_PAGES pages have no template and rest on the page alone.
+Pass 2 matches pages against their host's template, on every page.  Template elements bound the slots; the innermost one
+with more than half of the text outside links is the region.  An `article` or `main` element only adjusts it: the region
+becomes the deepest one with more than half of its text (its heading often stands beside the slot), less articles beside
+the slot.  Regions that are furniture by kind (navigation, header, footer, sidebar, notice, advert, form, script, style,
+comments by readers) never count, nor does text that the template holds: single nodes outside article elements, whole
+blocks inside.  Hosts with fewer than LEAST_PAGES pages have no template and rest on the page's article elements alone.
 
 Defined cases: null or empty html, and pages without text, give an empty text; a null url is a host of its own; repeated
 rows are extracted each; broken markup is read to its end, an unclosed comment, script or tag swallowing the rest;
@@ -32,14 +33,16 @@ from pyspark.sql import functions as F
 from vellumetry.llm.common import map_columns, small_batches, written
 
 LEAST_PAGES, TEXT_SUPPORT, DEEPEST = 3, 0.5, 12
-#: Hosts' templates are broadcast up to so many hosts of at most MOST_TOKENS tokens; more are joined by shuffling.
-MOST_BROADCAST, MOST_TOKENS = 5_000, 200
+#: Hosts' templates are broadcast up to so many bytes together; more are joined by shuffling.  Bytes of templates in a batch.
+MOST_BROADCAST, BATCH_BYTES = 32_000_000, 64_000_000
 
 # Element names by their role, from the public HTML standard.  Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noframes noembed xmp textarea title svg math object".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button select figcaption head".split()) | RAW
 MAIN = frozenset("article main".split())
+#: Elements that can bound a slot.
+HOLDERS = frozenset("article body center dd details div dl html main ol section table tbody td tr ul".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -132,26 +135,29 @@ class Walk:
 
     def __init__(self, page: str):
         self.elements: Counter[str] = Counter()
-        #: (text, path, in furniture, in article, in a link, number of the block)
-        self.nodes: list[tuple[str, str, bool, bool, bool, int]] = []
+        #: (text, path, in furniture, numbers of the article and main elements around it, in a link, number of the block)
+        self.nodes: list[tuple[str, str, bool, tuple[int, ...], bool, int]] = []
+        #: the name of each article or main element
+        self.areas: list[str] = []
         stack: list[tuple[str, str, bool]] = []  # name, path, furniture
         opened: Counter[str] = Counter()
         self.has_article = False
-        skip = article = link = block = 0
+        skip = link = block = 0
+        around: tuple[int, ...] = ()
 
         def pop() -> None:
-            nonlocal skip, article, link, block
+            nonlocal skip, around, link, block
             name, _, out = stack.pop()
             opened[name] -= 1
             skip -= out
-            article -= name in MAIN
+            around = around[:-1] if name in MAIN else around
             link -= name == "a"
             block += name in BLOCK
 
         for kind, data, attributes in tokens(page):
             if kind == "text":
                 if data and (stack or not data.isspace()):
-                    self.nodes.append((data, stack[-1][1] if stack else "", skip > 0, article > 0, link > 0, block))
+                    self.nodes.append((data, stack[-1][1] if stack else "", skip > 0, around, link > 0, block))
             elif kind == "open":
                 if data in CLOSES_P and opened["p"]:
                     while stack and opened["p"] and stack[-1][0] not in ("td", "th", "button"):
@@ -164,8 +170,8 @@ class Walk:
                             break
                 block += data in BLOCK
                 if data == "br":
-                    self.nodes.append((" ", stack[-1][1] if stack else "", skip > 0, article > 0, link > 0, block))
-                out = furniture(data, attributes) and not (data == "header" and article > 0)
+                    self.nodes.append((" ", stack[-1][1] if stack else "", skip > 0, around, link > 0, block))
+                out = furniture(data, attributes) and not (data == "header" and around)
                 path = (stack[-1][1] if stack else "") + ">" + data + _class(attributes)
                 if len(stack) < DEEPEST:
                     self.elements[path] += 1
@@ -176,7 +182,9 @@ class Walk:
                 stack.append((data, path, out))
                 opened[data] += 1
                 skip += out
-                article += data in MAIN
+                if data in MAIN:
+                    around = (*around, len(self.areas))
+                    self.areas.append(data)
                 link += data == "a"
                 self.has_article = self.has_article or data in MAIN and skip == 0
             elif opened[data] > 0:
@@ -198,15 +206,15 @@ def _digest(text: str) -> int:
 
 
 def page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, token, page, n: the structural tokens of each page outside its articles, text nodes by digest."""
+    """host, token, page, n: the structural tokens of each page, text nodes by digest."""
     for batch in batches:
         rows = []
         for page_id, url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             walk = Walk(page or "")
             host, page_key = host_of(url), _digest(str(page_id))
             found: Counter[str] = Counter(walk.elements)
-            for text, path, out, article, _, _ in walk.nodes:
-                if not out and not article and (t := " ".join(text.split())):
+            for text, path, out, _, _, _ in walk.nodes:
+                if not out and (t := " ".join(text.split())):
                     found[f"{path}|{_digest(t):x}"] += 1
             rows += [(host, token, _digest(f"{page_key}:{n}"), n) for token, n in found.items()]
         columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -215,15 +223,20 @@ def page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def nested(classes: list[tuple[list[str], int, int]]) -> list[dict]:
     """Keep the valid classes: those whose element paths lie on chains below one common element; parents first."""
-    out = []
+    out: list[dict] = []
+    class_of: dict[str, int] = {}
     for members, pages, total in sorted(classes, key=lambda c: (-c[1], min(map(len, c[0])))):
         elements = sorted((m for m in members if "|" not in m), key=len)
         root = elements[0] if elements else ""
         below = root.rsplit(">", 1)[0]
         if elements and not all(e.startswith(below) for e in elements):
             continue
-        parents = [k for k, c in enumerate(out) if any(below.startswith(e) for e in c["elements"])]
-        out.append({"elements": elements, "texts": [m for m in members if "|" in m], "once": total == pages, "parent": parents[-1] if parents else -1})
+        parent = -1
+        while below:
+            parent = max(parent, class_of.get(below, -1))
+            below = below.rpartition(">")[0]
+        class_of.update(dict.fromkeys(elements, len(out)))
+        out.append({"elements": elements, "texts": [m for m in members if "|" in m], "once": total == pages, "parent": parent})
     return out
 
 
@@ -241,12 +254,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def build(value: list) -> str:
         found = sorted(((list(c["members"]), c["pages"], c["total"]) for c in value), key=lambda c: (-c[1], -len(c[0]), c[0]))
-        kept, room = [], MOST_TOKENS
-        for c in found:
-            if len(c[0]) <= room:
-                kept.append(c)
-                room -= len(c[0])
-        return json.dumps(nested(kept))
+        return json.dumps(nested(found))
 
     return map_columns(by_host, ["classes"], ["host"], lambda: lambda rows: ((build(c),) for (c,) in rows), "template string")
 
@@ -257,13 +265,10 @@ def extract(page: str | None, template: list[dict] | None) -> str:
         return ""
     walk = Walk(page)
     nodes = [x for x in walk.nodes if not x[2]]
-    if walk.has_article:
+    if template:
+        nodes = _region(_unheld(nodes, {t for c in template for t in c["texts"]}), {e for c in template if c["once"] for e in c["elements"]}, walk.areas)
+    elif walk.has_article:
         nodes = [x for x in nodes if x[3]]
-    elif template:
-        held = {t for c in template for t in c["texts"]}
-        nodes = [x for x in nodes if not held or f"{x[1]}|{_digest(' '.join(x[0].split())):x}" not in held]
-        slots = {e for c in template if c["once"] for e in c["elements"]}
-        nodes = _best_slot(nodes, slots)
     out: list[str] = []
     block, parts = None, []
     for text, _, _, _, _, k in [*nodes, ("", "", False, False, False, -1)]:
@@ -276,30 +281,55 @@ def extract(page: str | None, template: list[dict] | None) -> str:
     return "\n".join(out)
 
 
-def _best_slot(nodes: list, slots: set[str]) -> list:
-    """The text below the innermost template element that holds more than half of the text outside links."""
+def _unheld(nodes: list, held: set[str]) -> list:
+    """The nodes without text that the template holds: single nodes outside article elements, whole blocks inside."""
+    if not held:
+        return nodes
+    own = [bool(t := " ".join(x[0].split())) and f"{x[1]}|{_digest(t):x}" not in held for x in nodes]
+    blocks = {x[5] for x, o in zip(nodes, own, strict=True) if o}
+    return [x for x, o in zip(nodes, own, strict=True) if o or (x[5] in blocks if x[3] else x[0].isspace())]
+
+
+def _size(node: tuple) -> int:
+    return 0 if node[4] else len(node[0].strip())
+
+
+def _region(nodes: list, slots: set[str], areas: list[str]) -> list:
+    """The text below the innermost template element that holds more than half of the text outside links, adjusted to the
+    article or main element that holds more than half of that."""
     weight: Counter[str] = Counter()
     total = 0
-    for text, path, _, _, link, _ in nodes:
-        size = 0 if link else len(text.strip())
+    for x in nodes:
+        path, size = x[1], _size(x)
         total += size
         while path:
-            if path in slots:
+            if path in slots and path.rpartition(">")[2].partition(".")[0] in HOLDERS:
                 weight[path] += size
             path = path.rpartition(">")[0]
     good = [p for p, w in weight.items() if 2 * w > total]
-    if not good:
-        return nodes
-    best = max(good, key=lambda p: (p.count(">"), p))
-    return [x for x in nodes if x[1] == best or x[1].startswith(best + ">")]
+    best = max(good, key=lambda p: (p.count(">"), p)) if good else ""
+    inside = [not best or x[1] == best or x[1].startswith(best + ">") for x in nodes]
+    of_area: Counter[int] = Counter()
+    total = 0
+    for x, i in zip(nodes, inside, strict=True):
+        if i:
+            total += _size(x)
+            of_area.update(dict.fromkeys(x[3], _size(x)))
+    big = [k for k, w in of_area.items() if 2 * w > total]
+    if not big:
+        return [x for x, i in zip(nodes, inside, strict=True) if i]
+    area = max(big, key=lambda k: (areas[k] == "article", k))
+    return [x for x, i in zip(nodes, inside, strict=True) if area in x[3] and (i or all(areas[k] == "main" for k in x[3][x[3].index(area) + 1 :]))]
 
 
 def main_texts(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Add text, the main text of html."""
     host = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), r"^[^/]*//", ""), r"(?s)[/?#].*$", ""))
     of_host = written(templates(pages), "templates")
-    if of_host.count() <= MOST_BROADCAST:
+    bytes_of = of_host.agg(F.sum(F.octet_length("template")), F.max(F.octet_length("template"))).first()
+    if (bytes_of[0] or 0) <= MOST_BROADCAST:
         of_host = F.broadcast(of_host)
+    small_batches(pages.sparkSession, max(1, min(1000, BATCH_BYTES // (bytes_of[1] or 1))))
     joined = pages.withColumn("page_host", host).join(of_host.withColumnRenamed("host", "page_host"), "page_host", "left")
 
     def make():
@@ -307,7 +337,7 @@ def main_texts(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
         def one(page: str | None, template: str | None) -> str:
             if template is not None and template not in parsed:
-                if len(parsed) > 1000:
+                if sum(map(len, parsed)) > BATCH_BYTES:
                     parsed.clear()
                 parsed[template] = json.loads(template)
             return extract(page, parsed.get(template))
