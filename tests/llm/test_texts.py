@@ -315,3 +315,11 @@ def test_large_templates_stay_whole(spark, monkeypatch):
     for most in (html_extract.MOST_BROADCAST, 0):
         monkeypatch.setattr(html_extract, "MOST_BROADCAST", most)
         assert {r.page_id: r.text for r in html_extract.texts(df).collect()}[3] == "Text 3.\nMore 21"
+
+
+@pytest.mark.parametrize("iban, after", [("AT61 1904 3002 3457 3201", " BIC BKAUATWW"), ("ES9121000418450200051332", " EUR 20"), ("BE68 5390 0754 7034", " BIC"), ("BE68 5390 0754 7034", " INFO MORE TEXT HERE"), ("GB82 WEST 1234 5698 7654 32", " A1")])
+def test_account_numbers_before_capitals_or_numbers(iban, after):
+    for before in ("IBAN ", "ACCOUNT AB13 3456 7890 "):
+        text = before + iban + after
+        assert pii.spans_of(text)[1] == [(len(before), "iban", len(before) + len(iban))]
+        assert pii.masked(text) == before + "<IBAN>" + after
