@@ -221,3 +221,24 @@ def test_cuts_resist_shifts():
     assert {x for x in a if x < 980} == {x for x in b if x < 980}
     assert {x + 8 for x in a if x > 1100} == {x for x in b if x > 1108}
     assert np.diff(sorted(b), prepend=0).max() <= substring.LONGEST
+
+
+@pytest.mark.parametrize("low_variety", [False, True])
+def test_passages_just_over_the_bound(spark, low_variety):
+    """Passages of 51 words, or of 100 that mostly repeat one word, between unrelated contexts: all are found, whole."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    rows, where = [], {}
+    for k in range(300):
+        common = word()
+        passage = " ".join(common if low_variety and rnd.random() < 0.8 else word() for _ in range(100 if low_variety else 51))
+        for doc in (k, 1000 + k):
+            before, after = (" ".join(word() for _ in range(60)) for _ in range(2))
+            rows.append((doc, f"{before} {passage} {after}"))
+            where[doc] = (len(before) + 1, len(before) + 1 + len(passage))
+    found = {r.doc_id: r for r in substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k in range(1000, 1300) if k not in found] == [] and min(found) == 1000
+    texts = dict(rows)
+    for k, r in found.items():
+        assert r.span_start <= where[k][0] and r.span_end >= where[k][1] and r.source_doc_id == k - 1000
+        assert texts[k][r.span_start : r.span_end] in texts[k - 1000]

@@ -2,10 +2,11 @@
 
 A gear rolling hash over the last 16 bytes picks cut points from the content alone, so an insertion moves no cut
 further than its neighbourhood: a position is a cut if its hash has SHIFT zero top bits and no other such position
-lies within the SHORTEST bytes before it.  Stretches without any are cut every LONGEST bytes.  Chunks are deduplicated by
-digest across documents; chunks in a row that also occur in a document of smaller id form a repeated span, and spans of
-LEAST_WORDS words or more are reported or removed.  A passage loses up to a chunk or two at either end, so that a
-repeated passage of over 50 words shows as a span of at least about 30.
+lies within the SHORTEST bytes before it.  Longer stretches are cut at the least hash of each next LONGEST bytes, so that
+text of low variety falls into step as well.  Chunks are deduplicated by digest across documents; runs of chunks that also
+occur in documents of smaller id, CANDIDATE_WORDS words or more, are candidates.  Each is extended character by character
+against the texts of its chunks' owners, to whole words; what overlaps is one span, and spans of LEAST_WORDS words or more
+are reported or removed.
 
 Hot passages: a digest meets its documents in a join of two tables, which adaptive execution can split; per digest only
 the smallest and largest doc_id are kept, by partial aggregation.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vellumetry.llm.common import map_columns, small_batches, written
 
-SHIFT, SHORTEST, LONGEST, LEAST_WORDS, SEED = 4, 12, 256, 30, 7
+SHIFT, SHORTEST, LONGEST, CANDIDATE_WORDS, LEAST_WORDS, SEED = 4, 12, 64, 8, 51, 7
 CHUNKS = "digest long, doc_id long, place long, extent long"
 
 
@@ -45,8 +46,16 @@ def cuts(data: np.ndarray, gear: np.ndarray) -> np.ndarray:
     at = at[np.diff(at, prepend=-SHORTEST) >= SHORTEST]
     at = np.concatenate([at[at < n], [n]])
     gaps = np.diff(at, prepend=0)
-    if gaps.max() > LONGEST:
-        at = np.concatenate([np.append(np.arange(b - g + LONGEST, b, LONGEST), b) for b, g in zip(at.tolist(), gaps.tolist(), strict=True)])
+    more = []
+    for k in np.flatnonzero(gaps > LONGEST).tolist():
+        b = int(at[k])
+        a = b - int(gaps[k])
+        while b - a > LONGEST:
+            window = h[a + SHORTEST - 1 : a + LONGEST]
+            a += LONGEST - int(window[::-1].argmin())  # the last position of the least hash
+            more.append(a)
+    if more:
+        at = np.sort(np.concatenate([at, more]))
     return at
 
 
@@ -80,21 +89,90 @@ def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["digest", "doc_id", "place", "extent"])
 
 
+def common(a: str, i: int, b: str, j: int) -> int:
+    """How many characters from a[i] and b[j] on are the same."""
+    n, most, step = 0, min(len(a) - i, len(b) - j), 256
+    while step and n < most:
+        if n + step <= most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+        else:
+            step //= 2
+    return n
+
+
+def extended(text: str, owner: str, chunks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The chunks of text (start, end) that owner has, extended both ways as far as owner agrees, to whole words."""
+    out: list[tuple[int, int]] = []
+    back, owner_back = text[::-1], owner[::-1]
+    done: dict[int, int] = {}  # by offset between the texts: the end of what was compared
+    for start, end in sorted(chunks):
+        at = owner.find(text[start:end]) if end > start else -1
+        while at >= 0:
+            if done.get(at - start, 0) < end:
+                a = start - common(back, len(text) - start, owner_back, len(owner) - at)
+                b = start + common(text, start, owner, at)
+                done[at - start] = b
+                while 0 < a < start and not text[a].isspace() and not text[a - 1].isspace():
+                    a += 1
+                while end < b < len(text) and not text[b].isspace() and not text[b - 1].isspace():
+                    b -= 1
+                out.append((a, b))
+            at = owner.find(text[start:end], at + 1)
+    return merged(out)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap, as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def repeated_spans(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, span_start, span_end (characters), n_words, source_doc_id: passages that a document of smaller id has."""
-    small_batches(documents.sparkSession)
-    chunks = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(chunk, CHUNKS)
+    """doc_id, span_start, span_end (characters), n_words, source_doc_id: passages that documents of smaller id have."""
+    spark = documents.sparkSession
+    small_batches(spark)
+    docs = documents.select(F.col("doc_id").cast("long"), "text")
+    chunks = docs.mapInArrow(chunk, CHUNKS)
     owners = chunks.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
     owners = written(owners.select("digest", "owner"), "owners")
     again = chunks.join(owners, "digest").where("doc_id > owner").select("doc_id", F.shiftrightunsigned("place", 32).alias("k"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("words"), "extent", "owner").dropDuplicates(["doc_id", "k"])
     run = F.col("k") - F.row_number().over(Window.partitionBy("doc_id").orderBy("k"))
-    spans = again.withColumn("run", run).groupBy("doc_id", "run").agg(
-        F.min(F.shiftrightunsigned("extent", 32)).alias("span_start"),
-        F.max(F.col("extent").bitwiseAND(0xFFFFFFFF)).alias("span_end"),
-        F.sum("words").alias("n_words"),
-        F.min("owner").alias("source_doc_id"),
-    )
-    return spans.where(F.col("n_words") >= least_words).select("doc_id", "span_start", "span_end", "n_words", "source_doc_id")
+    runs = again.withColumn("run", run).groupBy("doc_id", "run").agg(F.sum("words").alias("words"), F.collect_list(F.struct("owner", F.shiftrightunsigned("extent", 32).alias("a"), F.col("extent").bitwiseAND(0xFFFFFFFF).alias("b"))).alias("chunks"))
+    runs = written(runs.where(F.col("words") >= min(CANDIDATE_WORDS, least_words)), "runs")
+
+    pairs = runs.select("doc_id", F.explode("chunks").alias("c")).groupBy("doc_id", "c.owner").agg(F.collect_list(F.struct("c.a", "c.b")).alias("at"))
+    needed = runs.select("doc_id").union(runs.select(F.explode("chunks.owner"))).distinct()
+    texts = written(docs.where("text is not null").join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("owner"), F.col("text").alias("owner_text")), "owner")
+
+    def extend(rows):
+        for text, owner, at in rows:
+            yield ([{"a": a, "b": b} for a, b in extended(text, owner, [(c["a"], c["b"]) for c in at])],)
+
+    more = map_columns(both, ["text", "owner_text", "at"], ["doc_id", "owner"], lambda: extend, "found array<struct<a:bigint,b:bigint>>")
+    own = runs.select("doc_id", F.explode("chunks").alias("c"), F.array_min("chunks.a").alias("a"), F.array_max("chunks.b").alias("b")).groupBy("doc_id", "c.owner", "a", "b").agg(F.count("*")).select("doc_id", F.struct("a", "b", "owner").alias("s"))
+    every = own.union(more.select("doc_id", "owner", F.explode("found").alias("f")).select("doc_id", F.struct("f.a", "f.b", "owner")))
+    by_doc = every.groupBy("doc_id").agg(F.collect_set("s").alias("spans")).join(texts, "doc_id")
+
+    def join_up(rows):
+        for text, spans in rows:
+            out, k, spans = [], 0, sorted(spans, key=lambda s: s["a"])
+            for a, b in merged([(s["a"], s["b"]) for s in spans]):
+                parts = []  # the longest part names the source, of several the smallest id
+                while k < len(spans) and spans[k]["a"] < b:
+                    parts.append((spans[k]["a"] - spans[k]["b"], spans[k]["owner"]))
+                    k += 1
+                if (n := len(text[a:b].encode("utf-8", "surrogatepass").split())) >= least_words:
+                    out.append({"span_start": a, "span_end": b, "n_words": n, "source_doc_id": min(parts)[1]})
+            yield (out,)
+
+    found = map_columns(by_doc, ["text", "spans"], ["doc_id"], lambda: join_up, "found array<struct<span_start:bigint,span_end:bigint,n_words:bigint,source_doc_id:bigint>>")
+    return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
 def without_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
