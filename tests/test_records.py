@@ -134,3 +134,14 @@ def test_images(spark):
     assert bytes(good.content) == png and good.error is None
     assert one(spark, photo_from_data_url(F.col("v")), v="data:image/png;base64,!!").error == "invalid_photo"
     assert one(spark, photo_from_data_url(F.col("v"), 4), v="data:image/png;base64," + base64.b64encode(png).decode()).error == "photo_too_large"
+
+
+def test_admissions_of_a_hot_user(spark):
+    """Most attempts are one user's; they pass as a stream, not as one row."""
+    df = spark.range(200_000).selectExpr("if(id % 50 = 0, id, -1) user", "id * 10 at", "id tie")
+    out = records.admitted(df, "user", "at", "tie", 3, 1000)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    times = [k * 10 for k in range(200_000) if k % 50]
+    assert out.where("user <> -1 and not admitted").isEmpty() and out.count() == 200_000
+    got = [r.admitted for r in out.where("user = -1").orderBy("tie").collect()]
+    assert got == brute_admissions(times, 3, 1000)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,20 +56,36 @@ def reconciled(first: DataFrame, second: DataFrame, key: list[str], kind: str) -
 def admitted(attempts: DataFrame, key: str, at_ms: str, tie: str, limit: int, window_ms: int = 60_000) -> DataFrame:
     """A sliding-window limiter: an attempt is admitted if fewer than `limit` admitted ones started within the window.
     Refused attempts hold no slot, so admission is a fold over a key's attempts in order, by its nature one row of state
-    per key: the times of the last `limit` admissions.  A limit of 0 or less admits all."""
+    per key: the times of the last `limit` admissions.  Attempts are sorted by key and time and stream through the fold, so
+    a hot key is never held at once.  An attempt without a time is admitted and holds no slot.  A limit of 0 or less admits
+    all."""
     if limit <= 0:
         return attempts.select(key, tie, F.lit(True).alias("admitted"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(at_ms).alias("t"), F.col(tie).alias("id"))))
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<id:bigint,admitted:boolean>>").alias("out"))
+    from pyspark.sql.types import BooleanType, LongType, StructType
 
-    def step(s: Column, r: Column) -> Column:
-        held = F.filter(s["held"], lambda t: r["t"] - t < window_ms)
-        ok = F.size(held) < limit
-        mark = F.array(F.struct(r["id"].cast("bigint").alias("id"), ok.alias("admitted")))
-        return F.struct(F.when(ok, F.concat(held, F.array(r["t"]))).otherwise(held).alias("held"), F.concat(s["out"], mark).alias("out"))
+    rows = attempts.select(key, F.col(at_ms).cast("long").alias("_t"), F.col(tie).cast("long").alias(tie))
+    schema = StructType([rows.schema[key]]).add(tie, LongType()).add("admitted", BooleanType())
 
-    folded = attempts.groupBy(key).agg(F.aggregate(rows, start, step, lambda s: s["out"]).alias("out"))
-    return folded.select(key, F.explode("out").alias("r")).select(key, F.col("r.id").alias(tie), F.col("r.admitted").alias("admitted"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: object = run  # equal to no key
+        held: deque[int] = deque()
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != last:
+                    last = k
+                    held.clear()
+                if t is None:
+                    out.append(True)
+                    continue
+                while held and t - held[0] >= window_ms:
+                    held.popleft()
+                out.append(len(held) < limit)
+                if out[-1]:
+                    held.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.bool_())], names=schema.fieldNames())
+
+    return rows.repartition(key).sortWithinPartitions(key, "_t", tie).mapInArrow(run, schema)
 
 
 _FENCE = re.compile(r"```(?:json)?", re.I)
