@@ -323,3 +323,11 @@ def test_account_numbers_before_capitals_or_numbers(iban, after):
         text = before + iban + after
         assert pii.spans_of(text)[1] == [(len(before), "iban", len(before) + len(iban))]
         assert pii.masked(text) == before + "<IBAN>" + after
+
+
+def test_keep_good_carries_columns_named_like_features(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, "en", text, 7), (2, "en", "short", 8), (3, None, None, 9)], "doc_id long, lang string, text string, n_words int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert [tuple(r) for r in quality.keep_good(docs, labels).collect()] == [(1, "en", text, 7)]
+    assert quality.keep_good(docs.where("false"), labels).collect() == []

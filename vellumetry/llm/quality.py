@@ -163,7 +163,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     names = documents.columns
     featured = written(with_features(documents.select("doc_id", "lang", "text"), keep=["doc_id", "lang"]), "features")
     cutoffs = thresholds(featured, labels)
-    again = with_features(documents)
-    if set(x.split()[0] for x in FEATURES.split(", ")) & set(names):
-        raise ValueError("documents has a column named like a feature")
-    return again.where(~(base_failed() | rejected(cutoffs))).select(*names)
+    taken = {c: f"_own_{c}" for c in names if c in {x.split()[0] for x in FEATURES.split(", ")}}
+    again = with_features(documents.withColumnsRenamed(taken))
+    kept = again.where(~(base_failed() | rejected(cutoffs)))
+    return kept.select(*(F.col(taken.get(c, c)).alias(c) for c in names))
