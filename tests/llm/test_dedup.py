@@ -92,6 +92,27 @@ def test_links_in_blocks_bridges_through_members_that_miss_the_first(spark):
     assert {r.node: r.component for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_links_in_blocks_match_all_pairs(spark, monkeypatch, seed):
+    """Nodes on a line, linked when near, in blocks larger than what a star can reach; members repeated."""
+    rnd = random.Random(seed)
+    where = {k: rnd.random() for k in range(120)}
+    members = [(b, k) for k in where for b in range(4) if rnd.random() < 0.6] * 2
+    blocks = {b: {k for c, k in members if c == b} for b in range(4)}
+    near = sorted({(a, b) for k in blocks.values() for a in k for b in k if a < b and abs(where[a] - where[b]) < 0.01})
+    good = spark.createDataFrame(near, "a long, b long")
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs.join(good, ["a", "b"], "left_semi")
+
+    found, _ = common.links_in_blocks(spark.createDataFrame(members, "block long, node long"), verify)
+    linked = {x for p in near for x in p}
+    want = components(linked, near)
+    assert {r.node: r.component for r in found.collect()} == want and len(asked) > 2
+
+
 def test_embeddings_match_brute_force(spark, sf, monkeypatch):
     base = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()][:200]
     rnd = np.random.default_rng(5)
@@ -149,16 +170,16 @@ def test_banded_distance(spark, tau):
         assert got[k] == (distance(a, b) <= tau), (a, b)
 
 
-def test_bigram_parity_bounds_the_distance(spark):
+def test_parities_bound_the_distance(spark):
     rnd = random.Random(9)
     rows = []
     for k in range(400):
         a = "".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 60)))
         n = rnd.randint(0, 3)
         rows.append((k, a, edited(rnd, a, n) or "a", n))
-    df = spark.createDataFrame(rows, "k int, a string, b string, n int")
-    flips = df.select("n", F.bit_count(line_dedup.bigram_parity(F.col("a")).bitwiseXOR(line_dedup.bigram_parity(F.col("b")))).alias("flips")).collect()
-    assert all(r.flips <= 4 * r.n for r in flips)
+    df = spark.createDataFrame(rows, "k int, a string, b string, n int").withColumns({"x": line_dedup.parities(F.col("a")), "y": line_dedup.parities(F.col("b"))})
+    flips = df.select("n", *(F.expr(f"bit_count(x.{c} ^ y.{c})").alias(c) for c in ("bigrams", "letters"))).collect()
+    assert all(r.bigrams <= 4 * r.n and r.letters <= 2 * r.n for r in flips)
 
 
 def brute_lines(docs):
@@ -188,9 +209,16 @@ def test_line_dedup_matches_brute_force(spark):
     docs += [(100, None), (101, ""), (102, "\n\n"), (103, base[0]), (104, "x" * 5000 + "y"), (105, "x" * 5000 + "z")]
     want, n = brute_lines(docs)
     assert n > 20
-    df = spark.createDataFrame([(i, t, "e", 1) for i, t in docs], DOCS + ", n_removed string, place int")
-    got = line_dedup.without_repeats(df.drop("n_removed"))
-    assert {r.doc_id: r.text for r in got.collect()} == want
+    names = "n_removed string, place int, gone_places int, line string"
+    df = spark.createDataFrame([(i, t, "e", 1, 2, "l") for i, t in docs], f"{DOCS}, {names}")
+    got = line_dedup.without_repeats(df)
+    assert got.columns == ["doc_id", "text", "place", "gone_places", "line", "n_removed"]
+    rows = got.collect()
+    assert {r.doc_id: r.text for r in rows} == want and {(r.place, r.gone_places, r.line) for r in rows} == {(1, 2, "l")}
+    lost = {i: len(t.split("\n")) - len(want[i].split("\n")) for i, t in docs if t and want[i]}
+    assert {r.doc_id: r.n_removed for r in rows if r.doc_id in lost} == lost
+    twice = line_dedup.without_repeats(df.unionAll(df)).collect()  # rows of one doc_id lose the same lines
+    assert sorted((r.doc_id, r.text or "") for r in twice) == sorted((i, t or "") for i, t in [*want.items()] * 2)
     assert line_dedup.without_repeats(spark.createDataFrame([], DOCS)).collect() == []
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 _OWN_FOLDER: list[str] = []
 #: Blocks with more than one node (16 bytes each) are broadcast up to so many, counted first; more are joined by shuffling.
 MOST_BROADCAST = 1_000_000
+#: Rounds of stars before the pairs that are left are met.  Affects speed only.
+MOST_STARS = 5
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -126,39 +128,79 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return written(e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(tops), "components")
 
 
-def links_in_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], limits: Callable[[DataFrame], DataFrame] | None = None, possible: str = "true") -> tuple[DataFrame, DataFrame]:
+def fresh(taken: list[str], name: str) -> str:
+    """name, or name with underscores, that no column of taken has (columns compare without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has at most MOST_BROADCAST rows, counted here; else as it is, for a shuffle join.
+    For narrow tables only (a few numbers a row)."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def links_in_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], limits: Callable[[DataFrame], DataFrame] | None = None, possible: str = "true", prepare: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of the links among nodes that share a block, without listing the pairs of a block.
 
-    members: (block, node), distinct.  verify: candidate pairs (a, b), a < b -> those that are links.
-    1. Star: the nodes of a block against its smallest node.  2. What is then still apart inside a block: the nodes
-    outside the block's largest component against the block's nodes of other components.  Pairs inside one component
-    can't change a component, so nothing is lost.  limits: nodes still apart (node) -> figures of theirs (node, limit, a
-struct); possible: SQL over the limits lx and ly of two nodes, false only where the two can't be a link; such pairs
-never become rows.  Returns (node, component) and the links found.
+    members: (block, node), repeats allowed.  prepare: called once with the nodes (node) that share a block.  verify:
+    candidate pairs (a, b), a < b -> those that are links.
+    1. Star: the nodes of a block against its smallest node.  2. Stars of other centres, at most MOST_STARS: in blocks
+    of several components the node that shares the most blocks, which of a group of copies is the one nearest their
+    origin, against the nodes of other components; then the same for the best node outside the largest component.
+    3. What is then still apart inside a block: the nodes outside the block's largest component against the block's
+    nodes of other components.  Pairs inside one component can't change a component, so nothing is lost.  Stars end
+    sooner where what is left is already linear in the blocks' sizes, or where a round leaves over nine tenths of it.
+    limits: nodes still apart (node) -> figures of theirs (node, limit, a struct); possible: SQL over the limits lx and
+    ly of two nodes, false only where the two can't be a link; such pairs never become rows.  Returns (node, component)
+    and the links found.
     """
     first = members.groupBy("block").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     first = written(first.select("block", "a"), "blocks")
-    few_blocks = first.count() <= MOST_BROADCAST
-    pairs = members.join(F.broadcast(first) if few_blocks else first, "block").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = written(verify(pairs), "links")
+    shared = written(members.join(few(first), "block").distinct(), "shared")
+    if prepare:
+        prepare(shared.select("node").distinct())
+    links = written(verify(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()), "links")
     found = connected_components(links)
 
-    blocks = first.select("block")
-    shared = written(members.join(F.broadcast(blocks) if few_blocks else blocks, "block", "left_semi"), "shared")
-    own = written(shared.join(found, "node", "left").select("block", "node", F.coalesce("component", "node").alias("c")), "own")
-    sizes = own.groupBy("block", "c").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("block").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    split = written(split.select("block", F.col("most.c").alias("largest")), "split")
-    apart = written(own.join(split, "block").select("block", "node", "c", (F.col("c") == F.col("largest")).alias("in_largest")), "apart")
-    if limits:
-        apart = written(apart.join(limits(apart.select("node").distinct()), "node"), "apart")
-    else:
-        apart = apart.withColumn("limit", F.lit(0))
-    few = apart.where("not in_largest").select("block", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("limit").alias("lx"))
-    rest = few.join(apart.withColumnRenamed("limit", "ly"), "block").where(f"c <> cx and (in_largest or x < node) and ({possible})")
-    rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    more = written(verify(rest), "links")
-    dropped(first, shared, own, split)
+    own = shared.select("block", "node")
+    limit, before = None, float("inf")
+    for round_ in range(MOST_STARS + 1):
+        placed = own.join(found, "node", "left").select("block", "node", *(["limit", "rank"] if limit else []), F.coalesce("component", "node").alias("c"))
+        placed = written(placed, "own")
+        sizes = placed.groupBy("block", "c").agg(F.count("*").alias("n"))
+        split = sizes.groupBy("block").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+        split = written(split.select("block", F.col("most.c").alias("largest"), "n", ((F.col("n") - F.col("most.n")) * F.col("n")).alias("open")), "split")
+        apart = placed.join(split.select("block", "largest"), "block").withColumn("in_largest", F.col("c") == F.col("largest")).drop("largest")
+        if limit is None:
+            rank = apart.groupBy("node").agg(F.count("*").alias("rank"))
+            limit = rank.withColumn("limit", F.lit(0)) if limits is None else rank.join(limits(written(rank.select("node"), "apart-nodes")), "node")
+            apart = apart.join(limit, "node")
+        apart = written(apart, "apart")
+        left, size = split.agg(F.sum("open"), F.sum("n")).first()
+        dropped(placed, split)
+        if not left:
+            return found, links
+        if left <= 4 * size or left > 0.9 * before or round_ == MOST_STARS:
+            break
+        before = left
+        order = F.struct("rank", (-F.col("node")).alias("least"))
+        best = F.max(order if round_ == 0 else F.when(~F.col("in_largest"), order))
+        centre = apart.groupBy("block").agg(best.alias("best")).select("block", (-F.col("best.least")).alias("x"))
+        centre = centre.join(apart.select("block", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("limit").alias("lx")), ["block", "x"])
+        pairs = apart.withColumnRenamed("limit", "ly").join(centre, "block").where(f"c <> cx and ({possible})")
+        more = written(verify(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+        own = apart.select("block", "node", "limit", "rank")
+    few_nodes = apart.where("not in_largest").select("block", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("limit").alias("lx"))
+    rest = few_nodes.join(apart.withColumnRenamed("limit", "ly"), "block").where(f"c <> cx and (in_largest or x < node) and ({possible})")
+    more = written(verify(rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()), "links")
+    dropped(first, shared, apart)
     links = links.unionByName(more)
     if not more.isEmpty():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))

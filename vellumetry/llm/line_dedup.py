@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumetry.llm.common import links_in_blocks, written
+from vellumetry.llm.common import MOST_BROADCAST, dropped, few, fresh, links_in_blocks, written
 
 TAU, LEAST_CHARS = 2, 32
-#: So many line ids (8 bytes each) at most are broadcast to pick lines; more are joined by shuffling.
-MOST_BROADCAST = 1_000_000
+#: A pair takes a small part of a millisecond to verify, far more than its bytes tell.
+PAIRS_IN_A_TASK = 2000
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -30,14 +30,19 @@ def lines(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "place", F.trim("line").alias("line")).where(F.col("line").rlike(r"\S"))
 
 
-def segment_keys(line: Column, size: Column, tau: int = TAU) -> Column:
-    """Keys of the segments that a line may share with lines at most tau shorter, or, being that one, with longer ones.
+def with_segment_keys(lines: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Add blocks to lines (line, size): keys of the segments that a line may share with lines at most tau shorter, or,
+    being that one, with longer ones; null for lines of fewer than least_chars characters.
 
     A line of length L is cut into tau + 1 segments, the longer ones last.  Against an indexed length L = size - d,
     segment i (from 1) starting at p is probed from max(p - (i - 1), p + d - (tau + 1 - i)) to min(p + (i - 1),
-    p + d + (tau + 1 - i)).
+    p + d + (tau + 1 - i)).  The line is cut once into a window for each i that holds all its probes.
     """
-    keys, parts = [], tau + 1
+    parts = tau + 1
+    size = F.col("size")
+    begin = lambda i: F.greatest(F.lit(1), F.floor(size * (i - 1) / parts).cast("int") - 2 * tau - 1)
+    windows = {f"_w{i}": F.substring("line", begin(i), F.floor(size / parts).cast("int") + 4 * tau + 5) for i in range(1, parts + 1)}
+    keys = []
     for d in range(tau + 1):
         length = size - d
         short = F.floor(length / parts).cast("int")
@@ -47,8 +52,8 @@ def segment_keys(line: Column, size: Column, tau: int = TAU) -> Column:
             start = short * (i - 1) + before + 1
             width = short + (F.lit(i) > F.lit(parts) - longer).cast("int")
             for shift in range(max(-(i - 1), d - (parts - i)), min(i - 1, d + parts - i) + 1):
-                keys.append(F.xxhash64(F.lit(i), length, F.substring(line, start + shift, width)))
-    return F.array(*keys)
+                keys.append(F.xxhash64(F.lit(i), length, F.substring(F.col(f"_w{i}"), start + shift - begin(i) + 1, width)))
+    return lines.withColumns(windows).withColumn("blocks", F.when(size >= least_chars, F.array(*keys))).drop(*windows)
 
 
 def within_edits(a: Column, b: Column, tau: int = TAU) -> Column:
@@ -91,77 +96,107 @@ def within_edits(a: Column, b: Column, tau: int = TAU) -> Column:
     return (F.abs(F.char_length(a) - F.char_length(b)) <= tau) & (walked["dist"] <= tau)
 
 
-def verifier(documents: DataFrame, tau: int):
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "line-pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-        if needed.count() <= MOST_BROADCAST:
-            needed = F.broadcast(needed)
-        # a 64-bit id of two different lines gives both; the join below then checks each
-        texts = lines(documents).select(F.xxhash64("line").alias("lid"), "line").join(needed, "lid", "left_semi")
-        texts = written(texts.groupBy("lid", F.md5("line").alias("digest")).agg(F.first("line").alias("line")), "line-texts")
-        both = pairs.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("tb")), "b").join(texts.select(F.col("lid").alias("a"), F.col("line").alias("ta")), "a")
-        near = both.where(F.abs(F.char_length("ta") - F.char_length("tb")) <= tau).where(within_edits(F.col("ta"), F.col("tb"), tau))
-        return near.select("a", "b").distinct()
+def common_start(a: Column, b: Column) -> Column:
+    """So many first characters of two strings are equal: the greatest such multiple of 8, by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(3, 21))))
+    more = lambda p, s: (p + s <= F.least(F.char_length(a), F.char_length(b))) & (F.substring(a, p + 1, s) == F.substring(b, p + 1, s))
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(more(p, s), p + s).otherwise(p))
 
-    return verify
 
+def without_common_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Cut what two strings share at their ends, which changes no edit distance."""
+    for _ in range(2):
+        pairs = pairs.withColumn("_p", common_start(F.col(a), F.col(b)))
+        pairs = pairs.withColumns({c: F.reverse(F.substring(F.col(c), F.col("_p") + 1, F.char_length(c))) for c in (a, b)})
+    return pairs.drop("_p")
 
-def bigram_parity(line: Column) -> Column:
-    """A bit for each of 64 classes of bigrams: whether the line has an odd number of them.  One edit takes away at most
-    two bigrams and brings at most two, so it flips at most four bits, and lines within tau edits differ in at most
-    4 * tau."""
+
+def parities(line: Column) -> Column:
+    """Two words of 64 bits: for each of 64 classes of bigrams, and of characters, whether the line has an odd number of
+    them.  One edit takes away at most two bigrams and brings at most two, so it flips at most four bits of the first
+    word; of the second it flips at most two.  The last character counts as a bigram of its own."""
     chars = F.filter(F.split(line, ""), lambda c: c != "")
-    one = F.lit(1).cast("long")
-    bits = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.lit(0), F.size(chars) - 1)), lambda x, y: F.call_function("shiftleft", one, F.pmod(F.hash(x, F.coalesce(y, F.lit(""))), F.lit(64))))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseXOR(b))
+    bit = lambda *of: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(*of), F.lit(64)))
+    odd = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseXOR(b))
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.lit(0), F.size(chars) - 1)), lambda x, y: bit(x, F.coalesce(y, F.lit(""))))
+    return F.struct(odd(pairs).alias("bigrams"), odd(F.transform(chars, lambda x: bit(x))).alias("letters"))
 
 
 def possible(tau: int) -> str:
-    """The last character counts as a bigram of its own, so an edit at the end is covered by the same four bits."""
-    return f"coalesce(bit_count(lx.parity ^ ly.parity) <= {4 * tau}, true) and abs(lx.size - ly.size) <= {tau}"
-
-
-def line_limits(documents: DataFrame):
-    """For links_in_blocks: size and bigram parity of each line, the parity null where an id stands for two lines."""
-
-    def limits(nodes: DataFrame) -> DataFrame:
-        needed = nodes.withColumnRenamed("node", "lid")
-        if needed.count() <= MOST_BROADCAST:
-            needed = F.broadcast(needed)
-        texts = lines(documents).select(F.xxhash64("line").alias("lid"), "line").join(needed, "lid", "left_semi")
-        each = texts.groupBy("lid", F.md5("line").alias("digest")).agg(F.first("line").alias("line"))
-        each = each.select("lid", F.char_length("line").alias("size"), bigram_parity(F.col("line")).alias("parity"))
+    """Over the figures lx and ly of two lines: false only where they are more than tau edits apart."""
+    flips = lambda which, most: f"coalesce(bit_count(lx.parity.{which} ^ ly.parity.{which}) <= {most}, true)"
+    return f"abs(lx.size - ly.size) <= {tau} and {flips('letters', 2 * tau)} and {flips('bigrams', 4 * tau)}"
+
+
+class LinePairs:
+    """What links_in_blocks asks of lines: the texts of those that share a block, fetched once, and from them the
+    verification of pairs and the figures that rule pairs out (size and parities, these null where an id
+    stands for two lines)."""
+
+    def __init__(self, documents: DataFrame, keyed: DataFrame, tau: int):
+        self.documents, self.keyed, self.tau = documents, keyed, tau
+
+    def prepare(self, nodes: DataFrame) -> None:
+        """One line of each digest is read again, from the first document that has it."""
+        wanted = self.keyed.join(few(written(nodes.withColumnRenamed("node", "lid"), "line-nodes")), "lid", "left_semi")
+        holders = written(wanted.groupBy("lid", "digest").agg(F.min("doc_id").alias("doc_id")), "line-holders")
+        held = self.documents.join(few(holders.select("doc_id").distinct()), "doc_id", "left_semi")
+        texts = identified(lines(held)).join(few(holders), ["lid", "digest", "doc_id"], "left_semi")
+        texts = texts.groupBy("lid", "digest").agg(F.first("line").alias("line"))
+        self.texts = written(texts.select("lid", "line", F.char_length("line").alias("size"), parities(F.col("line")).alias("parity")), "line-texts")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        figures = self.texts.select("lid", F.struct("size", "parity").alias("l"))
+        both = pairs.join(figures.toDF("b", "lb"), "b").join(figures.toDF("a", "la"), "a").where(possible(self.tau).replace("lx.", "la.").replace("ly.", "lb."))
+        pairs = written(both.select("a", "b").distinct(), "line-pairs")
+        tasks = 1 + pairs.count() // PAIRS_IN_A_TASK
+        texts = self.texts.select("lid", "line").join(few(written(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "line-ids")), "lid", "left_semi")
+        both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
+        # written: a filter pushed below the cutting would repeat it at each mention of a string
+        short = written(without_common_ends(both.select("a", "b", "ta", "tb").repartition(tasks), "ta", "tb"), "line-cores")
+        return short.where(within_edits(F.col("ta"), F.col("tb"), self.tau)).select("a", "b").distinct()
+
+    def limits(self, nodes: DataFrame) -> DataFrame:
+        each = self.texts.join(nodes.withColumnRenamed("node", "lid"), "lid", "left_semi")
         one = each.groupBy("lid").agg(F.min("size").alias("size"), F.min("parity").alias("parity"), F.count("*").alias("n"))
         return one.select(F.col("lid").alias("node"), F.struct("size", F.when(F.col("n") == 1, F.col("parity")).alias("parity")).alias("limit"))
 
-    return limits
+
+def identified(every: DataFrame) -> DataFrame:
+    """Add lid, which names a line in blocks and links, and digest; the two together tell lines apart."""
+    return every.withColumns({"lid": F.xxhash64("line"), "digest": F.xxhash64(F.lit(1), "line")})
 
 
 def repeated_lines(documents: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, place: the lines to remove."""
-    every = lines(documents)
-    ids = every.select("doc_id", "place", F.xxhash64("line").alias("lid"), F.unhex(F.md5("line")).alias("digest"))
-    size = F.char_length("line")
-    long_lines = every.where(size >= least_chars)
-    members = long_lines.select(F.explode(segment_keys(F.col("line"), size, tau)).alias("block"), F.xxhash64("line").alias("node"))
-    found, _ = links_in_blocks(members, verifier(documents, tau), line_limits(documents), possible(tau))
-    first = ids.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"), F.min("lid").alias("lid"))
-    classed = written(first.join(found.withColumnRenamed("node", "lid"), "lid", "left"), "line-classes")
+    documents = documents.select("doc_id", "text")
+    every = identified(lines(documents)).withColumn("size", F.char_length("line"))
+    keyed = written(with_segment_keys(every, tau, least_chars).select("doc_id", "place", "lid", "digest", "blocks"), "lines")
+    pairs = LinePairs(documents, keyed, tau)
+    members = keyed.where("blocks is not null").select(F.explode("blocks").alias("block"), F.col("lid").alias("node"))
+    found, _ = links_in_blocks(members, pairs.verify, pairs.limits, possible(tau), pairs.prepare)
+    first = keyed.groupBy("lid", "digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
+    classed = written(first.join(few(found.withColumnRenamed("node", "lid")), "lid", "left").where("n > 1 or component is not null"), "line-classes")
     near = classed.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
-    kept = classed.join(near, "component", "left").select("digest", F.coalesce("class_first", "first").alias("kept"), "first", "last").where("first <> last or first <> kept")
-    kept = written(kept.select("digest", "kept"), "kept-lines")
-    return ids.join(kept, "digest").where("struct(doc_id, place) <> kept").select("doc_id", "place")
+    kept = classed.join(few(written(near, "near-lines")), "component", "left").select("lid", "digest", F.coalesce("class_first", "first").alias("kept"))
+    gone = keyed.select("doc_id", "place", "lid", "digest").join(few(written(kept, "kept-lines")), ["lid", "digest"])
+    gone = written(gone.where("struct(doc_id, place) <> kept").select("doc_id", "place"), "gone-lines")
+    dropped(keyed, classed, pairs.texts)
+    return gone
 
 
 def without_repeats(documents: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """documents with the repeated lines cut out of text, and n_removed (long)."""
-    gone = repeated_lines(documents, tau, least_chars).groupBy("doc_id").agg(F.collect_set("place").alias("gone_places"))
-    joined = documents.join(gone, "doc_id", "left")
+    """documents with the repeated lines cut out of text, and n_removed (long); a column n_removed is replaced."""
+    names = [c for c in documents.columns if c.lower() != "n_removed"]
+    places, doc = fresh(names, "gone_places"), fresh(names, "gone_doc")
+    gone = repeated_lines(documents, tau, least_chars).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("place").alias(places))
+    gone = written(gone, "gone-places")
+    n, cells = gone.agg(F.count("*"), F.sum(F.size(places))).first()
+    joined = documents.join(F.broadcast(gone) if n + (cells or 0) <= 4 * MOST_BROADCAST else gone, F.col("doc_id") == F.col(doc), "left")
     split = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone_places"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(places))
     text = F.array_join(F.transform(stay, lambda i: F.element_at(split, i + 1)), "\n")
     return joined.select(
-        *(F.when(F.col("gone_places").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in documents.columns),
-        F.when(F.col("gone_places").isNull(), 0).otherwise(F.size("gone_places")).cast("long").alias("n_removed"),
+        *(F.when(F.col(places).isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in names),
+        F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_removed"),
     )
