@@ -70,6 +70,30 @@ def test_minhash_of_an_empty_table_and_of_repeated_rows(spark):
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], DOCS)
     assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(twice).collect()) == [(1, 1), (1, 1), (2, 1)]
     assert minhash.keep_first(twice.withColumn("signature", F.lit(1))).count() == 2
+    other = spark.createDataFrame([(5, "a b c d e f"), (5, "g h i j k l"), (7, "g h i j k l"), (1, "a b c d e f"), (8, "x y"), (5, None)], DOCS)
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(other).collect()) == [(1, 1), (5, 1), (5, 1), (5, 5), (7, 1), (8, 8)]
+
+
+def test_minhash_of_a_hot_block_meets_few_pairs(spark, monkeypatch):
+    """400 documents that share three quarters of their shingles and are no links: almost no pair is met."""
+    rnd = random.Random(2)
+    common = [f"c{k}" for k in range(300)]
+    docs = [(k, " ".join(common + [f"u{rnd.random()}" for _ in range(80)])) for k in range(400)]
+    met = []
+    agreeing = minhash.verifier
+
+    def counting(reps, documents):
+        verify = agreeing(reps, documents)
+
+        def counted(pairs):
+            met.append(pairs.count())
+            return verify(pairs)
+
+        return counted
+
+    monkeypatch.setattr(minhash, "verifier", counting)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()
+    assert all(r.kept for r in got) and len(got) == 400 and 0 < sum(met) < 4000
 
 
 @pytest.mark.parametrize("seed", [1, 2])

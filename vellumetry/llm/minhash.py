@@ -8,8 +8,8 @@ the rest are confirmed on the full sets.  Components come from alternating large
 Pairs inside a block are never all listed: see common.links_in_blocks.
 
 Defined cases: null or empty text and text of white space have an empty set, n_shingles 0, and link with nothing;
-fewer than five words form one shingle of the whole sequence; repeated rows of a doc_id share its component; columns
-besides doc_id and text are not read; an empty table gives an empty table.
+fewer than five words form one shingle of the whole sequence; repeated rows of a doc_id share its component, with other
+texts too, but for rows without words; columns besides doc_id and text are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumetry.llm.common import links_in_blocks, map_columns, small_batches, written
+from vellumetry.llm.common import connected_components, links_in_blocks, map_columns, small_batches, written
 
 WORDS, BANDS, ROWS, SEED = 5, 32, 4, 20_261
 #: Signature positions, of BANDS * ROWS, that must agree: half, six standard deviations below what 0.75 gives.
@@ -153,25 +153,40 @@ def verifier(reps: DataFrame, documents: DataFrame) -> Callable[[DataFrame], Dat
     return verify
 
 
+#: Words of an odd sketch: whether a set has an odd number of elements in each of 64 * SKETCH classes.
+SKETCH = 32
 #: Of two linked sets the intersection is at least 3/7 of the sum of the sizes, and at most either size or the number
-#: of elements of one that any other set has.
-POSSIBLE = "7 * least(lx.shared, ly.shared) >= 3 * (lx.size + ly.size)"
+#: of elements of one that any other set has.  Then at most 1/7 of the sum is in one set only, and each of those flips
+#: one bit of the odd sketches, so these differ in no more bits.
+POSSIBLE = "7 * least(lx.shared, ly.shared) >= 3 * (lx.size + ly.size) and coalesce(7 * (" + " + ".join(f"bit_count(lx.o{k} ^ ly.o{k})" for k in range(SKETCH)) + ") <= lx.size + ly.size, true)"
 
 
-def shared_counts(documents: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """For links_in_blocks: of each node's shingles, how many there are and how many any other of the nodes has."""
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def set_figures(documents: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """For links_in_blocks: of each node's shingles, how many there are, how many any other of the nodes has, and their odd
+    sketch.  A node that stands for several texts has the least size, the greatest count and no sketch."""
 
     def make():
         memo = _Words()
-        return lambda rows: ((shingles(t, memo).view(np.int64).tolist(),) for (t,) in rows)
+
+        def one(t: str | None) -> tuple:
+            s = shingles(t, memo)
+            return len(s), s.view(np.int64).tolist(), odd_sketch(s).tolist()
+
+        return lambda rows: (one(t) for (t,) in rows)
 
     def limits(nodes: DataFrame) -> DataFrame:
-        texts = only(documents, nodes.withColumnRenamed("node", "doc_id")).dropDuplicates(["doc_id"])
-        each = map_columns(texts, ["text"], ["doc_id"], make, "elements array<long>")
-        each = written(each.select(F.col("doc_id").alias("node"), F.explode("elements").alias("element")), "elements")
-        common = each.groupBy("element").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("element", F.lit(1).alias("shared"))
-        counted = each.join(written(common, "shared"), "element", "left").groupBy("node").agg(F.count("*").alias("size"), F.count("shared").alias("shared"))
-        return counted.select("node", F.struct("size", "shared").alias("limit"))
+        texts = only(documents, nodes.withColumnRenamed("node", "doc_id")).dropDuplicates(["doc_id", "text"])
+        each = written(map_columns(texts, ["text"], ["doc_id"], make, "size long, elements array<long>, odd array<long>").withColumnRenamed("doc_id", "node"), "elements")
+        one = each.select("node", F.explode("elements").alias("element"))
+        common = one.groupBy("element").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("element", F.lit(1).alias("shared"))
+        shared = one.join(written(common, "shared"), "element").groupBy("node").agg(F.count("*").alias("shared"))
+        whole = each.groupBy("node").agg(F.min("size").alias("size"), F.when(F.count("*") == 1, F.first("odd")).alias("odd"))
+        return whole.join(shared, "node", "left").select("node", F.struct("size", F.coalesce("shared", F.lit(0)).alias("shared"), *(F.col("odd")[k].alias(f"o{k}") for k in range(SKETCH))).alias("limit"))
 
     return limits
 
@@ -183,7 +198,14 @@ def components(documents: DataFrame) -> DataFrame:
     classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("blocks").alias("blocks"))
     reps = written(classes, "classes")
     members = reps.select(F.explode("blocks").alias("block"), F.col("rep").alias("node"))
-    found, _ = links_in_blocks(members, verifier(reps, documents), shared_counts(documents), POSSIBLE)
+    found, _ = links_in_blocks(members, verifier(reps, documents), set_figures(documents), POSSIBLE)
+    # a doc_id that repeats with another text is still one document: it ties the classes of its texts together
+    key = F.xxhash64("set_key")
+    several = signed.where("set_key is not null").groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x < y").select("doc_id")
+    several = written(several.join(signed, "doc_id").join(reps.select("set_key", "rep"), "set_key").select("doc_id", "rep"), "several-texts")
+    if not several.isEmpty():
+        ties = several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(ties))
     of_class = reps.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class_component"))
     of_class = written(of_class, "class-components")
     joined = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
