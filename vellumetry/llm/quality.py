@@ -1,34 +1,35 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose feature lies beyond a cutoff.  The cutoffs are chosen per stratum (language) on
-labelled documents: of a fixed grid, the strictest cutoff whose false rejection rate, the share of good documents that
-the rule would reject, has an exact (Clopper-Pearson) upper bound within that rule's share of the allowed risk.  The confidence
-is split over all rules, strata and grid points (Bonferroni), so that all the bounds hold together.
+Each rule rejects a document whose feature lies beyond a cutoff.  The rules' cutoffs move together over fixed levels, from
+lax to strict, and a level is chosen per stratum (language) on labelled documents: levels are tested in that order, and
+testing ends at the first one whose false rejection rate, the share of good documents that any rule would reject, has an
+exact (Clopper-Pearson) upper bound above the allowed risk.  A fixed order needs no correction over levels; the confidence is
+split over the strata (Bonferroni), so that all bounds hold together.  The levels are fixed in advance and nothing is
+fitted but the stopping point, so the labelled documents are a holdout as they are.
 
-Features come from one narrow pass over the texts.  Labels only meet the features, a few numbers a document, and only
-counts by stratum and grid point reach the driver: their number is bounded by MAX_STRATA and the grid, not by the data.
+Features come from one narrow pass over the texts.  Labels only meet the features, a few numbers a document; counts by
+stratum are aggregated, tested and joined back in Spark, with as many strata as there are.
 
 Defined cases: null text counts as empty and is rejected by the base rule; a null stratum counts as its own; strata
-without enough labels take no cutoff, so their rules reject nothing; repeated rows are judged each; several labels for
-a document count each; an empty table gives an empty table.
+without enough labels take no level, so their rules reject nothing; repeated rows are judged each; several labels for
+a document count each; columns named like a feature are carried by keep_good; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumetry.llm.common import map_columns, small_batches, written
+from vellumetry.llm.common import few, fresh, map_columns, small_batches, written
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long"
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _MARKS = b"!?"
-#: Strata with thresholds of their own, the most frequent first; the rest are one stratum.
-MAX_STRATA = 64
 
 
 def features(text: str | None) -> tuple[int, ...]:
@@ -73,34 +74,50 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where value > cutoff.  grid: cutoffs to choose from, strictest first."""
+    """Rejects where value > cutoff.  levels: cutoffs to choose from, strictest first, as many for each rule."""
 
     name: str
     value: str
-    grid: tuple[float, ...]
-
-    def column(self) -> Column:
-        return F.expr(self.value)
+    levels: tuple[float, ...]
 
 
 RULES = (
-    Rule("symbols", "n_symbols / greatest(word_chars, 1)", (0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2)),
+    Rule("symbols", "n_symbols / greatest(word_chars, 1)", (0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.16, 0.2)),
     Rule("repeats", "n_repeat_words / greatest(n_words, 1)", (0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45)),
-    Rule("dup_lines", "n_dup_lines / greatest(n_lines, 1)", (0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6)),
-    Rule("upper", "n_upper / greatest(word_chars, 1)", (0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5)),
-    Rule("marks", "n_marks / greatest(n_words, 1)", (0.05, 0.1, 0.2, 0.3, 0.5)),
+    Rule("dup_lines", "n_dup_lines / greatest(n_lines, 1)", (0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6)),
+    Rule("upper", "n_upper / greatest(word_chars, 1)", (0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)),
+    Rule("marks", "n_marks / greatest(n_words, 1)", (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5)),
 )
 
 
+def beyond(level: int, rules: tuple[Rule, ...] = RULES) -> Column:
+    """True where any rule rejects at a level."""
+    return F.expr(" or ".join(f"{r.value} > {r.levels[level]!r}D" for r in rules))
+
+
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for n draws."""
-    if p <= 0:
+    """P(X <= k) for n draws: the regularized incomplete beta function at 1 - p of n - k and k + 1, by its continued
+    fraction, whose length grows with the root of n."""
+    if p <= 0 or k >= n:
         return 1.0
-    if p >= 1:
-        return float(k >= n)
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    if p >= 1 or k < 0:
+        return 0.0
+    a, b, x = float(n - k), k + 1.0, 1 - p
+    turned = x > (a + 1) / (a + b + 2)
+    if turned:
+        a, b, x = b, a, p
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # evaluated forwards as a ratio of products, one pair of terms a turn
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    value, m = d, 0
+    while True:
+        m += 1
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / ((1 + t * d) or 1e-300), (1 + t / c) or 1e-300
+            value *= c * d
+        if abs(c * d - 1) < 1e-15 or m > 10_000_000:
+            break
+    return min(1.0, max(0.0, 1 - front * value if turned else front * value))
 
 
 def upper_bound(k: int, n: int, error: float) -> float:
@@ -114,42 +131,43 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return high
 
 
-def thresholds(featured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, error: float = 0.05, rules: tuple[Rule, ...] = RULES) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule.  risk: the most good documents, as a share, that the rules of a stratum may reject
-    together; each rule gets an equal part.  Holds for all strata with probability 1 - error."""
+def strictest(n: int, found: tuple[int, ...], risk: float, error: float) -> int | None:
+    """The strictest level, tested from the laxest on, before the first one whose bound is above the risk.  found: good
+    documents rejected at each level, strictest first, of n."""
+    chosen = None
+    for level in reversed(range(len(found))):
+        if binomial_tail(found[level], n, risk) > error:  # as upper_bound(...) > risk
+            break
+        chosen = level
+    return chosen
+
+
+def thresholds(featured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, error: float = 0.05, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """stratum and level of each stratum that has one.  risk: the most good documents, as a share, that the rules of a
+    stratum may reject together.  Holds for all strata with probability 1 - error."""
     good = labels.where("quality = 1").select("doc_id")
-    seen = featured.where(~base_failed()).join(good, "doc_id").withColumn("stratum", F.coalesce(F.col(stratum), F.lit("")))
-    over = {f"{r.name}:{i}": F.sum((r.column() > c).cast("long")).alias(f"{r.name}:{i}") for r in rules for i, c in enumerate(r.grid)}
-    found = seen.groupBy("stratum").agg(F.count("*").alias("n"), *over.values()).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA).collect()
-    tests = max(1, len(found)) * len(over)
-    out: dict[str, dict[str, float]] = {}
-    for row in found:
-        for r in rules:
-            for i, cutoff in enumerate(r.grid):
-                if upper_bound(row[f"{r.name}:{i}"], row["n"], error / tests) <= risk / len(rules):
-                    out.setdefault(row["stratum"], {})[r.name] = cutoff
-                    break
-    return out
-
-
-def rejected(cutoffs: dict[str, dict[str, float]], stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> Column:
-    """True where a rule of the document's stratum rejects it.  Strata without a cutoff reject nothing."""
-    out = F.lit(False)
-    key = F.coalesce(F.col(stratum), F.lit(""))
-    for name, by_rule in cutoffs.items():
-        beyond = F.lit(False)
-        for r in rules:
-            if r.name in by_rule:
-                beyond = beyond | (r.column() > by_rule[r.name])
-        out = out | ((key == name) & beyond)
-    return out
+    seen = featured.where(~base_failed()).join(good, "doc_id")
+    levels = range(len(rules[0].levels))
+    found = seen.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *(F.count_if(beyond(k, rules)).alias(f"at{k}") for k in levels))
+    found = written(found, "strata")
+    share = error / max(1, found.count())
+    out = map_columns(found, ["n", *(f"at{k}" for k in levels)], ["stratum"], lambda: lambda rows: ((strictest(n, at, risk, share),) for n, *at in rows), "level int")
+    return written(out.where("level is not null"), "levels")
+
+
+def rejecting(featured: DataFrame, levels: DataFrame, stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, Column]:
+    """featured with the level of its stratum, and whether a rule rejects there.  Strata without a level reject nothing."""
+    key, level = fresh(featured.columns, "stratum"), fresh(featured.columns, "level")
+    joined = featured.join(few(levels.toDF(key, level)), F.col(stratum).eqNullSafe(F.col(key)), "left")
+    over = [F.expr(f"{r.value} > element_at(array({', '.join(f'{c!r}D' for c in r.levels)}), {level} + 1)") for r in rules]
+    return joined, F.coalesce(reduce(Column.__or__, over), F.lit(False))
 
 
 def judged(documents: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """The features of every document with base_failed and kept, each column of keep carried."""
     featured = written(with_features(documents, keep=keep), "features")
-    cutoffs = thresholds(featured, labels)
-    return featured.withColumn("base_failed", base_failed()).withColumn("kept", ~(base_failed() | rejected(cutoffs)))
+    joined, rejected = rejecting(featured, thresholds(featured, labels))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~(base_failed() | rejected))
 
 
 def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,8 +180,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     filter, so that no text is shuffled or written in between."""
     names = documents.columns
     featured = written(with_features(documents.select("doc_id", "lang", "text"), keep=["doc_id", "lang"]), "features")
-    cutoffs = thresholds(featured, labels)
-    taken = {c: f"_own_{c}" for c in names if c in {x.split()[0] for x in FEATURES.split(", ")}}
-    again = with_features(documents.withColumnsRenamed(taken))
-    kept = again.where(~(base_failed() | rejected(cutoffs)))
+    taken = {c: fresh(names, f"own_{c}") for c in names if c in {x.split()[0] for x in FEATURES.split(", ")}}
+    again, rejected = rejecting(with_features(documents.withColumnsRenamed(taken)), thresholds(featured, labels))
+    kept = again.where(~(base_failed() | rejected))
     return kept.select(*(F.col(taken.get(c, c)).alias(c) for c in names))
