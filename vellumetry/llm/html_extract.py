@@ -30,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumetry.llm.common import map_columns, small_batches, written
+from vellumetry.llm.common import fresh, map_columns, small_batches, written
 
-LEAST_PAGES, TEXT_SUPPORT, DEEPEST = 3, 0.5, 12
+LEAST_PAGES, TEXT_SUPPORT = 3, 0.5
 #: Hosts' templates are broadcast up to so many bytes together; more are joined by shuffling.  Bytes of templates in a batch.
 MOST_BROADCAST, BATCH_BYTES = 32_000_000, 64_000_000
 
 # Element names by their role, from the public HTML standard.  Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noframes noembed xmp textarea title svg math object".split())
-FURNITURE = frozenset("nav header footer aside form menu dialog button select figcaption head".split()) | RAW
+RAW = frozenset("script style noscript template iframe noframes noembed xmp textarea title svg object".split())
+FURNITURE = frozenset("nav header footer aside form menu dialog button select head".split()) | RAW
 MAIN = frozenset("article main".split())
 #: Elements that can bound a slot.
 HOLDERS = frozenset("article body center dd details div dl html main ol section table tbody td tr ul".split())
@@ -173,10 +173,9 @@ class Walk:
                     self.nodes.append((" ", stack[-1][1] if stack else "", skip > 0, around, link > 0, block))
                 out = furniture(data, attributes) and not (data == "header" and around)
                 path = (stack[-1][1] if stack else "") + ">" + data + _class(attributes)
-                if len(stack) < DEEPEST:
-                    self.elements[path] += 1
-                elif len(path) > 4096:
-                    path = ">" + data
+                if len(path) > 4096:  # a long path goes on from its digest, which stands for all of it
+                    path = f">{_digest(path):x}"
+                self.elements[path] += 1
                 if data in VOID or attributes.rstrip().endswith("/") and data not in BLOCK and data != "a":
                     continue
                 stack.append((data, path, out))
@@ -330,7 +329,8 @@ def main_texts(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     if (bytes_of[0] or 0) <= MOST_BROADCAST:
         of_host = F.broadcast(of_host)
     small_batches(pages.sparkSession, max(1, min(1000, BATCH_BYTES // (bytes_of[1] or 1))))
-    joined = pages.withColumn("page_host", host).join(of_host.withColumnRenamed("host", "page_host"), "page_host", "left")
+    at, held = fresh(pages.columns, "page_host"), fresh(pages.columns, "template")
+    joined = pages.withColumn(at, host).join(of_host.toDF(at, held), at, "left")
 
     def make():
         parsed: dict[str, list[dict]] = {}
@@ -345,7 +345,7 @@ def main_texts(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
         return lambda rows: ((one(p, t),) for p, t in rows)
 
     keep = [c for c in (keep or pages.columns) if c not in ("text", "n_chars")]
-    return map_columns(joined, ["html", "template"], keep, make, "text string")
+    return map_columns(joined, ["html", held], keep, make, "text string")
 
 
 def texts(pages: DataFrame) -> DataFrame:
