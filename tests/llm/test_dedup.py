@@ -159,6 +159,8 @@ def test_embeddings_match_brute_force(spark, sf, monkeypatch):
     assert got == {i: (n.get(i, 0), want[i], want[i] == i) for i, _ in rows}
     assert len(links) > 60
     assert embed_dedup.near_duplicates(df.where("false")).collect() == []
+    unnamed = spark.createDataFrame([(None, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.n_links, r.component_id or 0, r.kept) for r in embed_dedup.near_duplicates(unnamed).collect()) == [(0, 0, False), (0, 1, True)]
 
 
 def distance(a, b):

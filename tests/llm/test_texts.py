@@ -169,7 +169,7 @@ def test_checksums_and_context():
     assert [k for _, k, _ in pii.spans_of(f"IBAN {iban} ok")[1]] == ["iban"]
     assert pii.spans_of(f"IBAN {iban[:-1]}3 ok")[1] == []
     assert [k for _, k, _ in pii.spans_of("call 555-123-4567 now")[1]] == ["local_phone"]
-    assert pii.spans_of("see 555-123-4567 now")[1] == []
+    assert pii.spans_of("see 555-123-4567 now")[1] == [] and pii.spans_of("at the hotel 555-123-4567 room")[1] == []
     assert pii.masked("mail a@b.cc or +1 (771) 555-1655.") == "mail <EMAIL> or <PHONE>."
     assert pii.masked(None) is None and pii.spans_of(None) == ([], [])
     assert len(pii.spans_of("a" * 200_000 + "@" + "1" * 200_000 + ".")[1]) == 0  # in linear time
@@ -213,6 +213,38 @@ def test_binomial_bounds_are_exact():
     assert quality.upper_bound(0, 0, 0.05) == quality.upper_bound(5, 5, 0.05) == 1.0
     p = quality.upper_bound(3, 50, 0.01)
     assert sum(math.comb(50, k) * p**k * (1 - p) ** (50 - k) for k in range(4)) == pytest.approx(0.01, rel=1e-6)
+    for n in (1, 7, 60):
+        for k in range(n):
+            for p in (0.001, 0.2, 0.5, 0.97):
+                plain = math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+                assert quality.binomial_tail(k, n, p) == pytest.approx(plain, abs=1e-12)
+    assert quality.binomial_tail(500_000, 1_000_000, 0.5) == pytest.approx(0.5, abs=1e-3)
+
+
+def test_levels_of_every_stratum(spark):
+    """40 strata, one without a name: each is tested like a plain loop over its good documents, whatever their number."""
+    rnd = random.Random(4)
+    docs, good, share = [], [], {}
+    for s in range(40):
+        for _ in range(400):
+            symbols = rnd.choice([0] * 3000 + [s % 7] * (1 + s))
+            docs.append((len(docs), None if s == 39 else f"s{s}", " ".join(f"w{rnd.randrange(10**6)}" + "#" * symbols for _ in range(60))))
+            good.append((len(docs) - 1, 1))
+    df, labels = spark.createDataFrame(docs, "doc_id long, lang string, text string"), spark.createDataFrame(good, "doc_id long, quality int")
+    featured = quality.with_features(df, keep=["doc_id", "lang"]).cache()
+    levels = {r.stratum: r.level for r in quality.thresholds(featured, labels).collect()}
+    rules = {r.name: r.levels for r in quality.RULES}
+    for r in featured.collect():
+        value = {"symbols": r.n_symbols / max(r.word_chars, 1), "repeats": r.n_repeat_words / max(r.n_words, 1), "dup_lines": r.n_dup_lines / max(r.n_lines, 1), "upper": r.n_upper / max(r.word_chars, 1), "marks": r.n_marks / max(r.n_words, 1)}
+        share.setdefault(r.lang, []).append([any(value[n] > rules[n][k] for n in rules) for k in range(8)])
+    for lang, rows in share.items():
+        want = None
+        for k in reversed(range(8)):
+            if quality.upper_bound(sum(x[k] for x in rows), len(rows), 0.05 / 40) > 0.02:
+                break
+            want = k
+        assert levels.get(lang) == want, lang
+    assert 5 < len(levels) and len(set(levels.values())) > 1
 
 
 def test_conversations_round_trip(spark, sf):
@@ -331,3 +363,16 @@ def test_keep_good_carries_columns_named_like_features(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert [tuple(r) for r in quality.keep_good(docs, labels).collect()] == [(1, "en", text, 7)]
     assert quality.keep_good(docs.where("false"), labels).collect() == []
+
+
+def test_pages_with_clashing_columns_and_repeats(spark):
+    html = "<html><body><nav>menu</nav><article><h1>T</h1><figure><p>body text</p><figcaption>caption</figcaption></figure><p>x <math>y</math></p></article></body></html>"
+    rows = [(1, None, html, "t"), (1, None, html, "t"), (2, "http://a/b", None, "u")]
+    out = html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, template string"))
+    assert sorted((r.page_id, r.text, r.template) for r in out.collect()) == [(1, "T\nbody text\ncaption\nx y", "t")] * 2 + [(2, "", "u")]
+
+
+def test_rows_without_a_conversation(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yo"), (3, 0, "user", None), (3, 0, "user", None)]
+    out = chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id if r.conv_id is not None else -9, r.n_turns, r.loss_chars) for r in out) == [(-9, 2, 2), (3, 2, 0)]

@@ -9,7 +9,7 @@ back exactly: a backslash becomes \\0, the "<" or "[" that begins a control stri
 
 Defined cases: null role or text counts as empty; a message whose parent is missing is a root; messages of a cycle, or
 below one, have no root and are in no conversation; rows that tie are ordered by role, then text; messages without a
-tree_id are dropped; an empty table gives no conversations.
+tree_id are in no tree (digests takes those without a conv_id as one conversation); an empty table gives no conversations.
 """
 
 from __future__ import annotations
@@ -131,11 +131,13 @@ def threads(rows: DataFrame) -> DataFrame:
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    out = format_conversations(written(threads(rows), "threads"))
+    """Of conversations (conv_id, turn, role, text).  Rows without a conv_id are one conversation, under a null."""
+    named = rows.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
+    out = format_conversations(written(threads(named), "threads"))
     back, loss = turns(F.col("formatted")), F.array_join(loss_texts(F.col("formatted"), F.col("mask")), "")
     said = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
-        F.col("tree_id").alias("conv_id"),
+        F.expr("cast(nullif(tree_id, 'none') as bigint)").alias("conv_id"),
         F.size(back).cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
         F.char_length(loss).cast("long").alias("loss_chars"),

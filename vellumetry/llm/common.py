@@ -18,10 +18,12 @@ MOST_STARS = 5
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a folder of our own where it is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); a folder of our own where it is unset and Spark is local, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="vellumetry-"))
     return _OWN_FOLDER[0]

@@ -10,7 +10,8 @@ Pivots are a sample of at most MOST_PIVOTS vectors; they affect speed only.  In
 dimensions no metric pruning is possible, and the work tends to all pairs of blocks, each still bounded in memory.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components link with nothing; shorter
-vectors count as padded with zeros; rows that repeat a vec_id are one vector (its greatest embedding); an empty table gives
+vectors count as padded with zeros; rows that repeat a vec_id are one vector (its greatest
+embedding), rows without a vec_id one row that links with nothing and isn't kept; an empty table gives
 an empty table.
 """
 
@@ -90,7 +91,7 @@ def compare(ids: np.ndarray, m: np.ndarray, first: int, same: bool, threshold: f
 
 def links(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(vec_id, n_links) of linked vectors, and edges (a, b) that span the components of the links."""
-    one = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+    one = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null").groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
     packed = written(one.mapInArrow(_packed, "vec_id long, v binary"), "vectors")
     total, longest = packed.agg(F.count("*"), F.max(F.octet_length("v"))).first()
     dim = (longest or 8) // 8
@@ -149,4 +150,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     out = ids.join(counts, "vec_id", "left").join(connected_components(edges).withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
