@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from vellumetry.plans import catalogue
+from vellumetry.plans import catalogue, pages, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,11 +20,11 @@ def plain(rows):
     return sorted(repr(tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, sf, duck, name):
-    df = catalogue.QUERIES[name](spark, sf)
+    df = registry.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
-    want = duck.sql(catalogue.SQL[name])
+    want = duck.sql(registry.SQL[name])
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert plain(df.select(*columns).collect()) == plain([tuple(r[k] for k in at) for r in want.fetchall()])

@@ -32,12 +32,13 @@ def normalized(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Col
     """Corners in fractions, thousandths or pixels, told apart by their greatest number, to (x, y, w, h) in fractions:
     reversed corners are swapped, all is clamped to the page, and an empty box is null."""
     top = F.greatest(x1, y1, x2, y2)
-    sx = F.when(top <= 1, F.lit(1.0)).when(top > 1000, w.cast("double")).otherwise(1000.0)
-    sy = F.when(top <= 1, F.lit(1.0)).when(top > 1000, h.cast("double")).otherwise(1000.0)
+    sx = F.when(top <= 1, F.lit(1.0)).when(top > 1000, F.greatest(F.lit(1.0), w.cast("double"))).otherwise(1000.0)
+    sy = F.when(top <= 1, F.lit(1.0)).when(top > 1000, F.greatest(F.lit(1.0), h.cast("double"))).otherwise(1000.0)
     into = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
     left, right = into(F.least(x1, x2) / sx), into(F.greatest(x1, x2) / sx)
     upper, lower = into(F.least(y1, y2) / sy), into(F.greatest(y1, y2) / sy)
-    ok = (right - left > 0) & (lower - upper > 0) & ~F.isnan(top)
+    finite = lambda v: F.abs(v) < float("inf")  # noqa: E731  (not-a-number is above infinity)
+    ok = (right - left > 0) & (lower - upper > 0) & finite(x1) & finite(y1) & finite(x2) & finite(y2)
     return F.when(ok, F.struct(left.alias("x"), upper.alias("y"), (right - left).alias("w"), (lower - upper).alias("h")))
 
 
@@ -68,3 +69,58 @@ def quad_order(points: Column) -> Column:
     total, apart = by(lambda p: p["x"] + p["y"]), by(lambda p: p["x"] - p["y"])
     pick = lambda a, k: F.struct(F.element_at(a, k)["x"].alias("x"), F.element_at(a, k)["y"].alias("y"))
     return F.array(pick(total, 1), pick(apart, -1), pick(total, -1), pick(apart, 1))
+
+
+def _corners(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Clamped to the unit square; null if nothing is left."""
+    into = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    c = [into(v) for v in (x1, y1, x2, y2)]
+    return F.when((c[2] > c[0]) & (c[3] > c[1]), F.struct(*(v.alias(n) for v, n in zip(c, ("x1", "y1", "x2", "y2"), strict=True))))
+
+
+def from_canvas(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Column, edge: Column) -> Column:
+    """Corners on a square canvas, in fractions of the image at its top left; null in the padding."""
+    sx, sy = edge / F.greatest(F.lit(1), w), edge / F.greatest(F.lit(1), h)
+    return _corners(x1 * sx, y1 * sy, x2 * sx, y2 * sy)
+
+
+def from_band(on_band: Column, bx: Column, by: Column, bw: Column, bh: Column, w: Column, h: Column) -> Column:
+    """Corners in fractions of a band (x, y, w, h of the image), in fractions of the image."""
+    to = lambda c, start, size, whole: (start + on_band[c] * size) / F.greatest(F.lit(1), whole)
+    return _corners(to("x1", bx, bw, w), to("y1", by, bh, h), to("x2", bx, bw, w), to("y2", by, bh, h))
+
+
+def rect(x: Column, y: Column, w: Column, h: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+
+
+def intersection(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Null where the two don't overlap."""
+    x, y = F.greatest(a[0], b[0]), F.greatest(a[1], b[1])
+    right, bottom = F.least(a[0] + a[2], b[0] + b[2]), F.least(a[1] + a[3], b[1] + b[3])
+    return F.when((right > x) & (bottom > y), rect(x, y, right - x, bottom - y))
+
+
+def united(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    x, y = F.least(a[0], b[0]), F.least(a[1], b[1])
+    return rect(x, y, F.greatest(a[0] + a[2], b[0] + b[2]) - x, F.greatest(a[1] + a[3], b[1] + b[3]) - y)
+
+
+def clipped(x: Column, y: Column, w: Column, h: Column, page_w: Column, page_h: Column) -> Column:
+    """To whole pixels outwards, inside the page."""
+    x0, y0 = (F.greatest(F.lit(0), F.least(p, F.floor(v))) for v, p in ((x, page_w), (y, page_h)))
+    x1, y1 = F.greatest(x0, F.least(page_w, F.ceil(x + w))), F.greatest(y0, F.least(page_h, F.ceil(y + h)))
+    return rect(x0, y0, x1 - x0, y1 - y0)
+
+
+def rotated_corners(cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> Column:
+    """Four points, clockwise from the corner nearest the top left; angle in radians."""
+    at = lambda sx, sy: F.struct((cx + sx * w / 2 * F.cos(angle) - sy * h / 2 * F.sin(angle)).alias("x"), (cy + sx * w / 2 * F.sin(angle) + sy * h / 2 * F.cos(angle)).alias("y"))
+    return F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1))
+
+
+def bounds(points: Column) -> Column:
+    """The box around an array of points; null for none."""
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    x, y = F.array_min(xs), F.array_min(ys)
+    return F.when(F.size(points) > 0, rect(x, y, F.array_max(xs) - x, F.array_max(ys) - y))

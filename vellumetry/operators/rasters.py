@@ -144,13 +144,6 @@ def resized(px: DataFrame, from_side: int, to_side: int) -> DataFrame:
     return out.select("raster_id", "y", "x", stored(F.round("mean", 9)).alias("v"))
 
 
-def packed(px: DataFrame, value: str = "v") -> DataFrame:
-    """One row a raster: width, height and its bytes row by row.  A raster's pixels, bounded by its size, meet in a group."""
-    ordered = F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).cast("int").alias("v"))))
-    size = [(F.max(c) + 1).alias(n) for c, n in (("x", "width"), ("y", "height"))]
-    return px.groupBy("raster_id").agg(*size, ordered.alias("p")).select("raster_id", "width", "height", F.transform("p", lambda p: p["v"]).alias("values"))
-
-
 def labelled(mask: np.ndarray) -> np.ndarray:
     """8-connected components of a mask: ids from 1 by raster order of their first pixel, 0 outside.  Least labels spread
     along runs of a row, a column and the diagonals until none changes."""
@@ -175,25 +168,49 @@ def labelled(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-COMPONENTS = "raster_id long, label int, area long, x int, y int, w int, h int, cx double, cy double"
+COMPONENTS = "raster_id long, label int, area long, x int, y int, w int, h int, cx double, cy double, fill double, aspect double"
+
+
+def component_figures(mask: np.ndarray, least_area: int) -> list[tuple]:
+    """A row for each component, numbered again without the small ones, in one pass over the set pixels."""
+    y, x = np.nonzero(mask)
+    k = labelled(mask)[y, x] - 1
+    area = np.bincount(k)
+    low, high = (np.full((2, len(area)), fill) for fill in (1 << 30, -1))
+    for side, at in enumerate((y, x)):
+        np.minimum.at(low[side], k, at)
+        np.maximum.at(high[side], k, at)
+    (h, w), (top, left) = high - low + 1, low
+    cy, cx = np.bincount(k, y) / np.maximum(area, 1), np.bincount(k, x) / np.maximum(area, 1)
+    kept = np.flatnonzero(area >= least_area)
+    return [(n, int(area[c]), int(left[c]), int(top[c]), int(w[c]), int(h[c]), float(cx[c]), float(cy[c]), float(area[c] / (w[c] * h[c])), float(w[c] / h[c])) for n, c in enumerate(kept.tolist(), 1)]
 
 
-def components(px: DataFrame, value: str, least_area: int = 1) -> DataFrame:
-    """Components of the non-zero pixels with their figures; small ones go, and labels are numbered again."""
+def components(masks: DataFrame, least_area: int = 1) -> DataFrame:
+    """Components of the non-zero pixels of packed rasters: bounds, centre, fill of the bounds and aspect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                lab = labelled(np.array(r["values"]).reshape(r["height"], r["width"]) > 0)
-                number = 0
-                for k in range(1, int(lab.max(initial=0)) + 1):
-                    y, x = np.nonzero(lab == k)
-                    if len(y) >= least_area:
-                        number += 1
-                        rows.append((r["raster_id"], number, len(y), int(x.min()), int(y.min()), int(np.ptp(x)) + 1, int(np.ptp(y)) + 1, float(x.mean()), float(y.mean())))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.float64(), pa.float64())
-            columns = list(zip(*rows, strict=True)) or [()] * 9
+                mask = np.array(r["values"], np.int64).reshape(r["height"], r["width"]) > 0
+                rows += [(r["raster_id"], *c) for c in component_figures(mask, least_area)]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 4, *[pa.float64()] * 4)
+            columns = list(zip(*rows, strict=True)) or [()] * 11
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in COMPONENTS.split(", ")])
 
-    return packed(px, value).mapInArrow(run, COMPONENTS)
+    return masks.select("raster_id", "width", "height", "values").mapInArrow(run, COMPONENTS)
+
+
+def hue_modes(px: DataFrame, key: list[str], least_chroma: float = 12.0, bins: int = 36, share: float = 0.08) -> DataFrame:
+    """Modes of the hues of a region's coloured pixels (a, b, chroma), weighted by chroma: bins no lower than both
+    neighbours on the circle that carry the share.  Regions without such pixels have none, and no row."""
+    wide = 360 / bins
+    hue = F.pmod(F.degrees(F.atan2("b", "a")), F.lit(360.0))
+    voting = px.where(F.col("chroma") > least_chroma).withColumn("bin", F.least(F.lit(bins - 1), F.floor(hue / wide)).cast("int"))
+    h = voting.groupBy(*key, "bin").agg(F.sum("chroma").alias("weight"))
+    # the histogram of a region, at most `bins` rows, as an array: neighbours on the circle need no self-join
+    full = h.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "weight"))).alias("m"), F.sum("weight").alias("total"))
+    at = lambda k: F.coalesce(F.try_element_at("m", F.pmod(k, F.lit(bins))), F.lit(0.0))
+    modes = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: (at(k) >= share * F.col("total")) & (at(k) >= at(k - 1)) & (at(k) >= at(k + 1)))
+    return full.select(*key, F.size(modes).alias("modes"))

@@ -6,28 +6,16 @@ printed options, lineitem for boxes, embeddings for 8 x 8 rasters.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumetry.functions import boxes, text
-from vellumetry.operators import rasters, records
-from vellumetry.sources.tables import pixels, table
+from vellumetry.operators import packed, rasters, records
+from vellumetry.plans.registry import query
+from vellumetry.sources.tables import packed_rasters, pixels, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "raster_sauvola"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+KEY = ["l_orderkey", "l_linenumber"]
 
 
 # ---- records
@@ -87,13 +75,13 @@ def option_match(spark, d):
     return joined.select("p_partkey", F.coalesce("printed", "p_type").alias("answer"), F.col("printed").isNull().alias("off_list"))
 
 
-@query("""select p_partkey, case when p_size % 3 = 0 then split_part(p_name, ' ', 1) || ', ' || split_part(p_name, ' ', 2) else p_name end checklist
-from part where split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2)""")
+@query("""with w as (select *, split_part(p_name, ' ', 1) a, split_part(p_name, ' ', 2) b from part)
+select p_partkey, case when p_size % 3 > 0 then p_name when a = b then a else a || ', ' || b end checklist from w""")
 def checklist_answers(spark, d):
     words = F.split("p_name", " ")
     first, second = words[0], words[1]
     raw = F.when(F.col("p_size") % 3 == 0, F.concat_ws(";", first, second, F.upper(first))).otherwise(F.concat("p_name", F.lit(" ,\n")))
-    return table(spark, d, "part").where(first != second).select("p_partkey", text.checklist(raw).alias("checklist"))
+    return table(spark, d, "part").select("p_partkey", text.checklist(raw).alias("checklist"))
 
 
 @query("""select l_orderkey, l_linenumber, case l_returnflag when 'N' then 'No' else l_returnflag end returned,
@@ -103,7 +91,7 @@ def yes_no_answers(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.yes_no(F.col("l_returnflag")).alias("returned"), text.yes_no(status).alias("is_open"))
 
 
-_READINGS = """with a as (select doc_id, case when n_chars >= 1500 then '1' when n_chars >= 400 then '' end as value from documents where doc_id % 5 <> 0),
+_READINGS = """with a as (select doc_id, case when n_chars >= 1500 then '1' when n_chars >= 400 then '' end as value from documents),
 b as (select doc_id, cast(quality as varchar) as value from labels)
 """
 
@@ -115,7 +103,7 @@ case when a.doc_id is null then b.value is null else a.value is null and (b.doc_
 from a full outer join b on a.doc_id = b.doc_id""")
 def reconcile_readings(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    a = docs.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("n_chars") >= 1500, "1").when(F.col("n_chars") >= 400, "").alias("value"))
+    a = docs.select("doc_id", F.when(F.col("n_chars") >= 1500, "1").when(F.col("n_chars") >= 400, "").alias("value"))
     b = labels.select("doc_id", F.col("quality").cast("string").alias("value"))
     return records.reconciled(a, b, ["doc_id"], "number").select("doc_id", "value", "alternative", "unreadable")
 
@@ -129,9 +117,13 @@ def agreement(spark, d):
     return j.select("c_custkey", text.same_reading(F.col("c_name"), F.upper("other"), "text").alias("same_text"), text.same_reading(F.col("c_name"), F.col("other"), "phone").alias("same_number"))
 
 
-@query("select o_orderkey, false as is_ref from orders")
+@query("""select o_orderkey, regexp_full_match('SCH-' || left(o_orderpriority, 1) || right('00000' || o_orderkey, greatest(5, length(o_orderkey::varchar))) || case when o_orderstatus = 'F' then 'I' else '' end,
+'[A-Z]{2,5}-[0-9A-HJKMNP-TV-Z]{6}') as is_ref from orders""")
 def reference_check(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", text.is_reference(F.concat(F.lit("SCH-"), F.lpad(F.col("o_orderkey").cast("string"), 5, "0"))).alias("is_ref"))
+    """Some are references, some too long, some end in a letter that the code leaves out."""
+    key = F.col("o_orderkey").cast("string")
+    code = F.concat(F.lit("SCH-"), F.substring("o_orderpriority", 1, 1), F.lpad(key, F.greatest(F.lit(5), F.length(key)), F.lit("0")), F.when(F.col("o_orderstatus") == "F", "I").otherwise(""))
+    return table(spark, d, "orders").select("o_orderkey", text.is_reference(code).alias("is_ref"))
 
 
 @query()
@@ -175,7 +167,7 @@ select l_orderkey, l_linenumber, round(i / (aa + bb - i), 9) iou, round(i / aa,
 def box_iou(spark, d):
     b = _line_boxes(spark, d)
     nxt = b.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("box").alias("other"))
-    j = b.join(nxt, ["l_orderkey", "l_linenumber"])
+    j = b.join(nxt, KEY)
     return j.select("l_orderkey", "l_linenumber", F.round(boxes.iou(_box("box"), _box("other")), 9).alias("iou"), F.round(boxes.containment(_box("box"), _box("other")), 9).alias("inside"))
 
 
@@ -235,6 +227,11 @@ def _near(r: int, what: str, source: str = "px") -> str:
     return f"select a.raster_id, a.y, a.x, a.v, {what} from {source} a join {source} b on a.raster_id = b.raster_id and b.y between a.y - {r} and a.y + {r} and b.x between a.x - {r} and a.x + {r} group by 1, 2, 3, 4"
 
 
+def _kernel(spark, d, kernel, layers: str) -> DataFrame:
+    """The layers (DDL of arrays) that kernel makes of each packed raster, a row a pixel."""
+    return packed.pixels(packed.mapped(packed_rasters(spark, d), kernel, layers), *(x.split()[0] for x in layers.split(", ")))
+
+
 _STATS = "count(*) n, avg(b.v) m, greatest(0, avg(b.v * b.v * 1.0) - avg(b.v) * avg(b.v)) s2"
 
 
@@ -258,65 +255,62 @@ def raster_otsu(spark, d):
 
 @query(PX + f"select raster_id, y, x, n, round(m, 6) mean, round(s2, 4) as variance from ({_near(2, _STATS)})")
 def raster_box_stats(spark, d):
-    return rasters.box_stats(pixels(spark, d), 2).select("raster_id", "y", "x", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
+    made = _kernel(spark, d, lambda a: dict(zip(("n", "mean", "variance"), packed.box_stats(a, 2), strict=True)), "n array<bigint>, mean array<double>, variance array<double>")
+    return made.select("raster_id", "y", "x", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
 
 
 @query(PX + f"select raster_id, y, x, cast(v <= m * (1 + 0.2 * (sqrt(s2) / 128 - 1)) as int) ink from ({_near(2, _STATS)})")
 def raster_sauvola(spark, d):
-    return rasters.sauvola(pixels(spark, d), 2, 0.2, 128.0).select("raster_id", "y", "x", "ink")
+    return _kernel(spark, d, lambda a: {"ink": packed.sauvola(a, 2, 0.2)}, "ink array<int>")
 
 
 @query(PX + f"select raster_id, y, x, cast(v <= m - 7 as int) ink from ({_near(2, _STATS)})")
 def raster_adaptive_mean(spark, d):
-    return rasters.adaptive_mean(pixels(spark, d), 2, 7.0).select("raster_id", "y", "x", "ink")
+    return _kernel(spark, d, lambda a: {"ink": packed.adaptive_mean(a, 2, 7.0)}, "ink array<int>")
 
 
 @query(PX + f"select raster_id, y, x, t as v from ({_near(1, 'max(b.v) t')})")
 def raster_dilate(spark, d):
-    return rasters.dilate(pixels(spark, d), 1)
+    return _kernel(spark, d, lambda a: {"v": packed.extreme(a, 1, 1, True)}, "v array<int>")
 
 
 @query(PX + f"select raster_id, y, x, t as v from ({_near(1, 'min(b.v) t')})")
 def raster_erode(spark, d):
-    return rasters.erode(pixels(spark, d), 1)
+    return _kernel(spark, d, lambda a: {"v": packed.extreme(a, 1, 1, False)}, "v array<int>")
 
 
 @query(PX + f", s as (select raster_id, y, x, t v from ({_near(1, 'min(b.v) t')})) select raster_id, y, x, t as v from ({_near(1, 'max(b.v) t', 's')})")
 def raster_open(spark, d):
-    return rasters.opened(pixels(spark, d), 1)
+    return _kernel(spark, d, lambda a: {"v": packed.extreme(packed.extreme(a, 1, 1, False), 1, 1, True)}, "v array<int>")
 
 
 @query(PX + f", s as (select raster_id, y, x, t v from ({_near(1, 'max(b.v) t')})) select raster_id, y, x, t as v from ({_near(1, 'min(b.v) t', 's')})")
 def raster_close(spark, d):
-    return rasters.closed(pixels(spark, d), 1)
+    return _kernel(spark, d, lambda a: {"v": packed.extreme(packed.extreme(a, 1, 1, True), 1, 1, False)}, "v array<int>")
 
 
 @query(PX + "select a.raster_id, a.y, a.x, max(b.v) as v from px a join px b on a.raster_id = b.raster_id and a.y = b.y and b.x between a.x - 2 and a.x + 2 group by 1, 2, 3")
 def raster_dilate_rect(spark, d):
-    return rasters.dilate(pixels(spark, d), 2, 0)
+    return _kernel(spark, d, lambda a: {"v": packed.extreme(a, 0, 2, True)}, "v array<int>")
 
 
 @query(PX + """, s as (select a.raster_id, a.y, a.x, min(b.v) v from px a join px b on a.raster_id = b.raster_id and a.y = b.y and b.x between a.x - 1 and a.x + 1 group by 1, 2, 3)
 select a.raster_id, a.y, a.x, max(b.v) as v from s a join s b on a.raster_id = b.raster_id and a.y = b.y and b.x between a.x - 1 and a.x + 1 group by 1, 2, 3""")
 def raster_rules(spark, d):
     """Long horizontal rules: an opening along x only."""
-    return rasters.opened(pixels(spark, d), 1, 0)
+    return _kernel(spark, d, lambda a: {"v": packed.extreme(packed.extreme(a, 0, 1, False), 0, 1, True)}, "v array<int>")
 
 
 @query(PX + f"select raster_id, y, x, cast(v > 128 and not t as int) edge from ({_near(1, 'bool_and(b.v > 128) t')})")
 def raster_boundary(spark, d):
-    mask = pixels(spark, d).withColumn("m", (F.col("v") > 128).cast("int"))
-    return rasters.erode(mask, 1, value="m").select("raster_id", "y", "x", ((F.col("v") > 128) & (F.col("m") == 0)).cast("int").alias("edge"))
+    return _kernel(spark, d, lambda a: {"edge": (a > 128) & (packed.extreme((a > 128).astype(float), 1, 1, False) == 0)}, "edge array<int>")
 
 
 @query(PX + "select raster_id, y, x, cast(v > 128 or x + y > 7 as int) either, cast(v > 128 and x + y > 7 as int) \"both\", cast(v > 128 and not x + y > 7 as int) minus, cast(v <= 128 as int) inverse from px")
 def mask_algebra(spark, d):
-    px = pixels(spark, d)
-    a = px.select("raster_id", "y", "x", (F.col("v") > 128).alias("a"))
-    b = px.select("raster_id", "y", "x", (F.col("x") + F.col("y") > 7).alias("b"))
-    j = a.join(b, ["raster_id", "y", "x"])
+    m = pixels(spark, d).select("raster_id", "y", "x", (F.col("v") > 128).alias("a"), (F.col("x") + F.col("y") > 7).alias("b"))
     one = lambda c, n: c.cast("int").alias(n)
-    return j.select("raster_id", "y", "x", one(F.col("a") | F.col("b"), "either"), one(F.col("a") & F.col("b"), "both"), one(F.col("a") & ~F.col("b"), "minus"), one(~F.col("a"), "inverse"))
+    return m.select("raster_id", "y", "x", one(F.col("a") | F.col("b"), "either"), one(F.col("a") & F.col("b"), "both"), one(F.col("a") & ~F.col("b"), "minus"), one(~F.col("a"), "inverse"))
 
 
 @query("with recursive " + PX[5:] + """, s as (select raster_id, y, x from px where v > 170),
@@ -324,24 +318,30 @@ r as (select raster_id, y, x, y * 8 + x as seed from s union select s.raster_id,
 l as (select raster_id, y, x, min(seed) seed from r group by 1, 2, 3)
 select raster_id, cast(row_number() over (partition by raster_id order by seed) as int) as label, count(*) area, min(x) x, min(y) y, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h, avg(x) cx, avg(y) cy from l group by raster_id, seed having count(*) >= 2""")
 def raster_components(spark, d):
-    return rasters.components(pixels(spark, d).withColumn("m", (F.col("v") > 170).cast("int")), "m", 2)
+    mask = packed_rasters(spark, d).withColumn("values", F.transform("values", lambda v: (v > 170).cast("int")))
+    return rasters.components(mask, 2).drop("fill", "aspect")
 
 
 @query(PX + "select a.raster_id, a.y, a.x, cast(sum(b.v) as bigint) s from px a join px b on a.raster_id = b.raster_id and b.y <= a.y and b.x <= a.x group by 1, 2, 3")
 def raster_integral(spark, d):
-    return rasters.integral(pixels(spark, d)).select("raster_id", "y", "x", "s")
+    return _kernel(spark, d, lambda a: {"s": a.cumsum(0).cumsum(1)}, "s array<bigint>")
 
 
 @query(PX + """, k(dx, dy, gx, gy) as (values (-1,-1,-1,-1),(0,-1,0,-2),(1,-1,1,-1),(-1,0,-2,0),(1,0,2,0),(-1,1,-1,1),(0,1,0,2),(1,1,1,1))
 select a.raster_id, a.y, a.x, cast(sum(b.v * gx) as bigint) gx, cast(sum(b.v * gy) as bigint) gy, round(sqrt(sum(b.v * gx) ** 2 + sum(b.v * gy) ** 2), 6) magnitude
 from px a, k, px b where a.raster_id = b.raster_id and b.x = greatest(0, least(7, a.x + dx)) and b.y = greatest(0, least(7, a.y + dy)) group by 1, 2, 3""")
 def raster_sobel(spark, d):
-    return rasters.sobel(pixels(spark, d)).select("raster_id", "y", "x", F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), F.round("magnitude", 6).alias("magnitude"))
+    made = _kernel(spark, d, lambda a: dict(zip(("gx", "gy"), packed.sobel(a), strict=True)), "gx array<bigint>, gy array<bigint>")
+    return made.withColumn("magnitude", F.round(F.hypot("gx", "gy"), 6))
 
 
 @query(PX + f", s as (select raster_id, y, x, cast(round_even(abs(v - m), 0) as int) v from ({_near(1, 'avg(b.v) m')})) select raster_id, y, x, cast(round_even(m, 0) as int) energy from ({_near(4, 'avg(b.v) m', 's')})")
 def raster_high_frequency(spark, d):
-    return rasters.high_frequency(pixels(spark, d))
+    def energy(a):
+        detail = packed.stored(abs(a - packed.box_stats(a, 1)[1]))
+        return {"energy": packed.stored(packed.box_stats(detail, 4)[1])}
+
+    return _kernel(spark, d, energy, "energy array<int>")
 
 
 @query(PX + "select raster_id, y // 4 as ty, x // 4 as tx, count(*) n, round(avg(v), 6) mean, round(stddev_pop(v), 6) deviation from px group by 1, 2, 3")
@@ -352,7 +352,7 @@ def raster_tiles(spark, d):
 @query(PX + """, t as (select unnest(range(3)) t), w as (select a.t y, b.t x, p.raster_id, p.v, greatest(0, least((b.t + 1) * 8 / 3.0, p.x + 1.0) - greatest(b.t * 8 / 3.0, p.x)) * greatest(0, least((a.t + 1) * 8 / 3.0, p.y + 1.0) - greatest(a.t * 8 / 3.0, p.y)) w from px p, t a, t b)
 select raster_id, cast(y as int) y, cast(x as int) x, cast(round_even(round(sum(v * w) / sum(w), 9), 0) as int) as v from w where w > 1e-12 group by raster_id, y, x""")
 def raster_resize(spark, d):
-    return rasters.resized(pixels(spark, d), 8, 3)
+    return _kernel(spark, d, lambda a: {"v": packed.resized(a, 3, 3)}, "v array<int>")
 
 
 @query(PX + "select raster_id, avg(case when v > 200 then 1.0 else 0.0 end) as saturated, avg(v) as mean, count(*) filter (v > 128) as mask_count from px where x between 1 and 6 and y between 1 and 6 group by 1")

@@ -41,3 +41,12 @@ def photo_from_data_url(url: Column, most_bytes: int = 5 * 1024 * 1024) -> Colum
     bad = content.isNull() | (F.octet_length(content) == 0)
     error = F.when(bad, "invalid_photo").when(F.octet_length(content) > most_bytes, "photo_too_large").when(image_kind(content).isNull(), "invalid_photo")
     return F.struct(content.alias("content"), image_kind(content).alias("kind"), error.alias("error"))
+
+
+def packed_rasters(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
+    """raster_id, width, height, values: the rasters of pixels(), a row each, straight from the scan."""
+    values = F.transform("embedding", lambda e: e.cast("double"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("raster_id"), values.alias("e"))
+    e = e.withColumns({"low": F.array_min("e"), "high": F.array_max("e")})
+    scaled = F.transform("e", lambda v: F.when(F.col("high") > F.col("low"), F.bround((v - F.col("low")) * 255 / (F.col("high") - F.col("low")))).otherwise(0.0).cast("int"))
+    return e.select("raster_id", F.lit(width).alias("width"), F.floor(F.size("e") / width).cast("int").alias("height"), scaled.alias("values"))
