@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumetry.functions import boxes, text
-from vellumetry.operators import rasters, records
+from vellumetry.operators import rasters, records, replies
 from vellumetry.sources.tables import image_kind, photo_from_data_url, png_size
 
 
@@ -26,6 +26,7 @@ def one(spark, column, **values):
         ('{"a": 1} } x', None),
         ("{'a': 1}", None),
         ('{"a": NaN}', None),
+        ('Here {"a":"```json x"} ok', {"a": "```json x"}),
         ("[1]", None),
         ("plain", None),
         ("", None),
@@ -53,13 +54,13 @@ def test_clean(spark, raw, flat, lines):
     assert one(spark, text.clean(F.col("v"), True), v=raw) == lines
 
 
-@pytest.mark.parametrize(("a", "b", "kind", "same"), [("B-", "B", "text", True), ("B+", "B", "text", False), ("+1 (2) 3", "123", "phone", True), ("none", "n/a", "phone", True), ("a, B", "b,a", "checklist", True), ("a", "a,b", "checklist", False)])
+@pytest.mark.parametrize(("a", "b", "kind", "same"), [("B-", "B", "text", True), ("B+", "B", "text", False), ("+1 (2) 3", "123", "phone", True), ("none", "n/a", "phone", True), ("a, B", "b,a", "checklist", True), ("a", "a,b", "checklist", False), ("a,", "a", "checklist", True), ("caf\u00e9", "cafe\u0301", "text", True)])
 def test_same_reading(spark, a, b, kind, same):
     assert one(spark, text.same_reading(F.col("a"), F.col("b"), kind), a=a, b=b) is same
 
 
 def test_yes_no_and_reference(spark):
-    assert [one(spark, text.yes_no(F.col("v")), v=v) for v in ("Y.", "ticked", "FALSE", "0", "maybe", "हाँ")] == ["Yes", "Yes", "No", "No", "maybe", "हाँ"]
+    assert [one(spark, text.yes_no(F.col("v")), v=v) for v in ("Y.", "ticked", "FALSE", "0", "maybe", "हाँ")] == ["Yes", "Yes", "No", "No", "maybe", ""]
     assert [one(spark, text.is_reference(F.col("v")), v=v) for v in ("SCH-0A1B2C", "SCH-0A1B2I", "S-0A1B2C", "sch-0A1B2C")] == [True, False, False, False]
 
 
@@ -145,3 +146,39 @@ def test_admissions_of_a_hot_user(spark):
     assert out.where("user <> -1 and not admitted").isEmpty() and out.count() == 200_000
     got = [r.admitted for r in out.where("user = -1").orderBy("tie").collect()]
     assert got == brute_admissions(times, 3, 1000)
+
+
+@pytest.mark.parametrize(("v", "want"), [(5, "5"), (5.0, "5"), (1e-7, "1e-7"), (1.5e-9, "1.5e-9"), (0.000001, "0.000001"), (1e21, "1e+21"), (1e16, "10000000000000000"), (-0.1, "-0.1"), (12345678901234567890, "12345678901234567000"), (1e400, "Infinity")])
+def test_number_text(v, want):
+    assert replies.number_text(v) == want or float(replies.number_text(v)) == float(v) and len(replies.number_text(v)) == len(want)
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ([1, 2, 3, 4], [1, 2, 3, 4]), (["1", 2, 3, "4.5"], [1, 2, 3, 4.5]), ({"x1": 1, "y1": 2, "x2": 3, "y2": 4}, [1, 2, 3, 4]), ({"left": 1, "top": "2", "right": 3, "bottom": 4}, [1, 2, 3, 4]),
+        ({"x": 1, "y": 2, "width": 3, "height": 4}, [1, 2, 4, 6]), ({"x": 1, "y": 2, "w": 3, "h": 4}, [1, 2, 4, 6]), ({"bbox_2d": [1, 2, 3, 4]}, [1, 2, 3, 4]), ("[1,2,3,4]", [1, 2, 3, 4]), ("1, 2 and 3, 4", [1, 2, 3, 4]),
+        ("1 2 3", None), ([1, 2, 3], None), ([1, 2, 3, "x"], None), ({"x1": 1}, None), (None, None), (False, None), ("", None), (7, None), ({"a": 1}, None), ({"x1": True, "y1": 1, "x2": 2, "y2": 3}, None),
+    ],
+)
+def test_box_shapes(raw, want):
+    assert replies.box_of(raw) == want
+
+
+def test_readings_and_their_reconciliation(spark):
+    fields = spark.createDataFrame([("f", "name", "text", None), ("f", "note", "multiline", None), ("f", "sex", "choice", ["Male", "Female"]), ("f", "ill", "yesno", None), ("f", "docs", "checklist", ["Birth Certificate", "Photo"]), ("f", "tel", "phone", None)], "form_id string, field string, kind string, options array<string>")
+    one_ = '{"fields": {"name": ["Al", "", 2], "note": "a\\n\\nb ", "sex": "FEMALE.", "ill": "unticked", "docs": {"photo": true, "x": "no"}, "tel": null}, "photo": [0, 0, 10, 10], "photoPicture": "2"}'
+    two = '{"name": "al, 2", "note": "", "sex": "other", "ill": {}, "docs": ["PHOTO", 3, "birth certificate"], "tel": 5551, "photo_box": "1 2 3 4"}'
+    rows = [(1, "f", one_, two), (2, "f", '{"readable": false, "name": "x"}', two), (3, "f", "nonsense", two)]
+    df = spark.createDataFrame(rows, "k long, form_id string, a string, b string")
+    a, b = (replies.opened(df.select("k", "form_id", F.col(c).alias("reply"))) for c in "ab")
+    ra, rb = replies.readings(a, fields, ["k"]), replies.readings(b, fields, ["k"])
+    got = {r.field: (r.value, r.unreadable, r.off_list) for r in ra.where("k = 1").collect()}
+    assert got == {"name": ("Al, 2", False, False), "note": ("a\nb", False, False), "sex": ("Female", False, False), "ill": ("No", False, False), "docs": ("Photo", False, False), "tel": ("", True, False)}
+    got = {r.field: (r.value, r.unreadable, r.off_list) for r in rb.where("k = 1").collect()}
+    assert got == {"name": ("al, 2", False, False), "note": ("", False, False), "sex": ("other", False, True), "ill": ("", True, False), "docs": ("Photo, Birth Certificate", False, False), "tel": ("5551", False, False)}
+    done = {(r.k, r.field): (r.value, r.alternative, r.unreadable, r.off_list) for r in replies.reconciled_readings(ra, rb, ["k"]).collect()}
+    assert done[1, "name"] == ("Al, 2", None, False, False) and done[1, "sex"] == ("Female", "other", False, False) and done[1, "tel"] == ("5551", "", False, False)
+    assert done[1, "note"] == ("a\nb", "", False, False) and done[2, "sex"] == ("other", None, False, True) and done[2, "ill"] == ("", None, True, False) and (3, "sex") not in done
+    boxes_ = {r.k: (r.box, r.picture) for r in replies.reconciled_boxes(a.where("error_code is null"), b, ["k"]).collect()}
+    assert boxes_ == {1: ([0, 0, 10, 10], 2), 2: ([1, 2, 3, 4], None)}

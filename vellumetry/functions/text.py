@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as the records define it.  A fixed value.
 SPACE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 #: Answers that count as yes or no.  Fixed values.
 YES, NO = ("yes", "y", "true", "ticked", "checked", "1"), ("no", "n", "false", "unticked", "unchecked", "0")
-LONGEST_ANSWER = 2000
+#: The longest answer, what doesn't count in a comparison, and the form of a reference.  Fixed values.
+LONGEST_ANSWER, LIGHT, REFERENCE = 2000, ".,;:'\"`()\\-_/", "^[A-Z]{2,5}-[0-9A-HJKMNP-TV-Z]{6}$"
 
 
 def trimmed(c: Column) -> Column:
@@ -29,8 +34,9 @@ def option_key(c: Column) -> Column:
 
 
 def yes_no(c: Column) -> Column:
+    """An answer without a Latin letter or digit counts as blank."""
     key = option_key(c)
-    return F.when(key.isin(*YES), "Yes").when(key.isin(*NO), "No").otherwise(clean(c, False))
+    return F.when(key == "", "").when(key.isin(*YES), "Yes").when(key.isin(*NO), "No").otherwise(clean(c, False))
 
 
 def checklist(c: Column) -> Column:
@@ -44,18 +50,34 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+@F.pandas_udf(StringType())
+def _composed(c: pd.Series) -> pd.Series:
+    return c.map(lambda s: s and unicodedata.normalize("NFC", s), na_action="ignore")
+
+
+def composed(c: Column) -> Column:
+    """Unicode's composed form.  Plain ASCII, which is composed as it is, goes to Python as a null."""
+    return F.coalesce(_composed(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def loose(c: Column) -> Column:
-    """For comparing: lower case, runs of white space and light punctuation as one space."""
-    return trimmed(F.regexp_replace(F.lower(c), f"[{SPACE}.,;:'\"`()\\-_/]+", " "))
+    """For comparing: lower case, runs of white space and light punctuation as one space.  Composed text is expected."""
+    return trimmed(F.regexp_replace(F.lower(c), f"[{SPACE}{LIGHT}]+", " "))
+
+
+def _items_key(c: Column) -> Column:
+    items = F.filter(F.transform(F.split(c, ","), trimmed), lambda x: x != "")
+    return F.array_sort(F.array_distinct(F.transform(items, loose)))
+
+
+def same_by_kind(a: Column, b: Column, kind: Column) -> Column:
+    """Whether two readings of a field agree: by digits, as sets of items, or loosely."""
+    a, b = composed(a), composed(b)
+    return F.when(kind.isin("phone", "number"), digits(a) == digits(b)).when(kind == "checklist", _items_key(a) == _items_key(b)).otherwise(loose(a) == loose(b))
 
 
 def same_reading(a: Column, b: Column, kind: str) -> Column:
-    if kind in ("phone", "number"):
-        return digits(a) == digits(b)
-    if kind == "checklist":
-        key = lambda c: F.array_sort(F.array_distinct(F.transform(F.split(c, ","), loose)))
-        return key(a) == key(b)
-    return loose(a) == loose(b)
+    return same_by_kind(a, b, F.lit(kind))
 
 
 def initials(c: Column) -> Column:
@@ -64,7 +86,7 @@ def initials(c: Column) -> Column:
 
 
 def is_reference(c: Column) -> Column:
-    return c.rlike("^[A-Z]{2,5}-[0-9A-HJKMNP-TV-Z]{6}$")
+    return c.rlike(REFERENCE)
 
 
 def summary(parts: list[Column]) -> Column:

@@ -78,7 +78,7 @@ def percentile(px: DataFrame, share: float) -> DataFrame:
     w = Window.partitionBy("raster_id")
     cumulated = h.withColumns({"below": F.sum("n").over(w.orderBy("v")), "total": F.sum("n").over(w)})
     hit = F.when(F.col("below") >= share * F.col("total"), F.col("v"))
-    return cumulated.groupBy("raster_id").agg(F.coalesce(F.min(hit), F.lit(255)).alias("value"))
+    return cumulated.groupBy("raster_id").agg((F.lit(0) if share <= 0 else F.coalesce(F.min(hit), F.lit(255))).alias("value"))
 
 
 def otsu(px: DataFrame) -> DataFrame:

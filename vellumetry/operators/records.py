@@ -98,9 +98,9 @@ def reply_object(text: str | None) -> dict | None:
     def refuse(name: str):
         raise ValueError(name)
 
-    stripped = (text or "").strip()
-    plain = _FENCE.sub("", stripped).strip()
-    inner = plain[plain.find("{") : plain.rfind("}") + 1] if "{" in plain else ""
+    whole = text or ""
+    stripped, plain = whole.strip(), _FENCE.sub("", whole).strip()
+    inner = whole[whole.find("{") : whole.rfind("}") + 1] if "{" in whole else ""
     for candidate in (stripped, plain, inner):
         try:
             found = json.loads(candidate, parse_constant=refuse)
