@@ -92,3 +92,13 @@ def is_reference(c: Column) -> Column:
 def summary(parts: list[Column]) -> Column:
     kept = F.filter(F.transform(F.array(*parts), lambda x: trimmed(F.coalesce(x, F.lit("")))), lambda x: x != "")
     return F.array_join(kept, " · ")
+
+
+def is_uuid(c: Column) -> Column:
+    return c.rlike("^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+
+
+def section_lines(values: Column, keys: Column, labels: Column) -> Column:
+    """A section's fields that aren't blank, in order: an array of (label, value)."""
+    pairs = F.zip_with(labels, keys, lambda name, k: F.struct(name.alias("label"), trimmed(F.coalesce(F.try_element_at(values, k), F.lit(""))).alias("value")))
+    return F.filter(pairs, lambda p: p["value"] != "")

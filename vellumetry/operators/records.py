@@ -8,7 +8,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumetry.functions.text import clean, same_reading, trimmed
@@ -158,3 +158,25 @@ def filled(values: Column) -> Column:
 def projected(values: Column, keys: list[str]) -> Column:
     """Values on a form's keys: unknown keys go, missing ones are blank."""
     return F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(clean(F.coalesce(F.try_element_at(values, F.lit(k)), F.lit("")), False) for k in keys)))
+
+
+def by_id(df: DataFrame, key: str, wanted: Column) -> DataFrame:
+    """The row of one key: no row if there is none, an error if there are several."""
+    found = df.where(F.col(key) == wanted)
+    n = F.count("*").over(Window.partitionBy(key))  # one key's rows, pushed down to the scan
+    return found.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(F.lit("more than one row of a key")).cast("boolean")).otherwise(True)).drop("_n")
+
+
+def applied(log: DataFrame, key: list[str], seq: str, deleted: Column, photo_op: Column, photo: Column, values: list[str]) -> DataFrame:
+    """The records that a log of saves and deletions leaves: key, the last values, photo, first_seq and last_seq.
+
+    photo_op: 'keep' leaves the photo that earlier saves set, 'remove' clears it, 'replace' sets it.  A save after a
+    deletion begins a new record.  Two partial aggregates; no window, so that a hot key is combined before the shuffle."""
+    rows = log.select(*key, seq, *values, deleted.alias("_gone"), photo_op.alias("_op"), photo.alias("_photo"))
+    ended = rows.where("_gone").groupBy(*key).agg(F.max(seq).alias("_end"))
+    live = rows.join(ended, key, "left").where(~F.col("_gone") & (F.col("_end").isNull() | (F.col(seq) > F.col("_end"))))
+    said = F.when(F.col("_op") != "keep", F.col(seq))
+    kept = F.when(F.col("_op") == "replace", F.col("_photo"))
+    last = F.max_by(F.struct(*values), F.col(seq))
+    out = live.groupBy(*key).agg(last.alias("r"), F.max_by(F.struct(kept.alias("p")), said)["p"].alias("photo"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"))
+    return out.select(*key, *(F.col(f"r.{v}").alias(v) for v in values), "photo", "first_seq", "last_seq")

@@ -66,12 +66,12 @@ def clean_answers(spark, d):
 
 
 @query("""select p_partkey, case when o.p is null then p_type else o.p end as answer, o.p is null as off_list
-from part left join (select regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g') k, min(p_type) p from part group by 1) o
-on o.k = regexp_replace(lower(p_type || '. '), '[^a-z0-9]+', '', 'g')""")
+from part left join (select regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g') k, min(p_type) p from part where p_size < 3 group by 1) o
+on o.k = regexp_replace(lower(p_type || '. ' || case when p_size % 5 = 0 then 'x' else '' end), '[^a-z0-9]+', '', 'g')""")
 def option_match(spark, d):
     part = table(spark, d, "part")
-    options = part.groupBy(text.option_key(F.col("p_type")).alias("k")).agg(F.min("p_type").alias("printed"))
-    joined = part.join(options, text.option_key(F.concat("p_type", F.lit(". "))) == F.col("k"), "left")
+    options = part.where("p_size < 3").groupBy(text.option_key(F.col("p_type")).alias("k")).agg(F.min("p_type").alias("printed"))
+    joined = part.join(options, text.option_key(F.concat("p_type", F.lit(". "), F.when(F.col("p_size") % 5 == 0, "x").otherwise(""))) == F.col("k"), "left")
     return joined.select("p_partkey", F.coalesce("printed", "p_type").alias("answer"), F.col("printed").isNull().alias("off_list"))
 
 
@@ -108,13 +108,13 @@ def reconcile_readings(spark, d):
     return records.reconciled(a, b, ["doc_id"], "number").select("doc_id", "value", "alternative", "unreadable")
 
 
-@query("""select a.c_custkey, a.c_name = b.c_name and true as same_text, regexp_replace(a.c_name, '[^0-9]', '', 'g') = regexp_replace(b.c_name, '[^0-9]', '', 'g') as same_number
+@query("""select a.c_custkey, a.c_custkey % 2 = 1 as same_text, regexp_replace(a.c_name, '[^0-9]', '', 'g') = regexp_replace(b.c_name, '[^0-9]', '', 'g') as same_number
 from customer a join customer b on a.c_custkey = b.c_custkey + 1""")
 def agreement(spark, d):
     c = table(spark, d, "customer")
     b = c.select((F.col("c_custkey") + 1).alias("c_custkey"), F.col("c_name").alias("other"))
     j = c.join(b, "c_custkey")
-    return j.select("c_custkey", text.same_reading(F.col("c_name"), F.upper("other"), "text").alias("same_text"), text.same_reading(F.col("c_name"), F.col("other"), "phone").alias("same_number"))
+    return j.select("c_custkey", text.same_reading(F.col("c_name"), F.when(F.col("c_custkey") % 2 == 1, F.concat(F.lit("("), F.upper("c_name"), F.lit(")."))).otherwise(F.col("other")), "text").alias("same_text"), text.same_reading(F.col("c_name"), F.col("other"), "phone").alias("same_number"))
 
 
 @query("""select o_orderkey, regexp_full_match('SCH-' || left(o_orderpriority, 1) || right('00000' || o_orderkey, greatest(5, length(o_orderkey::varchar))) || case when o_orderstatus = 'F' then 'I' else '' end,
@@ -126,7 +126,11 @@ def reference_check(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.is_reference(code).alias("is_ref"))
 
 
-@query()
+@query("""with recursive e as (select user_id, event_id, epoch_ms(ts) t, row_number() over (partition by user_id order by epoch_ms(ts), event_id) k from events),
+r as (select user_id, event_id, k, true as admitted, t last, cast(null as bigint) earlier from e where k = 1 union all
+select n.user_id, n.event_id, n.k, ok, case when ok then t else last end, case when ok then last else earlier end
+from (select e.*, r.last, r.earlier, r.earlier is null or e.t - r.earlier >= 86400000 ok from r join e on e.user_id = r.user_id and e.k = r.k + 1) n)
+select user_id, event_id, admitted from r""")
 def admissions(spark, d):
     """At most 2 a user within a day, refused ones holding no slot."""
     e = table(spark, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "event_id")
@@ -205,13 +209,13 @@ def homography_points(spark, d):
 
 
 @query("""with p as (select r_regionkey k, unnest([0, 1, 2, 3]) i from region), c as (select k, i, case i when 0 then 10 + k when 1 then 90 - k when 2 then 95 else 5 end x, case i when 0 then 12 when 1 then 8 + k when 2 then 88 else 92 - k end y from p)
-select o.o_orderkey, min_by(x, x + y) tlx, min_by(y, x + y) tly, max_by(x, x + y) brx, max_by(y, x + y) bry from orders o join c on c.k = o.o_orderkey % 5 group by 1""")
+select o.o_orderkey, min_by(x, x + y) tlx, min_by(y, x + y) tly, max_by(x, x - y) trx, max_by(y, x - y) try_, max_by(x, x + y) brx, max_by(y, x + y) bry, min_by(x, x - y) blx, min_by(y, x - y) bly from orders o join c on c.k = o.o_orderkey % 5 group by 1""")
 def quad_corners(spark, d):
     k = (F.col("o_orderkey") % 5).cast("int")
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     points = F.array(point(F.lit(95), F.lit(88)), point(F.lit(5), 92 - k), point(10 + k, F.lit(12)), point(90 - k, 8 + k))
     q = table(spark, d, "orders").select("o_orderkey", boxes.quad_order(points).alias("q"))
-    return q.select("o_orderkey", F.col("q")[0]["x"].alias("tlx"), F.col("q")[0]["y"].alias("tly"), F.col("q")[2]["x"].alias("brx"), F.col("q")[2]["y"].alias("bry"))
+    return q.select("o_orderkey", *(F.col("q")[i][c].alias(n) for i, x, y in ((0, "tlx", "tly"), (1, "trx", "try_"), (2, "brx", "bry"), (3, "blx", "bly")) for c, n in (("x", x), ("y", y))))
 
 
 # ---- rasters
