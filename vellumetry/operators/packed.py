@@ -205,3 +205,32 @@ def warped(a: np.ndarray, to_source: list[float], height: int, width: int) -> np
     sx, sy = (np.where(flat, 0, (m[k, 0] * x + m[k, 1] * y + m[k, 2]) / den) for k in (0, 1))
     outside = flat | (sx < 0) | (sy < 0) | (sx > a.shape[1] - 1) | (sy > a.shape[0] - 1)
     return np.where(outside, 0, stored(np.round(sampled(a, sx, sy), 9)))
+
+
+def stroke_widths(mask: np.ndarray) -> dict[str, np.ndarray]:
+    """Median, spread around it, their ratio and number of the widths at the ridges of the distance, borders left out."""
+    d = distance(mask)
+    c = d[1:-1, 1:-1]
+    ridge = (c >= d[1:-1, :-2]) & (c >= d[1:-1, 2:]) | (c >= d[:-2, 1:-1]) & (c >= d[2:, 1:-1])
+    w = np.sort(2 * c[ridge & (c >= 0.8)])
+    median = float(w[len(w) // 2]) if len(w) else 0.0
+    spread = float(np.sqrt(((w - median) ** 2).mean())) if len(w) else 0.0
+    return {"median": np.array([[median]]), "spread": np.array([[spread]]), "variation": np.array([[spread / median if median > 0 else 0.0]]), "samples": np.array([[len(w)]])}
+
+
+def tone_spread(a: np.ndarray) -> float:
+    """How densely the tones between the 2nd and the 98th percentile are taken, less for a narrow range."""
+    bins = np.bincount(a.astype(np.int64).ravel(), minlength=256)
+    below, n = bins.cumsum(), a.size
+    low, high = (int(np.searchsorted(below, n * f)) for f in (0.02, 0.98))
+    return float((bins[low : high + 1] > n * 0.002).mean() * min(1, (high - low) / 64)) if high > low else 0.0
+
+
+def textured(a: np.ndarray, least_variance: float, window: int = 9) -> float:
+    """The share of windows, half a window apart, whose variance is above the paper's."""
+    half = max(1, window // 2)
+    h, w = a.shape
+    if h < window or w < window:
+        return 0.0
+    variance = box_stats(a, half)[2][half : h - half : half, half : w - half : half]
+    return float((variance > least_variance).mean()) if variance.size else 0.0

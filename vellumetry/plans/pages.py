@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumetry.functions import boxes, colour, pages
-from vellumetry.operators import packed, rasters
+from vellumetry.operators import packed, rasters, shapes
 from vellumetry.plans.catalogue import _LINE_BOXES, KEY, PX, _box, _kernel, _line_boxes
 from vellumetry.plans.registry import query
 from vellumetry.sources.tables import packed_rasters, table
@@ -260,3 +260,61 @@ def raster_component_figures(spark, d):
     inside = (F.col("x") >= 1) & (F.col("y") >= 1) & (F.col("x") + F.col("w") <= 7) & (F.col("y") + F.col("h") <= 7)
     place = F.row_number().over(rasters.Window.partitionBy("raster_id").orderBy(F.desc("area"), "y", "x", "w", "h"))
     return c.select("raster_id", "area", F.round("fill", 9).alias("fill"), F.round("aspect", 9).alias("aspect"), inside.alias("inside"), place.alias("place"))
+
+
+@query(PX + """, k as (select *, v > 90 ink from px), t as (select a.raster_id, a.y, a.x, case when a.ink then min(4 * least(abs(a.x - b.x), abs(a.y - b.y)) + 3 * (greatest(abs(a.x - b.x), abs(a.y - b.y)) - least(abs(a.x - b.x), abs(a.y - b.y)))) / 3.0 else 0 end d
+from k a join k b on a.raster_id = b.raster_id and not b.ink group by a.raster_id, a.y, a.x, a.ink), r as (select c.raster_id, 2 * c.d w from t c join t l on l.raster_id = c.raster_id and l.y = c.y and l.x = c.x - 1 join t r on r.raster_id = c.raster_id and r.y = c.y and r.x = c.x + 1
+join t u on u.raster_id = c.raster_id and u.x = c.x and u.y = c.y - 1 join t o on o.raster_id = c.raster_id and o.x = c.x and o.y = c.y + 1 where c.d >= 0.8 and (c.d >= l.d and c.d >= r.d or c.d >= u.d and c.d >= o.d)),
+s as (select raster_id, list(w order by w) l from r group by 1), p as (select raster_id, l, l[len(l) // 2 + 1] med from s), q as (select raster_id, len(l) n, med, sqrt(list_avg(list_transform(l, lambda z: (z - med) * (z - med)))) dev from p)
+select raster_id, round(med, 6) median, round(dev, 6) spread, round(dev / med, 6) variation, cast(n as int) samples from q""")
+def raster_stroke_widths(spark, d):
+    """Rasters with ridges only."""
+    made = packed.mapped(packed_rasters(spark, d), lambda a: packed.stroke_widths(a > 90), "median array<double>, spread array<double>, variation array<double>, samples array<int>")
+    return made.where(F.col("samples")[0] > 0).select("raster_id", *(F.round(F.col(c)[0], 6).alias(c) for c in ("median", "spread", "variation")), F.col("samples")[0].alias("samples"))
+
+
+@query(PX + """, h as (select raster_id, v, count(*) n, sum(count(*)) over (partition by raster_id order by v) c from px group by 1, 2), b as (select raster_id, min(v) filter (c >= 64 * 0.02) low, min(v) filter (c >= 64 * 0.98) high from h group by 1)
+select b.raster_id, round(count(h.v) / (high - low + 1) * least(1, (high - low) / 64), 9) spread from b join h on h.raster_id = b.raster_id and h.v between low and high group by 1, low, high""")
+def raster_tone_spread(spark, d):
+    made = packed.mapped(packed_rasters(spark, d), lambda a: {"spread": packed.np.array([[packed.tone_spread(a)]])}, "spread array<double>")
+    return made.select("raster_id", F.round(F.col("spread")[0], 9).alias("spread"))
+
+
+@query(PX + """, s as (select c.raster_id, c.y, c.x, avg(p.v * p.v * 1.0) - avg(p.v) * avg(p.v) s2 from px c join px p on p.raster_id = c.raster_id and p.y between c.y - 1 and c.y + 1 and p.x between c.x - 1 and c.x + 1 where c.y between 1 and 6 and c.x between 1 and 6 group by 1, 2, 3)
+select raster_id, round(avg(case when s2 > 2500 then 1.0 else 0.0 end), 9) share from s group by 1""")
+def raster_textured(spark, d):
+    made = packed.mapped(packed_rasters(spark, d), lambda a: {"share": packed.np.array([[packed.textured(a, 2500.0, 3)]])}, "share array<double>")
+    return made.select("raster_id", F.round(F.col("share")[0], 9).alias("share"))
+
+
+@query("""with p as (select l_orderkey k, l_extendedprice x, l_quantity * 997 + l_discount * 31 + l_linenumber / 7.0 y from lineitem), e as (select a.k, a.x ax, a.y ay, b.x bx, b.y by_ from p a join p b on a.k = b.k and (a.x <> b.x or a.y <> b.y)),
+s as (select e.*, (bx - ax) / sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) c, (by_ - ay) / sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) s from e),
+h as (select s.k, ax, ay, bx, by_, min((bx - ax) * (p.y - ay) - (by_ - ay) * (p.x - ax)) side, (max(p.x * c + p.y * s) - min(p.x * c + p.y * s)) * (max(p.y * c - p.x * s) - min(p.y * c - p.x * s)) box, count(*) n from s join p on p.k = s.k group by 1, 2, 3, 4, 5)
+select k as l_orderkey, cast(count(*) as int) corners, round(sum(ax * by_ - bx * ay) / 2000, 1) area, round(min(box) / 1000, 1) box_area from h where side >= -1e-6 and n > 2 group by 1""")
+def hull_figures(spark, d):
+    """Convex hull and smallest rectangle of each order's lines as points; orders of three lines or more.  In the SQL a side of the
+    hull has no point to its right."""
+    p = table(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("x"), (F.col("l_quantity") * 997 + F.col("l_discount") * 31 + F.col("l_linenumber") / 7).alias("y"))
+
+    def kernel(x, y):
+        h = shapes.hull(x, y)
+        return [(len(h), shapes.area(h), shapes.least_rectangle(h)[2] * shapes.least_rectangle(h)[3])] if len(h) > 2 else []
+
+    out = shapes.by_set(p, "l_orderkey", ["x", "y"], kernel, "corners int, area double, box_area double")
+    return out.select("l_orderkey", "corners", F.round(F.col("area") / 1000, 1).alias("area"), F.round(F.col("box_area") / 1000, 1).alias("box_area"))
+
+
+@query("""with p as (select p_partkey, p_size k from part) select p_partkey, round((1.2 * 30 + 0.1 * 20 + k) / (0.001 * 30 + 0.002 * 20 + 1), 5) x, round((0.05 * 30 + 0.9 * 20 + 2 * k) / (0.001 * 30 + 0.002 * 20 + 1), 5) y from p""")
+def homography_fit(spark, d):
+    """A map estimated from four corners and where it took them, at a point that was not among them."""
+    corner = F.explode(F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (100, 0), (100, 80), (0, 80))))).alias("c")
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("k"), corner).select("p_partkey", "k", "c.*")
+    w = 0.001 * F.col("x") + 0.002 * F.col("y") + 1
+    p = p.withColumns({"u": (1.2 * F.col("x") + 0.1 * F.col("y") + F.col("k")) / w, "v": (0.05 * F.col("x") + 0.9 * F.col("y") + 2 * F.col("k")) / w})
+
+    def kernel(*at):
+        m = shapes.homography(*at)
+        return [] if m is None else [(m.ravel().tolist(),)]
+
+    found = shapes.by_set(p, "p_partkey", ["x", "y", "u", "v"], kernel, "m array<double>").withColumn("t", pages.through(F.col("m"), F.lit(30.0), F.lit(20.0)))
+    return _rounded(found, ["p_partkey"], 5, x=F.col("t.x"), y=F.col("t.y"))
