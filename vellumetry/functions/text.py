@@ -22,11 +22,15 @@ def trimmed(c: Column) -> Column:
 
 
 def clean(c: Column, multiline: bool) -> Column:
-    """Line ends become LF, other control characters go (tabs too, before white space is collapsed), blank lines go."""
+    """Line ends become LF, other control characters go (tabs too, before white space is collapsed), blank lines go.  Most
+    answers need none of it, which one search tells."""
+    whole = c
     c = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[\x00-\x09\x0B-\x1F\x7F]", "")
     c = F.regexp_replace(c, f"[{SPACE}&&[^\n]]+", " ")
     lines = F.filter(F.transform(F.split(c, "\n"), trimmed), lambda x: x != "")
-    return F.substring(F.array_join(lines, "\n" if multiline else ", "), 1, LONGEST_ANSWER)
+    tidy = F.substring(F.array_join(lines, "\n" if multiline else ", "), 1, LONGEST_ANSWER)
+    dirty = f"[\\x00-\\x1F\\x7F]|[{SPACE}&&[^ ]]|  |^ | $"
+    return F.when(whole.rlike(dirty) | (F.char_length(whole) > LONGEST_ANSWER), tidy).otherwise(whole)
 
 
 def option_key(c: Column) -> Column:

@@ -1,13 +1,15 @@
-"""Shapes of bounded point sets: the points of a component, the corners of a page.  A set meets in one group, which its
-raster bounds; Spark deals the sets out."""
+"""Shapes of bounded point sets: the points of a component, the corners of a page.  Spark deals the sets out and sorts them;
+a task holds one set and one batch, and each set is bounded by its raster.  Points without a set are left out."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def by_set(points: DataFrame, key: str, columns: list[str], kernel: Callable[..., list[tuple]], made: str) -> DataFrame:
@@ -17,13 +19,35 @@ def by_set(points: DataFrame, key: str, columns: list[str], kernel: Callable[...
 
     schema = StructType([points.schema[key]] + StructType.fromDDL(made).fields)
 
-    def run(group: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
-        rows = kernel(*(table[c].to_numpy() for c in columns))
+    def rows_of(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        """part: whole sets, one after another."""
+        keys = part[key].combine_chunks()
+        ends = [*(np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(keys)]
+        cells, out, a = [part[c].to_numpy() for c in columns], [], 0
+        for b in ends:
+            out += [(keys[a].as_py(), *r) for r in kernel(*(c[a:b] for c in cells))]
+            a = b
         arrow = to_arrow_schema(schema)
-        cells = list(zip(*((group[0].as_py(), *r) for r in rows), strict=True)) or [()] * len(arrow)
-        return pa.table([pa.array(c, type=f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
-
-    return points.select(key, *columns).groupBy(key).applyInArrow(run, schema)
+        made_ = list(zip(*out, strict=True)) or [()] * len(arrow)
+        yield from pa.table([pa.array(c, type=f.type) for c, f in zip(made_, arrow, strict=True)], schema=arrow).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None  # the last set may go on in the next batch
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if rest is None else pa.concat_tables([rest, part])
+            if not len(part):
+                continue
+            same = pc.equal(part[key], part[key][-1]).to_numpy()
+            whole = len(part) - int(np.argmin(same[::-1])) if not same.all() else 0
+            rest = part.slice(whole)
+            if whole:
+                yield from rows_of(part.slice(0, whole))
+        if rest is not None and len(rest):
+            yield from rows_of(rest)
+
+    sets = points.select(key, *columns).where(F.col(key).isNotNull())
+    return sets.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
