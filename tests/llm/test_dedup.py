@@ -261,7 +261,10 @@ def test_repeated_passages(spark, sf):
     assert {r.doc_id for r in spans} == set(range(101, 130))
     texts = dict(clean + hit + inner)
     assert all(texts[r.doc_id][r.span_start : r.span_end].strip() in passage and r.source_doc_id == 100 for r in spans)
-    cut = {r.doc_id: r.text for r in substring.without_spans(df, spark.createDataFrame(spans)).collect()}
+    clashing = df.selectExpr("*", "1 as gone_spans", "2 as span_start")
+    cut_rows = substring.without_spans(clashing, spark.createDataFrame(spans)).collect()
+    assert {(r.gone_spans, r.span_start) for r in cut_rows} == {(1, 2)}
+    cut = {r.doc_id: r.text for r in cut_rows}
     assert cut[100] == texts[100] and cut[201] is None and len(cut[101]) < len(texts[101]) - 150
     assert substring.repeated_spans(df.where("false")).collect() == []
 

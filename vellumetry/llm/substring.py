@@ -12,7 +12,8 @@ Hot passages: a digest meets its documents in a join of two tables, which adapti
 the smallest and largest doc_id are kept, by partial aggregation.
 
 Defined cases: null text counts as empty and has no chunks; repeats inside one document are left alone; the document of
-the smallest id keeps a passage; repeated rows of a doc_id count as one document; an empty table gives no spans.
+the smallest id keeps a passage; repeated rows of a doc_id count as one document; an empty table
+gives no spans; extra columns are not read, and without_spans carries them, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumetry.llm.common import map_columns, small_batches, written
+from vellumetry.llm.common import fresh, map_columns, small_batches, written
 
 SHIFT, SHORTEST, LONGEST, CANDIDATE_WORDS, LEAST_WORDS, SEED = 4, 12, 64, 8, 51, 7
 CHUNKS = "digest long, doc_id long, place long, extent long"
@@ -177,7 +178,8 @@ def repeated_spans(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
 
 def without_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     """documents with the spans cut out of text.  Documents without spans keep their text as it is."""
-    by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("gone_spans"))
+    held = fresh(documents.columns, "gone_spans")
+    by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias(held))
     joined = documents.join(by_doc, "doc_id", "left")
 
     def cut(text: str | None, gone: list | None) -> str | None:
@@ -190,5 +192,5 @@ def without_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
         return "".join([*out, text[at:]])
 
     names = documents.columns
-    kept = map_columns(joined, ["text", "gone_spans"], [c for c in names if c != "text"], lambda: lambda rows: ((cut(t, g),) for t, g in rows), "text string")
+    kept = map_columns(joined, ["text", held], [c for c in names if c != "text"], lambda: lambda rows: ((cut(t, g),) for t, g in rows), "text string")
     return kept.select(*names)
