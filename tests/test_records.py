@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vellumetry.functions import boxes, text
 from vellumetry.operators import rasters, records, replies
+from vellumetry.sources import headers
 from vellumetry.sources.tables import image_kind, photo_from_data_url, png_size
 
 
@@ -182,3 +183,15 @@ def test_readings_and_their_reconciliation(spark):
     assert done[1, "note"] == ("a\nb", "", False, False) and done[2, "sex"] == ("other", None, False, True) and done[2, "ill"] == ("", None, True, False) and (3, "sex") not in done
     boxes_ = {r.k: (r.box, r.picture) for r in replies.reconciled_boxes(a.where("error_code is null"), b, ["k"]).collect()}
     assert boxes_ == {1: ([0, 0, 10, 10], 2), 2: ([1, 2, 3, 4], None)}
+
+
+def test_image_sizes(spark):
+    app = b"\xff\xe1" + (40).to_bytes(2, "big") + b"\xff\xc0" * 19
+    jpeg = b"\xff\xd8" + app + b"\xff\xff\xc2\x00\x11\x08" + (480).to_bytes(2, "big") + (640).to_bytes(2, "big") + b"\x03" * 9
+    vp8x = b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
+    vp8l = b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + ((30 - 1) | (20 - 1) << 14).to_bytes(4, "little") + bytes(5)
+    vp8 = b"RIFF\0\0\0\0WEBPVP8 " + bytes(7) + b"\x9d\x01\x2a" + (77).to_bytes(2, "little") + (66).to_bytes(2, "little")
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 5, 7)
+    cases = [(jpeg, (640, 480)), (vp8x, (100, 50)), (vp8l, (30, 20)), (vp8, (77, 66)), (png, (5, 7)), (jpeg[:45], (None, None)), (b"", (None, None)), (None, (None, None)), (b"text", (None, None))]
+    df = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(cases)], "k int, c binary")
+    assert [(r.s.width, r.s.height) for r in df.select("k", headers.image_size(F.col("c")).alias("s")).orderBy("k").collect()] == [want for _, want in cases]
