@@ -124,3 +124,9 @@ def bounds(points: Column) -> Column:
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     x, y = F.array_min(xs), F.array_min(ys)
     return F.when(F.size(points) > 0, rect(x, y, F.array_max(xs) - x, F.array_max(ys) - y))
+
+
+def gaps(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """How far two boxes are apart across and down; 0 where they overlap on that axis."""
+    apart = lambda p, q, pl, ql: F.greatest(F.lit(0.0), p - (q + ql), q - (p + pl))
+    return F.struct(apart(a[0], b[0], a[2], b[2]).alias("x"), apart(a[1], b[1], a[3], b[3]).alias("y"))

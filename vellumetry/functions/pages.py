@@ -10,6 +10,7 @@ from vellumetry.functions.boxes import rect, round_half_up
 #: Dots per inch of the page raster, of details and of what is delivered; paper and photo sizes (mm).  Fixed values.
 PAGE_DPI, DETAIL_DPI, OUT_DPI, MM_PER_INCH = 200, 300, 300, 25.4
 A4 = (210.0, 297.0)
+PAGE_SIZES = {"A4": A4, "A5": (148.0, 210.0), "LETTER": (215.9, 279.4), "LEGAL": (215.9, 355.6), "FOOLSCAP": (215.9, 330.2)}
 
 
 def to_pixels(mm: Column, dpi: int = PAGE_DPI) -> Column:
@@ -110,3 +111,18 @@ def fitted_line(x: Column, y: Column) -> Column:
     level = F.when(sxx >= syy, 0.0).otherwise(1.0)
     na, nb = F.when(norm < 1e-12, level).otherwise(sxy / norm), F.when(norm < 1e-12, 1 - level).otherwise(b / norm)
     return F.when(n >= 2, F.struct(na.alias("a"), nb.alias("b"), (-(na * mx + nb * my)).alias("c")))
+
+
+def polygon_area(points: Column) -> Column:
+    """Of a closed polygon, from an array of its corners in order."""
+    n = F.size(points)
+    crossed = F.transform(points, lambda p, i: p["x"] * points[(i + 1) % n]["y"] - points[(i + 1) % n]["x"] * p["y"])
+    return F.abs(F.aggregate(crossed, F.lit(0.0), lambda s, v: s + v)) / 2
+
+
+def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """From a point to the nearest point of a segment, which may be a single point."""
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = F.when(length < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / F.when(length >= 1e-12, length))))
+    return F.hypot(px - (ax + t * dx), py - (ay + t * dy))

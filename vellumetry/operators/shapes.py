@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -130,3 +130,69 @@ def near_groups(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, gap_
             break
         boxes = np.array([[*boxes[label == k, :2].min(0), *boxes[label == k, 2:].max(0)] for k in names])
     return np.concatenate([boxes[:, :2], boxes[:, 2:] - boxes[:, :2]], 1)
+
+
+def simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Places of the corners that a closed polygon keeps, from the first of two far corners on: a stretch between kept corners
+    is cut at its farthest point while that lies further than the tolerance from the straight way."""
+    n = len(x)
+    if n < 3:
+        return np.arange(n)
+    p = np.stack([x, y], 1).astype(float)
+    away = lambda i: ((p - p[i]) ** 2).sum(1)
+    one = 1 + int(away(0)[1:].argmax())
+    start, end = sorted((one, int(away(one).argmax())))
+    loop = np.concatenate([np.roll(p, -start, 0), p[start : start + 1]])
+    kept, todo = {0, end - start}, [(0, end - start), (end - start, n)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        side, rest = loop[b] - loop[a], loop[a + 1 : b] - loop[a]
+        length = float(side @ side)
+        t = np.clip(rest @ side / length, 0, 1) if length >= 1e-12 else np.zeros(len(rest))
+        far = np.hypot(*(rest - t[:, None] * side).T)
+        k = int(far.argmax())
+        if far[k] > tolerance:
+            kept.add(a + 1 + k)
+            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+    return (np.array(sorted(kept)) + start) % n
+
+
+def stroke_groups(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, ink: np.ndarray, gap_x: float, gap_y: float, cap: tuple[float, ...] | None = None) -> np.ndarray:
+    """Rows (x, y, w, h, ink, boxes) of groups of boxes, most ink first: the closest two within the gaps become one, one pair at
+    a time, unless their joint box would leave the cap (x, y, w, h).  Of equally close pairs the earlier groups go first; a
+    new group comes last."""
+    g = np.stack([x, y, x + w, y + h, ink, np.ones(len(x))], 1).astype(float)
+    while len(g) > 1:
+        low, high = np.maximum(g[:, None, :2], g[None, :, :2]), np.minimum(g[:, None, 2:4], g[None, :, 2:4])
+        apart = np.maximum(low - high, 0)
+        fits = np.triu((apart <= (gap_x, gap_y)).all(2), 1)
+        if cap:
+            left, right = np.minimum(g[:, None, :2], g[None, :, :2]), np.maximum(g[:, None, 2:4], g[None, :, 2:4])
+            fits &= (left >= cap[:2]).all(2) & (right <= np.add(cap[:2], cap[2:])).all(2)
+        if not fits.any():
+            break
+        cost = np.where(fits, (apart / np.maximum(1e-6, (gap_x, gap_y))).sum(2), np.inf)
+        i, j = np.unravel_index(cost.argmin(), cost.shape)
+        joint = [*np.minimum(g[i, :2], g[j, :2]), *np.maximum(g[i, 2:4], g[j, 2:4]), *(g[i, 4:] + g[j, 4:])]
+        g = np.concatenate([np.delete(g, (i, j), 0), [joint]])
+    g = g[np.argsort(-g[:, 4], kind="stable")]
+    return np.concatenate([g[:, :2], g[:, 2:4] - g[:, :2], g[:, 4:]], 1)
+
+
+def halves(boxes: DataFrame, key: str) -> DataFrame:
+    """Each box (x, y, w, h) of a group with its half, 1 or 2: a group is cut at the widest gap between a box and all that
+    start left of it, the first of equal ones.  The half is null for a group of one, and where all overlap by 1 or more."""
+    group = Window.partitionBy(key)
+    order = group.orderBy("x", "y", "w", "h")
+    rows = boxes.withColumns({"_gap": F.col("x") - F.max(F.col("x") + F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_place": F.row_number().over(order)})
+    rows = rows.withColumn("_cut", F.max(F.struct("_gap", (-F.col("_place")).alias("at"))).over(group))
+    half = F.when(F.col("_cut._gap") > -1, F.when(F.col("_place") < -F.col("_cut.at"), 1).otherwise(2))
+    return rows.withColumn("half", half).drop("_gap", "_place", "_cut")
+
+
+def joint_boxes(boxes: DataFrame, by: list[str]) -> DataFrame:
+    """The bounds, the ink and the number of the boxes of each group."""
+    x, y = F.min("x"), F.min("y")
+    return boxes.groupBy(*by).agg(x.alias("x"), y.alias("y"), (F.max(F.col("x") + F.col("w")) - x).alias("w"), (F.max(F.col("y") + F.col("h")) - y).alias("h"), F.sum("ink").alias("ink"), F.count("*").alias("boxes"))
