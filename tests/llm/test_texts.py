@@ -1,6 +1,7 @@
 """BPE, packing, personal data, quality rules, chat and HTML against libraries, regular expressions and brute force."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -119,6 +120,15 @@ def test_packing(spark, sf):
     assert packing.pack_documents(df.where("false"), queries.tokenizer("byte_bpe_50k.json")).collect() == []
 
 
+def test_packing_needs_ids_in_merge_order(tmp_path):
+    spec = json.loads(open(queries.tokenizer("byte_bpe_50k.json"), encoding="utf-8").read())
+    spec["model"]["merges"][:2] = spec["model"]["merges"][1::-1]
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    packing.Counter(queries.tokenizer("byte_bpe_50k.json"), 2)
+    with pytest.raises(ValueError, match="order of the merges"):
+        packing.Counter(str(tmp_path / "t.json"), 2)
+
+
 def test_best_fit_keeps_every_capacity():
     rnd = np.random.default_rng(3)
     lengths = rnd.integers(1, 100, 500)

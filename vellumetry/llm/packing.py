@@ -11,6 +11,7 @@ gives no pieces; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +42,8 @@ class Counter:
         self.v = bpe.vocabulary(path)
         if self.v.decoder != "ByteLevel" or self.v.suffix:
             raise ValueError(f"{path}: a byte-level vocabulary is needed")
+        if any(a >= b for a, b in itertools.pairwise(self.v.made)):  # the merger merges by id
+            raise ValueError(f"{path}: ids in the order of the merges are needed")
         ranks = {self.v.raw[i]: i for t, i in ((t, i) for i, t in self.v.tokens.items()) if t not in self.v.added}
         self.fast = tiktoken.Encoding("packing", pat_str=bpe.BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=self.v.added)
         self.slow = bpe.Encoder(path)
