@@ -167,7 +167,12 @@ def links_in_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     links = written(verify(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()), "links")
     found = connected_components(links)
 
-    own = shared.select("block", "node")
+    def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+        out = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+        dropped(found)
+        return out
+
+    own = before_apart = shared.select("block", "node")
     limit, before = None, float("inf")
     for round_ in range(MOST_STARS + 1):
         placed = own.join(found, "node", "left").select("block", "node", *(["limit", "rank"] if limit else []), F.coalesce("component", "node").alias("c"))
@@ -178,12 +183,18 @@ def links_in_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         apart = placed.join(split.select("block", "largest"), "block").withColumn("in_largest", F.col("c") == F.col("largest")).drop("largest")
         if limit is None:
             rank = apart.groupBy("node").agg(F.count("*").alias("rank"))
-            limit = rank.withColumn("limit", F.lit(0)) if limits is None else rank.join(limits(written(rank.select("node"), "apart-nodes")), "node")
+            nodes = None if limits is None else written(rank.select("node"), "apart-nodes")
+            limit = rank.withColumn("limit", F.lit(0)) if limits is None else rank.join(limits(nodes), "node")
             apart = apart.join(limit, "node")
         apart = written(apart, "apart")
         left, size = split.agg(F.sum("open"), F.sum("n")).first()
-        dropped(placed, split)
+        dropped(placed, split, before_apart)
+        before_apart = apart
+        if nodes is not None:
+            dropped(nodes)
+            nodes = None
         if not left:
+            dropped(first, apart)
             return found, links
         if left <= 4 * size or left > 0.9 * before or round_ == MOST_STARS:
             break
@@ -197,15 +208,15 @@ def links_in_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+        found = joined(found, more)
         own = apart.select("block", "node", "limit", "rank")
     few_nodes = apart.where("not in_largest").select("block", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("limit").alias("lx"))
     rest = few_nodes.join(apart.withColumnRenamed("limit", "ly"), "block").where(f"c <> cx and (in_largest or x < node) and ({possible})")
     more = written(verify(rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()), "links")
-    dropped(first, shared, apart)
+    dropped(first, apart)
     links = links.unionByName(more)
     if not more.isEmpty():
-        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+        found = joined(found, more)
     return found, links
 
 

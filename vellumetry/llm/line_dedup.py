@@ -135,25 +135,37 @@ class LinePairs:
 
     def __init__(self, documents: DataFrame, keyed: DataFrame, tau: int):
         self.documents, self.keyed, self.tau = documents, keyed, tau
+        self.spent: list[DataFrame] = []
+
+    def free(self) -> None:
+        """Delete the tables of the pairs verified last; their links have been written by now."""
+        dropped(*self.spent)
+        self.spent = []
 
     def prepare(self, nodes: DataFrame) -> None:
         """One line of each digest is read again, from the first document that has it."""
-        wanted = self.keyed.join(few(written(nodes.withColumnRenamed("node", "lid"), "line-nodes")), "lid", "left_semi")
+        nodes = written(nodes.withColumnRenamed("node", "lid"), "line-nodes")
+        wanted = self.keyed.join(few(nodes), "lid", "left_semi")
         holders = written(wanted.groupBy("lid", "digest").agg(F.min("doc_id").alias("doc_id")), "line-holders")
         held = self.documents.join(few(holders.select("doc_id").distinct()), "doc_id", "left_semi")
         texts = identified(lines(held)).join(few(holders), ["lid", "digest", "doc_id"], "left_semi")
         texts = texts.groupBy("lid", "digest").agg(F.first("line").alias("line"))
         self.texts = written(texts.select("lid", "line", F.char_length("line").alias("size"), parities(F.col("line")).alias("parity")), "line-texts")
+        dropped(nodes, holders)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
+        self.free()
         figures = self.texts.select("lid", F.struct("size", "parity").alias("l"))
         both = pairs.join(figures.toDF("b", "lb"), "b").join(figures.toDF("a", "la"), "a").where(possible(self.tau).replace("lx.", "la.").replace("ly.", "lb."))
         pairs = written(both.select("a", "b").distinct(), "line-pairs")
         tasks = 1 + pairs.count() // PAIRS_IN_A_TASK
-        texts = self.texts.select("lid", "line").join(few(written(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "line-ids")), "lid", "left_semi")
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "line-ids")
+        texts = self.texts.select("lid", "line").join(few(ids), "lid", "left_semi")
         both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
         # written: a filter pushed below the cutting would repeat it at each mention of a string
         short = written(without_common_ends(both.select("a", "b", "ta", "tb").repartition(tasks), "ta", "tb"), "line-cores")
+        dropped(pairs, ids)
+        self.spent = [short]
         return short.where(within_edits(F.col("ta"), F.col("tb"), self.tau)).select("a", "b").distinct()
 
     def limits(self, nodes: DataFrame) -> DataFrame:
@@ -175,13 +187,17 @@ def repeated_lines(documents: DataFrame, tau: int = TAU, least_chars: int = LEAS
     pairs = LinePairs(documents, keyed, tau)
     members = keyed.where("blocks is not null").select(F.explode("blocks").alias("block"), F.col("lid").alias("node"))
     found, _ = links_in_blocks(members, pairs.verify, pairs.limits, possible(tau), pairs.prepare)
+    pairs.free()
+    dropped(pairs.texts)
     first = keyed.groupBy("lid", "digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
     classed = written(first.join(few(found.withColumnRenamed("node", "lid")), "lid", "left").where("n > 1 or component is not null"), "line-classes")
     near = classed.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
-    kept = classed.join(few(written(near, "near-lines")), "component", "left").select("lid", "digest", F.coalesce("class_first", "first").alias("kept"))
-    gone = keyed.select("doc_id", "place", "lid", "digest").join(few(written(kept, "kept-lines")), ["lid", "digest"])
+    near = written(near, "near-lines")
+    kept = classed.join(few(near), "component", "left").select("lid", "digest", F.coalesce("class_first", "first").alias("kept"))
+    kept = written(kept, "kept-lines")
+    gone = keyed.select("doc_id", "place", "lid", "digest").join(few(kept), ["lid", "digest"])
     gone = written(gone.where("struct(doc_id, place) <> kept").select("doc_id", "place"), "gone-lines")
-    dropped(keyed, classed, pairs.texts)
+    dropped(keyed, classed, near, kept, found)
     return gone
 
 
@@ -189,8 +205,9 @@ def without_repeats(documents: DataFrame, tau: int = TAU, least_chars: int = LEA
     """documents with the repeated lines cut out of text, and n_removed (long); a column n_removed is replaced."""
     names = [c for c in documents.columns if c.lower() != "n_removed"]
     places, doc = fresh(names, "gone_places"), fresh(names, "gone_doc")
-    gone = repeated_lines(documents, tau, least_chars).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("place").alias(places))
-    gone = written(gone, "gone-places")
+    lost = repeated_lines(documents, tau, least_chars)
+    gone = written(lost.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("place").alias(places)), "gone-places")
+    dropped(lost)
     n, cells = gone.agg(F.count("*"), F.sum(F.size(places))).first()
     joined = documents.join(F.broadcast(gone) if n + (cells or 0) <= 4 * MOST_BROADCAST else gone, F.col("doc_id") == F.col(doc), "left")
     split = F.split("text", "\n", -1)
