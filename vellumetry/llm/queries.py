@@ -1,12 +1,13 @@
-"""The registered queries of the ten operators, each over its whole table with production parameters."""
+"""The registered queries of the thirteen operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellumetry.llm import bpe, chat, embed_dedup, html_extract, line_dedup, minhash, packing, pii, quality, substring
+from vellumetry.llm import bpe, chat, collocations, embed_dedup, html_extract, line_dedup, minhash, packing, pii, quality, spelling, substring, topk
 from vellumetry.llm.common import read_table
 
 
@@ -59,6 +60,18 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_scores(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_quality_rules,
         op10_repeated_passages,
+        op11_spelling_variants,
+        op12_top_scores,
+        op13_collocations,
     )
 }
 
