@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from vellumetry.plans import catalogue, forms, pages, registry, review  # noqa: F401
+from vellumetry.plans import catalogue, forms, marks, pages, registry, review  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
