@@ -87,17 +87,20 @@ def best(queries: list[dict], candidates: list[dict], k: int) -> list[tuple[int,
         np.add.at(sums, q_row, np.abs(q_weight).astype(object))
         bound = int(max(sums, default=0)) * int(np.abs(weight).max(initial=0) if weight.dtype != object else max(map(abs, weight), default=0))
         kind = np.int32 if bound < 1 << 31 else np.int64 if bound < 1 << 63 else object
-        scores = np.zeros((len(candidates), len(batch)), kind)
+        scores, product = (np.zeros((len(candidates), len(batch)), kind) for _ in range(2))
         held, cuts = np.unique(q_term, return_index=True)
         for t, a, b in zip(held.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(q_term)], strict=True):
             if (p := place.get(t)) is None:
                 continue
-            rows, posted = slot[begins[p] : ends[p]], weight[begins[p] : ends[p]].astype(kind)
-            more = posted[:, None] * q_weight[a:b].astype(kind)[None, :]
-            if b - a == len(batch):
-                scores[rows] += more
-            else:
-                scores[np.ix_(rows, q_row[a:b])] += more
+            rows, columns = slot[begins[p] : ends[p]], q_row[a:b]
+            posted, asked = weight[begins[p] : ends[p]].astype(kind), q_weight[a:b].astype(kind)
+            if 4 * len(rows) * len(columns) < scores.size:
+                scores[np.ix_(rows, columns)] += posted[:, None] * asked[None, :]
+            else:  # a term of most rows: straight through, zeros included, is faster than by places
+                down, across = np.zeros(len(scores), kind), np.zeros(len(batch), kind)
+                down[rows], across[columns] = posted, asked
+                np.multiply(down[:, None], across[None, :], out=product)
+                scores += product
         if kind is object:
             scores = np.clip(scores, LONG.min, LONG.max).astype(np.int64)
         for j, q in enumerate(batch):
