@@ -299,3 +299,78 @@ def test_passages_just_over_the_bound(spark, low_variety):
     for k, r in found.items():
         assert r.span_start <= where[k][0] and r.span_end >= where[k][1] and r.source_doc_id == k - 1000
         assert texts[k][r.span_start : r.span_end] in texts[k - 1000]
+
+
+def plain_spans(rows, least=51):
+    """Unions of overlapping stretches of 51 words that a document of smaller id has, character by character."""
+    texts, owner, out = {}, {}, []
+    for i, t in rows:
+        if i is not None and t is not None:
+            texts[i] = max(texts.get(i, t), t)
+    for i in sorted(texts):
+        t, spans, own = texts[i], [], []
+        words = [m.span() for m in re.finditer("[^\\t-\\r ]+", t)]
+        for j in range(len(words) - least + 1):
+            a, b = words[j][0], words[j + least - 1][1]
+            own.append(t[a:b])
+            if t[a:b] in owner:
+                if spans and a < spans[-1][1]:
+                    spans[-1][1:3] = [b, j + least]
+                    spans[-1][4].append(owner[t[a:b]])
+                else:
+                    spans.append([a, b, j + least, j, [owner[t[a:b]]]])
+        for p in own:
+            owner.setdefault(p, i)
+        copied = min(x for x in texts if texts[x] == t)  # of a whole copy the source is the smallest one
+        out += [(i, a, b, end - first, copied if copied < i else min(set(o), key=lambda x: (-o.count(x), x))) for a, b, end, first, o in spans]
+    return sorted(out)
+
+
+def found_spans(df):
+    return sorted(tuple(r)[:5] for r in substring.repeated_spans(df).collect())
+
+
+def test_passages_of_the_table_match_plain_loops(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    want = plain_spans([(r.doc_id, r.text) for r in df.collect()])
+    assert found_spans(df) == want and want
+
+
+def test_passages_match_plain_loops(spark):
+    """Passages one after another from different documents, cut short, in copies, under one doc_id, across line ends."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijé") for _ in range(rnd.randint(1, 9)))
+    text = lambda n: "".join(word() + rnd.choice([" ", " ", " ", "  ", "\n", "\t"]) for _ in range(n))
+    parts = [text(n) for n in (24, 24, 24, 40, 50, 51, 52, 60, 90, 200)]
+    rows = [(i, parts[i]) for i in range(3)] + [(3, parts[0] + parts[1] + parts[2])]  # nothing whole: 24 words from each
+    rows += [(10 + i, text(rnd.randint(0, 80)) + p + text(rnd.randint(0, 80))) for i, p in enumerate(parts)]
+    rows += [(40 + i, "".join(text(rnd.randint(0, 9)) + rnd.choice(parts) for _ in range(rnd.randint(1, 5)))) for i in range(60)]
+    rows += [(200 + i, t) for i, (_, t) in enumerate(rows[10:30])] + [(300 + i, f"\n {t} ") for i, (_, t) in enumerate(rows[10:20])]
+    rows += [(5, text(70)), (5, "z" + text(70)), (400, rows[-1][1]), (None, parts[9]), (401, None), (402, " \n"), (403, ""), rows[12], rows[12]]
+    rows += [(404, rows[-9][1] + parts[9]), (405, "a " * 3000), (406, "b " + "a " * 3000), (407, "word" * 30_000)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, digest int, word int")
+    want = plain_spans(rows)
+    assert found_spans(df) == want and not any(r[0] == 3 for r in want)
+    assert found_spans(df.where("false")) == []
+
+
+def test_repeated_doc_ids_are_cut_where_the_span_lies(spark):
+    rnd = random.Random(2)
+    passage = " ".join("".join(rnd.choice("abcdef") for _ in range(6)) for _ in range(60))
+    df = spark.createDataFrame([(1, passage), (2, "zz " + passage), (2, "a" * 500), (2, "zz " + passage)], DOCS)
+    cut = substring.without_spans(df, substring.repeated_spans(df)).collect()
+    assert sorted((r.doc_id, r.text) for r in cut) == [(1, passage), (2, "a" * 500), (2, "zz "), (2, "zz ")]
+
+
+def test_passages_of_few_words_take_linear_time(spark):
+    """Two texts of one repeated word."""
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        df = spark.createDataFrame([(1, "la " * n), (2, "x " + "la " * n)], DOCS)
+        began = time.time()
+        (span,) = substring.repeated_spans(df).collect()
+        took.append(time.time() - began)
+        assert (span.doc_id, span.span_start, span.n_words) == (2, 2, n)
+    assert took[1] < 6 * took[0]
