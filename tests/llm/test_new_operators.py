@@ -182,7 +182,7 @@ def test_collocations_of_the_table(spark, sf):
 def test_collocations_of_odd_texts(spark, monkeypatch, small):
     """Also with tries that burst and spill, words that are numbered anew, windows inside words, and filters that take all."""
     if small:
-        for name, value in (("BURST", 4), ("MOST_HELD", 20), ("MOST_WORDS", 12), ("WINDOW", 7), ("MOST_BITS", 64)):
+        for name, value in (("BURST", 4), ("MOST_HELD", 20), ("MOST_WORDS", 12), ("AT_ONCE", 40), ("WINDOW", 7), ("MOST_BITS", 64)):
             monkeypatch.setattr(collocations, name, value)
     rng = random.Random(4)
     words = ["a", "B", "b", "Été", "été", "x y", "\x00", "\x1c", "new", "york", "long" * 9]
@@ -210,7 +210,7 @@ def test_trie_bursts_and_leaves_whole_subtrees(monkeypatch):
     rng = np.random.default_rng(2)
     trie, want = collocations.Trie(), Counter()
     for _ in range(30):
-        k = int(rng.integers(1, 6))
+        k = int(rng.integers(2, 6))
         rows, counts = np.unique(rng.integers(0, 4, (20, k)), axis=0, return_counts=True)
         trie.add(rows, counts)
         want.update({tuple(r): c for r, c in zip(rows.tolist(), counts.tolist())})

@@ -3,7 +3,7 @@
 A task numbers the words it meets and counts phrases in a shallow trie over those numbers, whose leaves are hash
 containers: the rest of a phrase, packed, with its count.  A container that grows past BURST becomes a node with a container
 for each next word.  When the trie holds MOST_HELD phrases, its largest subtrees leave whole, as sorted runs, until half is
-left.  Runs are dealt by the phrase's prefix (its first three words) and merged there.
+left.  A run leaves as one row for each partition of prefixes (a hash of up to three first words), and partitions are merged.
 
 Three passes, as no phrase is more frequent than its parts: words; pairs of words that are frequent by themselves; phrases
 of three words and more of which all pairs are frequent.  What is frequent goes to the tasks as a filter of
@@ -18,6 +18,7 @@ read.  Arithmetic is in decimals of 38 digits: 1000 * a * n may have so many.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,18 @@ from vellumetry.llm.common import dropped, small_batches, written
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 #: Phrases of a container before it bursts and of a trie before subtrees leave it; words that a task numbers before it begins
-#: anew; bytes of a text that are split at once; bits of a filter a member, at most, and its probes.
-BURST, MOST_HELD, MOST_WORDS, WINDOW, BITS_EACH, MOST_BITS, PROBES = 4096, 1_000_000, 500_000, 1 << 20, 16, 1 << 27, 4
+#: anew, and counts at once; bytes of a text that are split at once; bits of a filter a member, at most, and its probes;
+#: partitions of prefixes, four times Spark's for shuffles at least.
+BURST, MOST_HELD, MOST_WORDS, AT_ONCE, WINDOW, BITS_EACH, MOST_BITS, PROBES, PARTS = 4096, 1_000_000, 500_000, 1_500_000, 1 << 20, 16, 1 << 27, 4, 1024
 #: Ends of pieces, and white space inside them; upper case becomes lower case.  0xFF never occurs in UTF-8.
 END = 0xFF
 TABLE = bytes(END if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def tokens(text: str) -> Iterator[list[bytes]]:
+def tokens(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text in order, with b"\\xff" where a piece ends, a window at a time."""
-    raw = text.encode().translate(TABLE)
+    raw = text.translate(TABLE)
     a = 0
     while a < len(raw):
         b = a + WINDOW
@@ -71,10 +73,11 @@ def pair_digests(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a) * M2 + mixed(b ^ M2)
 
 
-def slots(h: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES places in a filter of `bits` bits for each digest."""
+def slots(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """PROBES places in a filter of `bits` bits, a power of two, for each digest."""
     h, step = mixed(h), mixed(h ^ M1) | np.uint64(1)
-    return np.stack([(h + np.uint64(k) * step) % np.uint64(bits) for k in range(PROBES)])
+    for k in range(PROBES):
+        yield h + np.uint64(k) * step & np.uint64(bits - 1)
 
 
 class Filter:
@@ -82,14 +85,19 @@ class Filter:
         self.words, self.bits = words, 64 * len(words)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = slots(h, self.bits)
-        return np.all(self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1), axis=0)
+        held = np.arange(len(h))
+        for k in range(PROBES):  # most are ruled out by the first
+            *_, at = (x for _, x in zip(range(k + 1), slots(h[held], self.bits), strict=False))
+            held = held[(self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        out = np.zeros(len(h), bool)
+        out[held] = True
+        return out
 
 
 def filter_of(frequent: DataFrame) -> Filter:
     """A filter of phrases (lang, phrase) of one or two words.  Its bits are put together by Spark; MOST_BITS at most come
     to the driver and go to the tasks."""
-    bits = 64 * max(1, min(MOST_BITS, BITS_EACH * frequent.count()) // 64)
+    bits = max(64, min(MOST_BITS, 1 << (BITS_EACH * frequent.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,7 +105,7 @@ def filter_of(frequent: DataFrame) -> Filter:
             seeds = map(seed_of, b.column("lang").to_pylist())
             each = [[digest(seed, w) for w in ws] for seed, ws in zip(seeds, words, strict=True)]
             h = [np.array([e[k] for e in each], np.uint64) for k in range(len(each[0]) if each else 1)]
-            at = np.unique(slots(h[0] if len(h) == 1 else pair_digests(*h), bits))
+            at = np.unique(np.concatenate(list(slots(h[0] if len(h) == 1 else pair_digests(*h), bits))))
             group, begin = np.unique(at >> np.uint64(6), return_index=True)
             value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), begin) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int64)), pa.array(value.view(np.int64))], names=["at", "value"])
@@ -139,32 +147,42 @@ class Trie:
         self.held = 0
 
     def add(self, rows: np.ndarray, counts: np.ndarray) -> None:
-        """rows: different phrases of one length, sorted."""
-        firsts, width = rows[:, 0].tolist(), 4 * (rows.shape[1] - 1)
-        packed = np.ascontiguousarray(rows[:, 1:].astype(">i4")).tobytes()
-        at = 0
-        for first, n in zip(firsts, counts.tolist(), strict=True):
-            rest = packed[at : at + width]
-            at += width
+        """rows: different phrases of one length, two words or more, sorted."""
+        rests = np.ascontiguousarray(rows[:, 1:].astype(">i4")).view(f"V{4 * (rows.shape[1] - 1)}")[:, 0].tolist()
+        counts = counts.tolist()
+        begins = np.flatnonzero(np.diff(rows[:, 0], prepend=-1)).tolist()
+        for first, a, b in zip(rows[begins, 0].tolist(), begins, [*begins[1:], len(rests)], strict=True):
             place = self.top.get(first)
             if place is None:
                 place = self.top[first] = {}
                 self.sizes[first] = 0
-            holder, key = self.top, first
-            while type(place) is list:
-                holder, key = place[0], int.from_bytes(rest[:4], "big") if rest else -1
-                place = holder.get(key)
-                if place is None:
-                    place = holder[key] = {}
-                rest = rest[4:]
-            if rest in place:
-                place[rest] += n
+            if type(place) is list:
+                new = sum(self._put(place, rest, n) for rest, n in zip(rests[a:b], counts[a:b], strict=True))
             else:
-                place[rest] = n
-                self.sizes[first] += 1
-                self.held += 1
-                if len(place) > BURST:
-                    holder[key] = self._burst(place)
+                before = len(place)
+                for rest, n in zip(rests[a:b], counts[a:b], strict=True):
+                    place[rest] = place.get(rest, 0) + n
+                new = len(place) - before
+                if len(place) > BURST and len(rest) > 4:
+                    self.top[first] = self._burst(place)
+            self.sizes[first] += new
+            self.held += new
+
+    def _put(self, node: list, rest: bytes, n: int) -> int:
+        """1 if the phrase is new."""
+        while True:
+            key = int.from_bytes(rest[:4], "big") if rest else -1
+            rest, holder = rest[4:], node[0]
+            node = holder.get(key)
+            if type(node) is not list:
+                break
+        if node is None:
+            node = holder[key] = {}
+        before = len(node)
+        node[rest] = node.get(rest, 0) + n
+        if len(node) > BURST and len(rest) > 4:
+            holder[key] = self._burst(node)
+        return len(node) - before
 
     @staticmethod
     def _burst(container: dict[bytes, int]) -> list:
@@ -199,40 +217,70 @@ def distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([c[first] for c in columns], 1), counts
 
 
-def counter(kept: Filter | None, pairs: Filter | None, lengths: range) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of phrases of these lengths, a row (lang, phrase, k, n) for each phrase of each run: of words that `kept` has, and
-    of pairs that `pairs` has."""
+def packed(lang: str, words: np.ndarray, digests: np.ndarray, phrases: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Phrases (rows of numbers) of one length as a row for each partition of prefixes: joined by line ends, and their counts."""
+    h = digests[phrases[:, 0]]
+    for k in range(1, min(3, phrases.shape[1])):
+        h = pair_digests(h, digests[phrases[:, k]])
+    part = (mixed(h) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    phrases, part, counts = phrases[order], part[order], counts[order]
+    text = words[phrases[:, 0]]
+    for k in range(1, phrases.shape[1]):
+        text = text + b" " + words[phrases[:, k]]
+    begins = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = [*begins[1:].tolist(), len(part)]
+    text = text.tolist()
+    blocks = pa.array([b"\n".join(text[a:b]) for a, b in zip(begins.tolist(), ends, strict=True)], pa.string())
+    held = pa.ListArray.from_arrays(pa.array([*begins.tolist(), len(part)], pa.int32()), pa.array(counts, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(blocks), pa.string()), pa.array(part[begins]), blocks, held], names=["lang", "part", "block", "counts"])
+
+
+RUNS = "lang string, part int, block string, counts array<bigint>"
+
+
+def counter(kept: Filter | None, pairs: Filter | None, lengths: range, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of phrases of these lengths, as RUNS: of words that `kept` has, and of pairs that `pairs` has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[str, tuple[Numbers, Trie]] = {}
+        texts: dict[str, list[np.ndarray]] = {}
+        single: dict[str, np.ndarray] = {}
 
         def leaving(lang: str, most: int) -> Iterator[pa.RecordBatch]:
             numbers, trie = state[lang]
-            phrases, sizes, counts = [], [], []
+            digests, _ = numbers.figures(kept)
+            words = np.array([*numbers.words, None], object)[:-1]
+            if lang in single:
+                at = np.flatnonzero(single[lang])
+                if len(at):
+                    yield packed(lang, words, digests, at[:, None], single.pop(lang)[at], parts)
+                return
+            run: list[tuple[bytes, int]] = []
 
-            def out() -> pa.RecordBatch:
-                columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())]
-                for c in (phrases, sizes, counts):
-                    c.clear()
-                return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "n"])
+            def out() -> Iterator[pa.RecordBatch]:
+                size = np.array([len(p) for p, _ in run])
+                counts = np.array([n for _, n in run], np.int64)
+                for k in np.unique(size).tolist():
+                    at = np.flatnonzero(size == k)
+                    ids = np.frombuffer(b"".join([run[i][0] for i in at.tolist()]), ">i4").reshape(-1, k // 4).astype(np.int64)
+                    yield packed(lang, words, digests, ids, counts[at], parts)
+                run.clear()
 
             for subtree in trie.taken(most):
-                for packed, n in subtree:
-                    at = np.frombuffer(packed, ">i4").tolist() if len(packed) > 4 else [int.from_bytes(packed, "big")]
-                    phrases.append(b" ".join([numbers.words[x] for x in at]).decode())
-                    sizes.append(len(at))
-                    counts.append(n)
-                if len(phrases) > 50_000:
-                    yield out()
-            if phrases:
-                yield out()
+                run += subtree
+                if len(run) > 300_000:
+                    yield from out()
+            if run:
+                yield from out()
 
         def count(lang: str, ids: np.ndarray) -> None:
             numbers, trie = state[lang]
             if lengths.start == 1:
-                n = np.bincount(ids[ids >= 0])
-                at = np.flatnonzero(n)
-                trie.add(at[:, None], n[at])
+                n = np.bincount(ids[ids >= 0], minlength=len(numbers.words))
+                if lang in single:
+                    n[: len(single[lang])] += single[lang]
+                single[lang] = n
                 return
             h, frequent = numbers.figures(kept)
             good = np.append(frequent, False)[ids]  # -1 is the last
@@ -240,56 +288,53 @@ def counter(kept: Filter | None, pairs: Filter | None, lengths: range) -> Callab
             if pairs is not None and good.any():
                 at = np.flatnonzero(good)
                 good[at] = pairs.has(pair_digests(h[ids[at]], h[ids[at + 1]]))
+            first_pairs = good
             for k in range(2, lengths.stop):
                 if k > 2:
                     good = good[:-1] & first_pairs[k - 2 :]
-                else:
-                    first_pairs = good
                 at = np.flatnonzero(good)
                 if k >= lengths.start and len(at):
                     trie.add(*distinct_rows([ids[at + i] for i in range(k)]))
 
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, some in texts.items():
+                count(lang, np.concatenate(some))
+                if state[lang][1].held > MOST_HELD:
+                    yield from leaving(lang, MOST_HELD // 2)
+            texts.clear()
+            if sum(len(numbers) for numbers, _ in state.values()) > MOST_WORDS:
+                for lang in list(state):
+                    yield from leaving(lang, 0)
+                    del state[lang]
+
+        size = 0
         for batch in batches:
-            texts: dict[str, list[np.ndarray]] = {}
-            size = 0
-
-            def counted(texts: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-                for lang, parts in texts.items():
-                    count(lang, np.concatenate(parts))
-                    numbers, trie = state[lang]
-                    if trie.held > MOST_HELD:
-                        yield from leaving(lang, MOST_HELD // 2)
-                texts.clear()
-                if sum(len(numbers) for numbers, _ in state.values()) > MOST_WORDS:
-                    for lang in list(state):
-                        yield from leaving(lang, 0)
-                        del state[lang]
-
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 if lang not in state:
                     state[lang] = Numbers(lang), Trie()
-                numbers = state[lang][0]
-                for some in tokens(text):
-                    texts.setdefault(lang, []).append(np.fromiter(map(numbers.__getitem__, some), np.int64, len(some)))
+                numbers, held = state[lang][0], texts.setdefault(lang, [])
+                for some in tokens(text.as_py()):
+                    if len(some) > 1:
+                        held.append(np.array(itemgetter(*some)(numbers), np.int64))
+                    elif some:
+                        held.append(np.array([numbers[some[0]]]))
                     size += len(some)
-                texts.setdefault(lang, []).append(np.array([-1]))
-                if size > 500_000:
-                    yield from counted(texts)
+                held.append(np.array([-1]))
+                if size > AT_ONCE:
+                    yield from counted()
                     size = 0
-            yield from counted(texts)
+        yield from counted()
         for lang in list(state):
             yield from leaving(lang, 0)
 
     return run
 
 
-RUNS = "lang string, phrase string, k int, n long"
-
-
 def merged(runs: DataFrame) -> DataFrame:
-    """Runs dealt by the prefix and merged there: lang, phrase, k, n."""
-    dealt = runs.withColumn("prefix", F.substring_index("phrase", " ", 3)).repartition("lang", "prefix")
-    return dealt.groupBy("lang", "prefix", "phrase").agg(F.first("k").alias("k"), F.sum("n").alias("n")).drop("prefix")
+    """Runs dealt by the partition of prefixes and merged there: lang, phrase, n."""
+    dealt = runs.repartition("lang", "part")
+    each = dealt.select("lang", "part", F.inline(F.arrays_zip(F.split("block", "\n").alias("phrase"), F.col("counts").alias("n"))))
+    return each.groupBy("lang", "part", "phrase").agg(F.sum("n").alias("n")).drop("part")
 
 
 def phrase_counts(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -298,21 +343,29 @@ def phrase_counts(documents: DataFrame, least: int = LEAST, longest: int = LONGE
     spark = documents.sparkSession
     small_batches(spark)
     docs = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
-    words = written(docs.mapInArrow(counter(None, None, range(1, 2)), RUNS).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")), "words")
+    parts = max(PARTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def counts(lengths: range, *filters) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept, pairs = (f.value if f else None for f in (*filters, None, None)[:2])
+            yield from counter(kept, pairs, lengths, parts)(batches)
+
+        return merged(docs.mapInArrow(run, RUNS))
+
+    words = written(counts(range(1, 2)), "words")
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     found = [written(words.where(F.col("n") >= least), "phrases")]
     dropped(words)
     shared = [spark.sparkContext.broadcast(filter_of(found[0]))]
-    run = lambda of, lengths: lambda batches: counter(*(f.value for f in of), *[None] * (2 - len(of)), lengths)(batches)
     for lengths in (range(2, min(3, longest + 1)), range(3, longest + 1)):
         if len(lengths):
-            found.append(written(merged(docs.mapInArrow(run(list(shared), lengths), RUNS)).where(F.col("n") >= least), "phrases"))
+            found.append(written(counts(lengths, *shared).where(F.col("n") >= least), "phrases"))
             if lengths.start == 2:
                 shared.append(spark.sparkContext.broadcast(filter_of(found[1])))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    every = written(every.withColumnRenamed("n", "f"), "frequent")
+    every = written(every.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("k"), F.col("n").alias("f")), "frequent")
     dropped(*found)
     return every, totals
 
