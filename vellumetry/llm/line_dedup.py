@@ -40,20 +40,21 @@ def with_segment_keys(lines: DataFrame, tau: int = TAU, least_chars: int = LEAST
     """
     parts = tau + 1
     size = F.col("size")
-    begin = lambda i: F.greatest(F.lit(1), F.floor(size * (i - 1) / parts).cast("int") - 2 * tau - 1)
-    windows = {f"_w{i}": F.substring("line", begin(i), F.floor(size / parts).cast("int") + 4 * tau + 5) for i in range(1, parts + 1)}
+    # whole numbers first, in columns of their own: one method of generated code with all of it is too long to be compiled
+    of = {f"_b{i}": F.greatest(F.lit(1), F.floor(size * (i - 1) / parts).cast("int") - 2 * tau - 1) for i in range(1, parts + 1)}
+    for d in range(tau + 1):
+        short = F.floor((size - d) / parts).cast("int")
+        of |= {f"_s{d}": short, f"_n{d}": parts - (size - d - short * parts)}  # so many segments, the first ones, aren't longer
+    windows = {f"_w{i}": F.substring("line", F.col(f"_b{i}"), F.floor(size / parts).cast("int") + 4 * tau + 5) for i in range(1, parts + 1)}
     keys = []
     for d in range(tau + 1):
-        length = size - d
-        short = F.floor(length / parts).cast("int")
-        longer = length - short * parts  # so many segments, the last ones, are one longer
+        short, n = F.col(f"_s{d}"), F.col(f"_n{d}")
         for i in range(1, parts + 1):
-            before = F.greatest(F.lit(0), F.lit(i - 1) - (F.lit(parts) - longer)).cast("int")
-            start = short * (i - 1) + before + 1
-            width = short + (F.lit(i) > F.lit(parts) - longer).cast("int")
+            start = short * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - n) + 2 - F.col(f"_b{i}")
+            width = short + (F.lit(i) > n).cast("int")
             for shift in range(max(-(i - 1), d - (parts - i)), min(i - 1, d + parts - i) + 1):
-                keys.append(F.xxhash64(F.lit(i), length, F.substring(F.col(f"_w{i}"), start + shift - begin(i) + 1, width)))
-    return lines.withColumns(windows).withColumn("blocks", F.when(size >= least_chars, F.array(*keys))).drop(*windows)
+                keys.append(F.xxhash64((size - d) * parts + i, F.substring(F.col(f"_w{i}"), start + shift, width)))
+    return lines.withColumns(of).withColumns(windows).withColumn("blocks", F.when(size >= least_chars, F.array(*keys))).drop(*of, *windows)
 
 
 def within_edits(a: Column, b: Column, tau: int = TAU) -> Column:
@@ -210,9 +211,9 @@ def without_repeats(documents: DataFrame, tau: int = TAU, least_chars: int = LEA
     dropped(lost)
     n, cells = gone.agg(F.count("*"), F.sum(F.size(places))).first()
     joined = documents.join(F.broadcast(gone) if n + (cells or 0) <= 4 * MOST_BROADCAST else gone, F.col("doc_id") == F.col(doc), "left")
-    split = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(places))
-    text = F.array_join(F.transform(stay, lambda i: F.element_at(split, i + 1)), "\n")
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(places))
+    # the split text is bound once, as the element of an array: a lambda computes anew what it mentions
+    text = F.transform(F.array(F.split("text", "\n", -1)), lambda p: F.array_join(F.transform(stay(p), lambda i: p[i]), "\n"))[0]
     return joined.select(
         *(F.when(F.col(places).isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in names),
         F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_removed"),
