@@ -349,6 +349,31 @@ def test_the_template_decides_where_pages_have_article_elements(spark):
     assert out[13] == "Title 3\nThe long story of the page with number 3, told at length.\nCare is 3"
 
 
+def test_class_words_beside_others_need_the_template(spark):
+    """Words that only look like furniture stay in an article; a box that the host repeats goes."""
+    own = "<p class='related work'>Related {0}.</p><p id='notice-of-motion'>Notice {0}.</p><section class='social history'><p>History {0}.</p></section>"
+    page = "<html><body><article><h1>Title {0}</h1><p>Text {0} of the page.</p>" + "{1}<div class='share box'><p>Share {0}</p></div><div class='comments'><p>Nice {0}</p></div></article></body></html>"
+    rows = [(k, f"http://h.example/{k}", page.format(k, own.format(k) if k == 4 else "")) for k in range(8)]
+    out = {r.page_id: r.text for r in html_extract.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[4] == "Title 4\nText 4 of the page.\nRelated 4.\nNotice 4.\nHistory 4." and out[3] == "Title 3\nText 3 of the page."
+
+
+def test_classes_nest_by_whole_steps():
+    step = [(["html", ">html>div.a", ">html>div.a>p"], 5, 5), ([">html>div.a>b", ">html>div.ab>i"], 4, 4)]
+    assert [c["elements"] for c in html_extract.nested([([">html", ">html>div.a", ">html>div.a>p"], 5, 5), step[1]])] == [[">html", ">html>div.a", ">html>div.a>p"]]
+    around = [([">html"], 6, 6), ([">html>x"], 5, 5), ([">html>y", ">html>x>y"], 4, 4)]  # one of the two lies inside another class
+    assert len(html_extract.nested(around)) == 2
+    texts = html_extract.nested([([">html", ">html>p", ">html>p|3"], 5, 5), ([">html>p|1", ">html>q|2"], 4, 4)])
+    assert [c["texts"] for c in texts] == [[">html>p|3"]]
+
+
+def test_a_text_of_no_valid_class_stays(spark):
+    """On half of the pages a paragraph of the slot has the same words: a vector that no element has."""
+    rows = [(k, f"http://h.example/{k}", f"<html><body><div class=c><p>Text {k} of the page, told at length.</p>" + f"<p>More {k}.</p>" * (k % 3) + ("<p>Same words.</p>" if k % 2 else "") + "</div></body></html>") for k in range(8)]
+    out = {r.page_id: r.text for r in html_extract.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(("Same words." in out[k]) == (k % 2 == 1) for k in range(8))
+
+
 def test_large_templates_stay_whole(spark, monkeypatch):
     """More than 200 tokens in a host's template, joined by shuffling as by broadcast."""
     menu = "".join(f"<div class=m{k}>Entry {k}</div>" for k in range(300))

@@ -4,13 +4,15 @@ Pass 1 turns each page into structural tokens, an element by its path of names a
 digest, with its number of occurrences.  Over the pages of a host, a token's *occurrence vector* (pages and counts)
 is summed into a commutative hash, so vectors of any length are compared by one aggregate with map-side combining, and a
 host with a third of all pages is no hot task.  Tokens of one vector and enough support form an equivalence class;
-a class is valid if its elements nest, and the valid classes, nested by path, are the host's template.
+a class is valid if its elements nest: all lie below one element, and the next classes around them are one and the same; texts
+alone are no class.  The valid classes, nested by path, are the host's template.
 
 Pass 2 matches pages against their host's template, on every page.  Template elements bound the slots; the innermost one
 with more than half of the text outside links is the region.  An `article` or `main` element only adjusts it: the region
 becomes the deepest one with more than half of its text (its heading often stands beside the slot), less articles beside
-the slot.  Regions that are furniture by kind (navigation, header, footer, sidebar, notice, advert, form, script, style,
-comments by readers) never count, nor does text that the template holds: single nodes outside article elements, whole
+the slot.  Furniture never counts: elements that HTML names so (navigation, header, footer, aside, form, script, style), and those
+that have a whole class, id or role of FURNITURE_WORDS (sidebar, notice, advert, comments by readers); beside other words, as
+in "related work", that holds inside an article or main element only for elements of the template.  Nor does text that the template holds: single nodes outside article elements, whole
 blocks inside.  Hosts with fewer than LEAST_PAGES pages have no template and rest on the page's article elements alone.
 
 Defined cases: null or empty html, and pages without text, give an empty text; a null url is a host of its own; repeated
@@ -58,7 +60,6 @@ FURNITURE_WORDS = frozenset(
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""")
 _MARK = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -115,14 +116,18 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def furniture(name: str, attributes: str) -> bool:
+    """By the element's own name, or hidden."""
     if name in FURNITURE:
         return True
+    return "hidden" in attributes and name not in MAIN and name not in ("html", "body") and re.search(r"(?<![\w-])hidden(?![\w-])", attributes) is not None
+
+
+def named_furniture(name: str, attributes: str) -> int:
+    """By a whole class, id or role: 2 if an attribute has no other words, 1 if it has, 0 if none is of FURNITURE_WORDS."""
     if not attributes or name in MAIN or name in ("html", "body"):
-        return False
-    for m in _MARK.finditer(attributes):
-        if FURNITURE_WORDS & set(_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return "hidden" in attributes and re.search(r"(?<![\w-])hidden(?![\w-])", attributes) is not None
+        return 0
+    marks = [set((m[1] or m[2] or m[3] or "").lower().split()) for m in _MARK.finditer(attributes)]
+    return 2 if any(m and m <= FURNITURE_WORDS for m in marks) else int(any(m & FURNITURE_WORDS for m in marks))
 
 
 def _class(attributes: str) -> str:
@@ -133,7 +138,7 @@ def _class(attributes: str) -> str:
 class Walk:
     """One pass over a page: its text nodes with their path, and whether they are inside furniture or an article."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, template: frozenset[str] = frozenset()):
         self.elements: Counter[str] = Counter()
         #: (text, path, in furniture, numbers of the article and main elements around it, in a link, number of the block)
         self.nodes: list[tuple[str, str, bool, tuple[int, ...], bool, int]] = []
@@ -171,11 +176,11 @@ class Walk:
                 block += data in BLOCK
                 if data == "br":
                     self.nodes.append((" ", stack[-1][1] if stack else "", skip > 0, around, link > 0, block))
-                out = furniture(data, attributes) and not (data == "header" and around)
                 path = (stack[-1][1] if stack else "") + ">" + data + _class(attributes)
                 if len(path) > 4096:  # a long path goes on from its digest, which stands for all of it
                     path = f">{_digest(path):x}"
                 self.elements[path] += 1
+                out = furniture(data, attributes) and not (data == "header" and around) or (named := named_furniture(data, attributes)) and (named == 2 or not around or path in template)
                 if data in VOID or attributes.rstrip().endswith("/") and data not in BLOCK and data != "a":
                     continue
                 stack.append((data, path, out))
@@ -221,21 +226,25 @@ def page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nested(classes: list[tuple[list[str], int, int]]) -> list[dict]:
-    """Keep the valid classes: those whose element paths lie on chains below one common element; parents first."""
+    """Keep the valid classes, parents first: their elements lie below one element, the parent of the shortest, and what other
+    valid class is next around each of them is the same for all.  A class of texts alone isn't valid."""
     out: list[dict] = []
     class_of: dict[str, int] = {}
+
+    def around(path: str, own: set[str]) -> int:
+        """The valid class next around an element, -1 for none."""
+        while path := path.rpartition(">")[0]:
+            if path in class_of and path not in own:
+                return class_of[path]
+        return -1
+
     for members, pages, total in sorted(classes, key=lambda c: (-c[1], min(map(len, c[0])))):
         elements = sorted((m for m in members if "|" not in m), key=len)
-        root = elements[0] if elements else ""
-        below = root.rsplit(">", 1)[0]
-        if elements and not all(e.startswith(below) for e in elements):
+        below = elements[0].rpartition(">")[0] if elements else ""
+        if not elements or not all(e.startswith(below + ">") for e in elements) or len({around(e, set(elements)) for e in elements}) > 1:
             continue
-        parent = -1
-        while below:
-            parent = max(parent, class_of.get(below, -1))
-            below = below.rpartition(">")[0]
         class_of.update(dict.fromkeys(elements, len(out)))
-        out.append({"elements": elements, "texts": [m for m in members if "|" in m], "once": total == pages, "parent": parent})
+        out.append({"elements": elements, "texts": [m for m in members if "|" in m], "once": total == pages})
     return out
 
 
@@ -258,11 +267,15 @@ def templates(pages: DataFrame) -> DataFrame:
     return map_columns(by_host, ["classes"], ["host"], lambda: lambda rows: ((build(c),) for (c,) in rows), "template string")
 
 
-def extract(page: str | None, template: list[dict] | None) -> str:
-    """The main text of one page."""
+def elements_of(template: list[dict] | None) -> frozenset[str]:
+    return frozenset(e for c in template or () for e in c["elements"])
+
+
+def extract(page: str | None, template: list[dict] | None, elements: frozenset[str] | None = None) -> str:
+    """The main text of one page.  elements: of the template, where they are at hand."""
     if not page:
         return ""
-    walk = Walk(page)
+    walk = Walk(page, elements_of(template) if elements is None else elements)
     nodes = [x for x in walk.nodes if not x[2]]
     if template:
         nodes = _region(_unheld(nodes, {t for c in template for t in c["texts"]}), {e for c in template if c["once"] for e in c["elements"]}, walk.areas)
@@ -333,14 +346,14 @@ def main_texts(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     joined = pages.withColumn(at, host).join(of_host.toDF(at, held), at, "left")
 
     def make():
-        parsed: dict[str, list[dict]] = {}
+        parsed: dict[str, tuple[list[dict], frozenset[str]]] = {}
 
         def one(page: str | None, template: str | None) -> str:
             if template is not None and template not in parsed:
                 if sum(map(len, parsed)) > BATCH_BYTES:
                     parsed.clear()
-                parsed[template] = json.loads(template)
-            return extract(page, parsed.get(template))
+                parsed[template] = (found := json.loads(template)), elements_of(found)
+            return extract(page, *parsed.get(template, (None, frozenset())))
 
         return lambda rows: ((one(p, t),) for p, t in rows)
 
