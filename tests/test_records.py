@@ -180,7 +180,7 @@ def test_readings_and_their_reconciliation(spark):
     assert got == {"name": ("al, 2", False, False), "note": ("", False, False), "sex": ("other", False, True), "ill": ("", True, False), "docs": ("Photo, Birth Certificate", False, False), "tel": ("5551", False, False)}
     done = {(r.k, r.field): (r.value, r.alternative, r.unreadable, r.off_list) for r in replies.reconciled_readings(ra, rb, ["k"]).collect()}
     assert done[1, "name"] == ("Al, 2", None, False, False) and done[1, "sex"] == ("Female", "other", False, False) and done[1, "tel"] == ("5551", "", False, False)
-    assert done[1, "note"] == ("a\nb", "", False, False) and done[2, "sex"] == ("other", None, False, True) and done[2, "ill"] == ("", None, True, False) and (3, "sex") not in done
+    assert done[1, "note"] == ("a\nb", "", False, False) and done[2, "sex"] == ("other", None, False, True) and done[2, "ill"] == ("", None, True, False) and done[3, "sex"] == ("other", None, False, True)
     boxes_ = {r.k: (r.box, r.picture) for r in replies.reconciled_boxes(a.where("error_code is null"), b, ["k"]).collect()}
     assert boxes_ == {1: ([0, 0, 10, 10], 2), 2: ([1, 2, 3, 4], None)}
 
@@ -195,3 +195,111 @@ def test_image_sizes(spark):
     cases = [(jpeg, (640, 480)), (vp8x, (100, 50)), (vp8l, (30, 20)), (vp8, (77, 66)), (png, (5, 7)), (jpeg[:45], (None, None)), (b"", (None, None)), (None, (None, None)), (b"text", (None, None))]
     df = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(cases)], "k int, c binary")
     assert [(r.s.width, r.s.height) for r in df.select("k", headers.image_size(F.col("c")).alias("s")).orderBy("k").collect()] == [want for _, want in cases]
+
+
+def test_a_lone_reading_stands_when_the_other_failed(spark):
+    fields = spark.createDataFrame([("f", "name", "text", None), ("f", "tel", "phone", None)], "form_id string, field string, kind string, options array<string>")
+    good, bad = '{"name": "Al", "tel": null}', "no JSON"
+    df = spark.createDataFrame([(1, "f", good, bad), (2, "f", bad, good), (3, "f", bad, bad), (4, "f", bad, '{"readable": false}'), (5, "f", good, '{"name": "B"}')], "k long, form_id string, a string, b string")
+    one_, two = (replies.readings(replies.opened(df.select("k", "form_id", F.col(c).alias("reply"))), fields, ["k"]) for c in "ab")
+    got = {(r.k, r.field): (r.value, r.alternative, r.unreadable) for r in replies.reconciled_readings(one_, two, ["k"]).collect()}
+    assert got == {(1, "name"): ("Al", None, False), (1, "tel"): ("", None, True), (2, "name"): ("Al", None, False), (2, "tel"): ("", None, True), (4, "name"): ("", None, False), (4, "tel"): ("", None, False), (5, "name"): ("Al", "B", False), (5, "tel"): ("", None, True)}
+
+
+def test_double_reads_as_a_stream(spark, tmp_path):
+    """Both readings, one that its partner never joins, one that comes late, and a restart from the checkpoint."""
+    import datetime
+
+    from vellumetry.streaming.readings import double_reads
+
+    columns = "k long, field string, kind string, value string, unreadable boolean, off_list boolean, readable boolean, at timestamp"
+    at = lambda s: datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=s)
+    row = lambda k, value, s: (k, "name", "text", value, False, False, True, at(s))
+
+    def put(side, name, rows):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / side / name))
+
+    def run():
+        one_, two = (spark.readStream.schema(columns).option("recursiveFileLookup", "true").parquet(str(tmp_path / side)) for side in "ab")
+        q = double_reads(one_, two, ["k"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+        return {r.k: (r.value, r.alternative) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    put("a", "1", [row(1, "Al", 0), row(2, "only first", 0), row(4, "kept for later", 0)])
+    put("b", "1", [row(1, "Bo", 20), row(3, "only second", 0)])
+    assert run() == {1: ("Al", "Bo")}
+    put("b", "2", [row(4, "Kept for later.", 50)])  # after the restart, within a minute
+    assert run() == {1: ("Al", "Bo"), 4: ("kept for later", None)}
+    for side in "ab":
+        put(side, "3", [row(99, "z", 1000)])
+    whole = run()
+    assert whole[2] == ("only first", None) and whole[3] == ("only second", None) and whole[99] == ("z", None)
+    put("a", "4", [row(3, "too late", 30)])  # behind the watermark: dropped
+    assert run() == whole
+
+
+def test_data_urls_name_an_accepted_type(spark):
+    import base64
+
+    png = base64.b64encode(bytes.fromhex("89504E470D0A1A0A") + bytes(20)).decode()
+    error = lambda url: one(spark, photo_from_data_url(F.col("v")), v=url).error
+    assert error(f"data:image/jpg;base64,{png[:9]} \n{png[9:]}") is None and error(f"data:image/webp;base64,{png.rstrip('=')}") is None
+    for url in (f"data:text/html;base64,{png}", f"data:image/png;base64,{png}!", f"data:image/png,{png}", f"data:image/svg;base64,{png}", "data:image/png;base64,", "data:image/png;base64,=", f" data:image/png;base64,{png}"):
+        assert error(url) == "invalid_photo"
+
+
+def test_boxes_nested_without_bound():
+    raw, text = [1, 2, 3, 4], "[1, 2, 3, 4]"
+    for k in range(50):
+        raw = {replies.NESTED[k % 4]: raw}
+        text = '{"box": ' + text + "}"
+    assert replies.box_of(raw) == replies.box_of(text) == [1, 2, 3, 4]
+
+
+def test_image_sizes_after_much_metadata(spark):
+    part = b"\xff\xe1" + (60_000).to_bytes(2, "big") + b"\xff\xc0" * 29_999
+    frame = b"\xff\xc0\x00\x11\x08" + (100).to_bytes(2, "big") + (200).to_bytes(2, "big") + b"\x03" * 9
+    cases = [(b"\xff\xd8" + part * 20 + b"\0\0" + frame, (200, 100)), (b"\xff\xd8\xff\xda\x00\x02" + frame, (None, None)), (b"\xff\xd8\xff\xe1\x00\x01" + frame, (None, None))]
+    df = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(cases)], "k int, c binary")
+    assert [(r.s.width, r.s.height) for r in df.select("k", headers.image_size(F.col("c")).alias("s")).orderBy("k").collect()] == [want for _, want in cases]
+
+
+def test_values_of_a_record_stay_as_they_are(spark):
+    df = spark.createDataFrame([({"a": " x\ny ", "b": None, "z": "gone"},), (None,)], "v map<string,string>")
+    assert [r.p for r in df.select(records.projected(F.col("v"), ["a", "b", "c"]).alias("p")).collect()] == [{"a": " x\ny ", "b": "", "c": ""}, {"a": "", "b": "", "c": ""}]
+
+
+def test_bodies_of_saves(spark):
+    from vellumetry.operators import bodies
+    from vellumetry.sources import catalogue
+
+    forms = {i: catalogue.keys_of(i) for i in catalogue.FORMS}
+    cases = {
+        '{"form": "school", "values": {"city": "x", "state": 1e-7, "pinCode": 110001, "board": 2.50, "extra": "y"}}': ("school", "keep", None),
+        '{"form": "hospital", "values": {}, "photo": ""}': ("hospital", "remove", None), '{"form": "clinic", "values": {}}': (None, None, "unknown_form"), '{"values": {}}': (None, None, "unknown_form"),
+        '{"form": "school", "values": null, "photo": 5}': (None, None, "invalid_values"), '{"form": "school", "values": {}, "photo": {}}': (None, None, "invalid_photo"), "[]": (None, None, "invalid_body"), "{": (None, None, "invalid_body"), '"x"': (None, None, "invalid_body"),
+    }
+    df = spark.createDataFrame([(b, None) for b in [*cases, None]] + [('{"form": "clinic", "values": {"email": "q"}}', "hospital")], "body string, known_form string").withColumn("k", F.monotonically_increasing_id())
+    out = [(r.form, r.photo_op, r.error_code, r["values"]) for r in bodies.parsed_bodies(df, forms).orderBy("k").collect()]
+    assert [o[:3] for o in out] == [*cases.values(), (None, None, "invalid_body"), ("hospital", "keep", None)]
+    first = out[0][3]
+    assert len(first) == 41 and (first["city"], first["state"], first["pinCode"], first["board"], first["address"]) == ("x", "1e-7", "110001", "2.5", "")
+    assert out[-1][3] == catalogue.empty_values("hospital") | {"email": "q"} and "extra" not in first
+
+
+def test_the_catalogue_and_its_prompts(spark):
+    from vellumetry.operators import bodies
+    from vellumetry.sources import catalogue
+
+    fields = catalogue.catalogue(spark)
+    assert {r.form_id: (r.n, r.s) for r in fields.groupBy("form_id").agg(F.count("*").alias("n"), F.count_distinct("section_ord").alias("s")).collect()} == {"school": (41, 5), "hospital": (16, 4)}
+    assert fields.where("size(options) > 0").count() == 3 and fields.where("field = 'allergies'").select("form_id", "kind").orderBy("form_id").collect() == [("hospital", "yesno"), ("school", "text")]
+    assert all({f.title, *f.summary} <= set(catalogue.keys_of(i)) for i, f in catalogue.FORMS.items()) and catalogue.keys_of("clinic") == []
+    prompt = {r.form_id: r.prompt for r in bodies.reader_prompts(fields).collect()}
+    rows = prompt["hospital"].split("\n")
+    assert rows[0].startswith('This is a filled-in copy of the "Hospital Patient Form".') and rows[1:3] == ['Section "Patient Information":', '- patientName — "Name" — a person\'s name, in the script it is written in'] and len(rows) == 1 + 4 + 16 + 2
+    import json
+
+    assert list(json.loads(rows[-1])["fields"]) == catalogue.keys_of("hospital") and json.loads(prompt["school"].split("\n")[-1])["fields"]["documents"] == []
+    assert '- gender — "Gender" — one of: Male, Female, Other' in prompt["school"]

@@ -64,11 +64,19 @@ def through_homography(m: list[float], x: Column, y: Column) -> Column:
 
 
 def quad_order(points: Column) -> Column:
-    """Corners of a quad clockwise from the top left: least and greatest x + y and x - y."""
-    by = lambda key: F.array_sort(F.transform(points, lambda p: F.struct(key(p).alias("k"), p["x"].alias("x"), p["y"].alias("y"))))
+    """Corners of a quad clockwise from the top left: least and greatest x + y and x - y, of equal ones the first or the last
+    point.  Null where one point would be two corners: the quad is turned too far."""
+    by = lambda key: F.array_sort(F.transform(points, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p["x"].alias("x"), p["y"].alias("y"))))
     total, apart = by(lambda p: p["x"] + p["y"]), by(lambda p: p["x"] - p["y"])
     pick = lambda a, k: F.struct(F.element_at(a, k)["x"].alias("x"), F.element_at(a, k)["y"].alias("y"))
-    return F.array(pick(total, 1), pick(apart, -1), pick(total, -1), pick(apart, 1))
+    at = F.array(*(F.element_at(a, k)["i"] for a, k in ((total, 1), (apart, -1), (total, -1), (apart, 1))))
+    return F.when(F.size(F.array_distinct(at)) == 4, F.array(pick(total, 1), pick(apart, -1), pick(total, -1), pick(apart, 1)))
+
+
+def inset(q: Column, share: float) -> Column:
+    """A quad's points pulled towards their mean by a share of the way."""
+    mean = lambda c: F.aggregate(q, F.lit(0.0), lambda s, p: s + p[c]) / 4
+    return F.transform(q, lambda p: F.struct(*((p[c] + (mean(c) - p[c]) * share).alias(c) for c in ("x", "y"))))
 
 
 def _corners(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -45,6 +45,23 @@ def sides(q: Column) -> Column:
     return F.array(*(F.hypot(q[a]["x"] - q[b]["x"], q[a]["y"] - q[b]["y"]) for a, b in ((0, 1), (1, 2), (2, 3), (3, 0))))
 
 
+def output_size(q: Column, most: int = 2400) -> Column:
+    """Whole pixels (w, h) that a quad is taken to: the longer of each pair of sides, shrunk to `most` at the longest."""
+    top, right, bottom, left = (sides(q)[k] for k in range(4))
+    w, h = F.greatest(top, bottom), F.greatest(left, right)
+    scale = F.least(F.lit(1.0), most / F.greatest(w, h))
+    return F.struct(F.greatest(F.lit(1), round_half_up(w * scale)).cast("int").alias("w"), F.greatest(F.lit(1), round_half_up(h * scale)).cast("int").alias("h"))
+
+
+def quad_of_lines(left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """The corners in which four lines meet, clockwise from the top left; null if neighbours are parallel."""
+    points = [crossing(left, top), crossing(right, top), crossing(right, bottom), crossing(left, bottom)]
+    whole = F.lit(True)
+    for p in points:
+        whole &= p.isNotNull()
+    return F.when(whole, F.array(*points))
+
+
 def rotation(q: Column) -> Column:
     """Degrees: the mean of the angles of the top and the bottom side."""
     along = lambda a, b: F.atan2(q[b]["y"] - q[a]["y"], q[b]["x"] - q[a]["x"])

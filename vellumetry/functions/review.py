@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellumetry.functions.text import trimmed
+from vellumetry.functions.text import SPACE, trimmed
 
 #: The letters of a reference, the notes beside a field, and the types of pictures.  Fixed values.
 LETTERS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -41,7 +41,7 @@ def save_error(title: Column, label: Column) -> Column:
 
 
 def typed_phone(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^0-9+()\-.\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]", "")
+    return F.regexp_replace(c, rf"[^0-9+()\-.{SPACE}]", "")
 
 
 def shown_date(c: Column) -> Column:

@@ -183,11 +183,11 @@ def component_figures(mask: np.ndarray, least_area: int) -> list[tuple]:
     (h, w), (top, left) = high - low + 1, low
     cy, cx = np.bincount(k, y) / np.maximum(area, 1), np.bincount(k, x) / np.maximum(area, 1)
     kept = np.flatnonzero(area >= least_area)
-    return [(n, int(area[c]), int(left[c]), int(top[c]), int(w[c]), int(h[c]), float(cx[c]), float(cy[c]), float(area[c] / (w[c] * h[c])), float(w[c] / h[c])) for n, c in enumerate(kept.tolist(), 1)]
+    return [(n, int(area[c]), int(left[c]), int(top[c]), int(w[c]), int(h[c]), float(cx[c]), float(cy[c]), float(area[c] / (w[c] * h[c])), float(max(w[c], h[c]) / min(w[c], h[c]))) for n, c in enumerate(kept.tolist(), 1)]
 
 
 def components(masks: DataFrame, least_area: int = 1) -> DataFrame:
-    """Components of the non-zero pixels of packed rasters: bounds, centre, fill of the bounds and aspect."""
+    """Components of the non-zero pixels of packed rasters: bounds, centre, fill of the bounds and aspect, the longer side over the shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

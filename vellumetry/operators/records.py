@@ -8,10 +8,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumetry.functions.text import clean, same_reading, trimmed
+from vellumetry.functions.text import same_reading, trimmed
 
 
 def latest(log: DataFrame, key: list[str], order: list[str], gone: Column) -> DataFrame:
@@ -22,9 +22,10 @@ def latest(log: DataFrame, key: list[str], order: list[str], gone: Column) -> Da
     return last.where(~F.col("r._gone")).select(*key, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
-def newest(df: DataFrame, when: str, tie: str, limit: int = 500) -> DataFrame:
-    """The list screen: newest first, at most `limit` rows (a top-k), ties by key."""
-    return df.orderBy(F.desc(when), F.asc(tie)).limit(limit)
+def newest(df: DataFrame, when: str, tie: str, limit: int | None = 500) -> DataFrame:
+    """The list screen: newest first, ties by key; at most `limit` rows (a top-k), or all where it is None."""
+    ordered = df.orderBy(F.desc(when), F.asc(tie))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def search(df: DataFrame, needle: str, parts: list[str]) -> DataFrame:
@@ -156,15 +157,16 @@ def filled(values: Column) -> Column:
 
 
 def projected(values: Column, keys: list[str]) -> Column:
-    """Values on a form's keys: unknown keys go, missing ones are blank."""
-    return F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(clean(F.coalesce(F.try_element_at(values, F.lit(k)), F.lit("")), False) for k in keys)))
+    """Values on a form's keys, as they are: unknown keys go, missing and null ones are blank.  No values at all are all blank."""
+    return F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.coalesce(F.try_element_at(values, F.lit(k)), F.lit("")) for k in keys)))
 
 
 def by_id(df: DataFrame, key: str, wanted: Column) -> DataFrame:
-    """The row of one key: no row if there is none, an error if there are several."""
-    found = df.where(F.col(key) == wanted)
-    n = F.count("*").over(Window.partitionBy(key))  # one key's rows, pushed down to the scan
-    return found.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(F.lit("more than one row of a key")).cast("boolean")).otherwise(True)).drop("_n")
+    """The row of one key: no row if there is none, an error if there are several.  Two rows tell."""
+    rows = F.collect_list(F.struct(*df.columns))
+    found = df.where(F.col(key) == wanted).limit(2).agg(rows.alias("r"))
+    one = F.when(F.size("r") > 1, F.raise_error(F.lit("more than one row of a key")).cast(found.schema["r"].dataType)).otherwise(F.col("r"))
+    return found.select(F.inline(one))
 
 
 def applied(log: DataFrame, key: list[str], seq: str, deleted: Column, photo_op: Column, photo: Column, values: list[str]) -> DataFrame:

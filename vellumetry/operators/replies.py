@@ -78,21 +78,25 @@ def _number(v: object) -> float:
     return math.nan if isinstance(v, (list, dict)) else float(v or 0)
 
 
-def box_of(raw: object, depth: int = 8) -> list[float] | None:
-    """Four finite numbers, as corners, out of any shape in which replies give a box; else None, never a guess."""
-    if raw is None or raw is False or raw == "" or depth == 0:
-        return None
-    if isinstance(raw, str):
-        try:
-            return box_of(json.loads(raw), depth - 1)
-        except (ValueError, RecursionError):
-            raw = re.findall(r"-?\d+(?:\.\d+)?", raw, re.A)
+def box_of(raw: object) -> list[float] | None:
+    """Four finite numbers, as corners, out of any shape in which replies give a box, however deep it is nested; else None,
+    never a guess."""
+    while True:
+        if raw is None or raw is False or raw == "":
+            return None
+        if isinstance(raw, dict) and (inner := next((k for k in NESTED if k in raw), None)):
+            raw = raw[inner]
+        elif isinstance(raw, str):
+            try:
+                raw = json.loads(raw)
+            except (ValueError, RecursionError):
+                raw = re.findall(r"-?\d+(?:\.\d+)?", raw, re.A)
+                break
+        else:
+            break
     if isinstance(raw, list):
         found = [_number(x) for x in raw] if len(raw) == 4 else []
     elif isinstance(raw, dict):
-        inner = next((k for k in NESTED if k in raw), None)
-        if inner:
-            return box_of(raw[inner], depth - 1)
         at = lambda k: math.nan if isinstance(raw.get(k), bool) or not isinstance(raw.get(k), (int, float, str)) else _number(raw[k])
         names = next((c for c in CORNERS if c[0] in raw), None)
         if names:
@@ -181,14 +185,17 @@ def readings(replies: DataFrame, fields: DataFrame, key: list[str], form: str =
     return each.select(*key, form, "field", "kind", value.alias("value"), F.col("found").isNull().alias("unreadable"), off.alias("off_list"), "readable")
 
 
-def reconciled_readings(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
-    """Two readings of the same forms, rows as from readings(): key, field, value, alternative, unreadable, off_list.
+def paired(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows as from readings() with their values in one column, a for the first reading and b for the second, and its kind beside it."""
+    made = ("kind", "value", "unreadable", "off_list", "readable")
+    one = lambda df, n: df.select(*(c for c in df.columns if c not in made), F.col("kind").alias(f"kind_{n}"), F.struct(*made[1:]).alias(n))
+    return one(first, "a"), one(second, "b")
 
-    A reading that saw no form yields to the other one.  Else the first wins a disagreement and keeps the other's value as
-    alternative; where it is blank the second's value stands, marked by a blank alternative."""
-    on = [*key, "field"]
-    rows = {n: df.select(*on, "kind", F.struct("value", "unreadable", "off_list", "readable").alias(n)) for n, df in (("a", first), ("b", second))}
-    both = rows["a"].join(rows["b"].drop("kind"), on)
+
+def agreed(both: DataFrame, on: list[str]) -> DataFrame:
+    """The reconciled rows of paired ones that have been joined; the side of a failed reading is null."""
+    failed = F.struct(F.lit("").alias("value"), F.lit(False).alias("unreadable"), F.lit(False).alias("off_list"), F.lit(False).alias("readable"))
+    both = both.select(*on, F.coalesce("kind_a", "kind_b").alias("kind"), F.coalesce("a", failed).alias("a"), F.coalesce("b", failed).alias("b"))
     a, b = F.col("a.value"), F.col("b.value")
     single = ~F.col("a.readable") | ~F.col("b.readable")
     other = F.when(single, ~F.col("a.readable")).otherwise(~text.same_by_kind(a, b, F.col("kind")) & (a == ""))
@@ -198,6 +205,18 @@ def reconciled_readings(first: DataFrame, second: DataFrame, key: list[str]) ->
     return both.select(*on, side["value"].alias("value"), F.when(differ, F.when(a == "", "").otherwise(b)).alias("alternative"), unreadable.alias("unreadable"), side["off_list"].alias("off_list"))
 
 
+def reconciled_readings(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
+    """Two readings of the same forms, rows as from readings(): key, field, value, alternative, unreadable, off_list.
+
+    A reading that failed, or that saw no form, yields to the other one; where both did there is a row of the first, or none.
+    Else the first wins a disagreement and keeps the other's value as alternative; where it is blank the second's value
+    stands, marked by a blank alternative."""
+    on = [*key, "field"]
+    one, two = (df.select(*on, "kind", "value", "unreadable", "off_list", "readable") for df in (first, second))
+    a, b = paired(one, two)
+    return agreed(a.join(b, on, "full_outer"), on)
+
+
 def reconciled_boxes(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
     """The photo's box and picture of two opened replies: the first's if it has one and saw the form."""
     both = first.select(*key, F.struct("readable", "box", "picture").alias("a")).join(second.select(*key, F.struct("readable", "box", "picture").alias("b")), key)

@@ -75,19 +75,26 @@ def area(corners: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
 
 
-def least_rectangle(corners: np.ndarray) -> tuple[float, float, float, float, float]:
-    """(cx, cy, width, height, angle) of the smallest rectangle around a hull: it lies along one of the hull's sides."""
-    if len(corners) < 3:
-        low, high = corners.min(0), corners.max(0)
-        return (*((low + high) / 2).tolist(), *(high - low).tolist(), 0.0)
+def rectangles(corners: np.ndarray) -> np.ndarray:
+    """Rows (cx, cy, width, height, angle): the rectangles around a hull that lie along its sides, in the sides' order."""
     sides = np.roll(corners, -1, 0) - corners
     angles = np.arctan2(sides[:, 1], sides[:, 0])
     c, s = np.cos(angles)[:, None], np.sin(angles)[:, None]
     u, v = corners[:, 0] * c + corners[:, 1] * s, corners[:, 1] * c - corners[:, 0] * s  # a row for each side
-    w, h = np.ptp(u, 1), np.ptp(v, 1)
-    k = int((w * h).argmin())
-    mu, mv = (u[k].min() + u[k].max()) / 2, (v[k].min() + v[k].max()) / 2
-    return float(mu * c[k, 0] - mv * s[k, 0]), float(mu * s[k, 0] + mv * c[k, 0]), float(w[k]), float(h[k]), float(angles[k])
+    mu, mv, c, s = (u.min(1) + u.max(1)) / 2, (v.min(1) + v.max(1)) / 2, c[:, 0], s[:, 0]
+    return np.stack([mu * c - mv * s, mu * s + mv * c, np.ptp(u, 1), np.ptp(v, 1), angles], 1)
+
+
+def least_rectangle(corners: np.ndarray) -> tuple[float, float, float, float, float]:
+    """(cx, cy, width, height, angle) of the smallest rectangle around a hull: it lies along one of the hull's sides, the first
+    of equal ones.  The angle is within a quarter of pi, and the width is that of the side nearer to horizontal."""
+    if len(corners) < 3:
+        low, high = corners.min(0), corners.max(0)
+        return (*((low + high) / 2).tolist(), *(high - low).tolist(), 0.0)
+    every = rectangles(corners)
+    cx, cy, w, h, angle = every[int((every[:, 2] * every[:, 3]).argmin())].tolist()
+    angle -= np.pi * np.ceil(angle / np.pi - 0.5)
+    return (cx, cy, h, w, float(angle - np.copysign(np.pi / 2, angle))) if abs(angle) > np.pi / 4 else (cx, cy, w, h, float(angle))
 
 
 def homography(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray | None:

@@ -6,7 +6,7 @@ printed options, lineitem for boxes, embeddings for 8 x 8 rasters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumetry.functions import boxes, text
@@ -170,8 +170,8 @@ from b a join b on a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_line
 select l_orderkey, l_linenumber, round(i / (aa + bb - i), 9) iou, round(i / aa, 9) as inside from p""")
 def box_iou(spark, d):
     b = _line_boxes(spark, d)
-    nxt = b.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("box").alias("other"))
-    j = b.join(nxt, KEY)
+    nxt = F.array_agg("box").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1))
+    j = b.withColumn("others", nxt).withColumn("other", F.explode("others"))
     return j.select("l_orderkey", "l_linenumber", F.round(boxes.iou(_box("box"), _box("other")), 9).alias("iou"), F.round(boxes.containment(_box("box"), _box("other")), 9).alias("inside"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumetry.functions import text
-from vellumetry.operators import records, replies
+from vellumetry.functions import boxes, pages, text
+from vellumetry.operators import bodies, records, replies
 from vellumetry.plans.registry import query
 from vellumetry.sources.tables import table
 
@@ -33,13 +33,15 @@ def _replies(spark, d) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.lit("customer").alias("form_id"), first.alias("first"), second.alias("second"))
 
 
-_READ = """with c as (select *, c_custkey % 6 k, c_custkey % 10 = 9 blind from customer where c_custkey % 11 <> 10), f as (select c_custkey, blind, 'name' field, c_name || ' x' v, false u, false o, upper(c_name) || ' X.' w from c
+_BOTH = """with c as (select *, c_custkey % 6 k, c_custkey % 10 = 9 or c_custkey % 11 = 10 blind from customer), f as (select c_custkey, blind, 'name' field, c_name || ' x' v, false u, false o, upper(c_name) || ' X.' w from c
 union all select c_custkey, blind, 'segment', case k when 0 then c_mktsegment when 1 then 'other' when 3 then '5' else '' end, k in (2, 4), k in (1, 3), c_mktsegment from c
 union all select c_custkey, blind, 'active', case k when 1 then 'No' when 2 then 'maybe' when 0 then 'Yes' when 4 then 'Yes' else '' end, k = 3, k = 2, 'Yes' from c
 union all select c_custkey, blind, 'papers', case k when 0 then 'Photo, ' || c_mktsegment when 1 then 'a, b' when 2 then 'Photo, Y' else '' end, k in (3, 5), false, 'Photo, ' || c_mktsegment from c
 union all select c_custkey, blind, 'amount', case k when 0 then c_custkey::varchar when 1 then '1, 2.5' when 2 then '1e-7' when 3 then 'Yes' when 4 then '7' else '10' end, false, false, c_custkey::varchar from c),
 r as (select c_custkey, blind, field, case when blind then '' else v end v, u and not blind u, o and not blind o, w from f)
 """
+#: Of the first replies alone: the broken ones have no rows.
+_READ = _BOTH.replace("or c_custkey % 11 = 10 blind from customer", "blind from customer where c_custkey % 11 <> 10")
 
 
 @query(_READ + 'select c_custkey, field, v as "value", u as unreadable, o as off_list from r')
@@ -56,11 +58,11 @@ def reply_flags(spark, d):
     return o.select("c_custkey", "error_code").join(counts, "c_custkey", "left").na.fill(0, ["filled", "unreadable", "off_list"])
 
 
-@query(_READ + """, s as (select *, case when field = 'amount' then regexp_replace(v, '[^0-9]', '', 'g') = regexp_replace(w, '[^0-9]', '', 'g') else lower(replace(v, '.', '')) = lower(replace(w, '.', '')) end same from r)
+@query(_BOTH + """, s as (select *, case when field = 'amount' then regexp_replace(v, '[^0-9]', '', 'g') = regexp_replace(w, '[^0-9]', '', 'g') else lower(replace(v, '.', '')) = lower(replace(w, '.', '')) end same from r)
 select c_custkey, field, case when blind or not same and v = '' then w else v end as "value", case when not blind and not same then case when v = '' then '' else w end end as alternative,
 not blind and u and not (not same and v = '') as unreadable, not blind and o and not (not same and v = '') as off_list from s""")
 def reconcile_forms(spark, d):
-    """Fields of five kinds in one call; where the first saw no form the second stands alone."""
+    """Fields of five kinds in one call; where the first saw no form, or failed, the second stands alone."""
     both, fields = _replies(spark, d), spark.sql(_FIELDS)
     one, two = (replies.readings(replies.opened(both.drop(o), c), fields, ["c_custkey"]) for c, o in (("first", "second"), ("second", "first")))
     return replies.reconciled_readings(one, two, ["c_custkey"])
@@ -121,3 +123,71 @@ def uuid_check(spark, d):
     m = F.when(k == 0, F.upper(m)).when(k == 1, m).when(k == 2, F.concat(F.substring(m, 1, 31), F.lit("g"))).otherwise(F.substring(m, 1, 31))
     dashed = F.concat_ws("-", *(F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     return table(spark, d, "orders").select("o_orderkey", text.is_uuid(dashed).alias("is_uuid"))
+
+
+_PNG = "89504E470D0A1A0A00"
+
+
+@query(f"""with b as (select *, c_custkey % 12 k, c_custkey % 3 f from customer), e as (select *, case when k = 0 then 'invalid_body' when k in (1, 2) and f <> 0 then 'unknown_form' when k = 3 then 'invalid_values'
+when k in (4, 5, 11) then 'invalid_photo' when k = 6 then 'photo_too_large' end code from b)
+select c_custkey, code error_code, case when code is null then case when f = 0 then 'a' else 'b' end end form, case when code is null then case k when 7 then 'remove' when 8 then 'remove' when 9 then 'keep' when 10 then 'replace' else 'keep' end end photo_op,
+case when code is null then ' ' || c_name || chr(10) || 'x ' end "name", case when code is null then case c_custkey % 7 when 0 then '7' when 1 then '2.5' when 2 then 'true' when 3 then '' when 4 then '[object Object]' when 5 then '1,,b' else '' end end size,
+case when code is null then case when f = 0 then 2 else 3 end end n_values, case when code is null and k = 10 then 'image/png' end kind from e""")
+def scan_bodies(spark, d):
+    """Saves and edits: twelve shapes of a body, in which the first failing check counts; values stay as they are."""
+    k, f = (F.col("c_custkey") % 12).cast("int"), F.col("c_custkey") % 3
+    say = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    png = say("data:image/webp;base64, ", F.base64(F.unhex(F.lit(_PNG))))
+    size = _case((F.col("c_custkey") % 7).cast("int"), "7.0", "2.50", "true", "null", '{"a": 1}', '[1, null, "b"]', '""')
+    values = say('{"name": " ', F.col("c_name"), '\\nx ", "size": ', size, ', "other": "gone"}')
+    photo = _case(k, "", "", "", "", ', "photo": "data:text/html;base64,AAAA"', ', "photo": 5', say(', "photo": "data:image/png;base64,', F.base64(F.unhex(F.lit(_PNG * 4))), '"'), ', "photo": null', ', "photo": ""', "", say(', "photo": "', png, '"'), ', "photo": "data:image/jpg;base64,AAAA"')
+    form = F.when(k == 1, '"nowhere"').when(k == 2, "3").otherwise('"b"')
+    body = F.when(k == 0, "[1]").otherwise(say('{"form": ', form, ', "values": ', F.when(k == 3, "[]").otherwise(values), photo, "}"))
+    sent = table(spark, d, "customer").select("c_custkey", body.alias("body"), F.when(f == 0, "a").alias("known_form"))
+    out = bodies.parsed_bodies(sent, {"a": ["name", "size"], "b": ["name", "size", "more"]}, most_bytes=20)
+    return out.select("c_custkey", "error_code", "form", "photo_op", *(F.try_element_at("values", F.lit(c)).alias(c) for c in ("name", "size")), F.when(F.col("values").isNotNull(), F.size("values")).alias("n_values"), F.col("photo.kind").alias("kind"))
+
+
+@query("""with f as (select n_regionkey form_id, r_name form, ascii(n_name) so, left(n_name, 1) section, n_nationkey fo, lower(replace(n_name, ' ', '_')) field, n_name label, n_nationkey % 4 k from nation join region on n_regionkey = r_regionkey),
+l as (select *, '- ' || field || ' — "' || label || '" — ' || case k when 0 then 'Yes or No' when 1 then 'one of: ' || form || ', x' when 2 then 'checklist of: ' || form || ', x (an array of the ticked items)' else 'text' end line,
+row_number() over (partition by form_id, so order by fo) first_ from f), s as (select *, case when first_ = 1 then 'Section "' || section || '":' || chr(10) else '' end || line part from l)
+select form_id, 'This is a filled-in copy of the "' || form || '". Its fields, as key — printed label — expected answer:' || chr(10) || string_agg(part, chr(10) order by so, fo) || chr(10) || 'Reply with the JSON object only, in this shape with every value filled in:' || chr(10) ||
+'{"readable":true,"photo":"[x1, y1, x2, y2] or null","photoPicture":"1 or 2","fields":{' || string_agg('"' || field || case k when 2 then '":[]' else '":""' end, ',' order by so, fo) || '}}' prompt from s group by form_id, form""")
+def reader_prompts(spark, d):
+    """Regions as forms, nations as their fields, initials as sections."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = (F.col("n_nationkey") % 4).cast("int")
+    fields = n.select(
+        F.col("n_regionkey").alias("form_id"), F.col("r_name").alias("form"), F.ascii("n_name").alias("section_ord"), F.substring("n_name", 1, 1).alias("section"), F.col("n_nationkey").alias("field_ord"),
+        F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("field"), F.col("n_name").alias("label"), _case(k, "yesno", "choice", "checklist", "text").alias("kind"), F.array("r_name", F.lit("x")).alias("options"),
+    )
+    return bodies.reader_prompts(fields)
+
+
+@query("""with e as (select *, case when user_id % 3 > 0 then 'p/' || user_id % 50 || '.jpg' end path from events), p as (select distinct 'p/' || user_id % 50 || '.jpg' path, user_id % 50 content from events where user_id % 50 < 40)
+select event_id, case when e.path is not null then '/api/scans/' || event_id || '/photo?v=' || replace(replace(strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00 (x)', ':', '%3A'), '+', '%2B') end photo_url, cast(content as varchar) content,
+case when event_type = 'click' and value > 50 then 'invalid_type' when value > 90 then 'file_too_large' end as file_error from e left join p on p.path = e.path""".replace("|| '+00:00 (x)'", "|| '+00:00%20(x)'"))
+def record_photos(spark, d):
+    """Where a record's photo is read, its content from the store, which lacks some, and whether a file would be taken."""
+    e = table(spark, d, "events")
+    path = F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("p/"), F.col("user_id") % 50, F.lit(".jpg")))
+    photos = e.where("user_id % 50 < 40").select(F.concat(F.lit("p/"), F.col("user_id") % 50, F.lit(".jpg")).alias("path"), (F.col("user_id") % 50).cast("string").alias("content")).distinct()
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00 (x)"))
+    kind, name = F.when(F.col("event_type") == "click", "application/pdf").otherwise("image/png"), F.when(F.col("value") > 50, "form.pdf").otherwise("form.JPEG")
+    file = bodies.file_error(kind, name, F.when(F.col("value") > 90, bodies.MOST_FILE_BYTES + 1).otherwise(bodies.MOST_FILE_BYTES))
+    rows = e.select("event_id", path.alias("photo_path"), stamp.alias("stamp"), file.alias("file_error"))
+    return bodies.with_photos(rows, photos).select("event_id", bodies.photo_url(F.col("event_id").cast("string"), F.col("photo_path"), F.col("stamp")).alias("photo_url"), "content", "file_error")
+
+
+@query("""with q as (select p_partkey, p_size s, p_size % 7 t from part), c as (select p_partkey, s, t, unnest([1, 2, 3, 4]) i from q),
+p as (select p_partkey, i, case i when 1 then s when 2 then s + 100 when 3 then s + 110 else s + 3 end x, case i when 1 then t when 2 then t + 5 when 3 then t + 95 else t + 90 end y from c),
+m as (select p_partkey, avg(x) mx, avg(y) my, sqrt(100 * 100 + 25) w1, sqrt(107.0::double * 107 + 25) w2, sqrt(9.0::double + 90 * 90) h1, sqrt(100.0::double + 90 * 90) h2 from p group by 1)
+select p.p_partkey, i corner, round(x + (mx - x) * 0.02, 6) x, round(y + (my - y) * 0.02, 6) y, cast(greatest(1, floor(greatest(w1, w2) * least(1, 90.0::double / greatest(w1, w2, h1, h2)) + 0.5)) as int) w, cast(greatest(1, floor(greatest(h1, h2) * least(1, 90.0::double / greatest(w1, w2, h1, h2)) + 0.5)) as int) h from p join m using (p_partkey)""")
+def quad_insets(spark, d):
+    """Quads of four lines, pulled in by a fiftieth, and the size they are taken to."""
+    s, t = F.col("p_size").cast("double"), (F.col("p_size") % 7).cast("double")
+    at = [(s, t), (s + 100, t + 5), (s + 110, t + 95), (s + 3, t + 90)]
+    side = lambda a, b: pages.line_through(*at[a], *at[b])
+    q = table(spark, d, "part").select("p_partkey", pages.quad_of_lines(side(0, 3), side(0, 1), side(1, 2), side(3, 2)).alias("q"))
+    out = q.select("p_partkey", pages.output_size(F.col("q"), 90).alias("o"), F.posexplode(boxes.inset(F.col("q"), F.lit(0.02))).alias("i", "p"))
+    return out.select("p_partkey", (F.col("i") + 1).alias("corner"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), "o.w", "o.h")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,14 +252,14 @@ def raster_warp(spark, d):
 
 @query("with recursive " + PX[5:] + """, s as (select raster_id, y, x from px where v > 170),
 r as (select raster_id, y, x, y * 8 + x as seed from s union select s.raster_id, s.y, s.x, r.seed from r join s on s.raster_id = r.raster_id and abs(s.y - r.y) <= 1 and abs(s.x - r.x) <= 1),
-l as (select raster_id, y, x, min(seed) seed from r group by 1, 2, 3), c as (select raster_id, count(*) area, min(x) x, min(y) y, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h from l group by raster_id, seed)
-select raster_id, area, round(area / (w * h), 9) fill, round(w / h, 9) aspect, x >= 1 and y >= 1 and x + w <= 7 and y + h <= 7 as inside, cast(row_number() over (partition by raster_id order by area desc, y, x, w, h) as int) as place from c where area >= 2""")
+l as (select raster_id, y, x, min(seed) seed from r group by 1, 2, 3), c as (select raster_id, seed, count(*) area, min(x) x, min(y) y, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h from l group by raster_id, seed)
+select raster_id, area, round(area / (w * h), 9) fill, round(greatest(w, h) / least(w, h), 9) aspect, x >= 1 and y >= 1 and x + w <= 7 and y + h <= 7 as inside, cast(row_number() over (partition by raster_id order by area desc, seed) as int) as place from c where area >= 2""")
 def raster_component_figures(spark, d):
-    """Components by size, with their fill and aspect, and whether they lie within the box (1, 1, 6, 6)."""
+    """Components by size, of equal ones by their first pixel, with their fill and aspect, and whether they lie within the box (1, 1, 6, 6)."""
     mask = packed_rasters(spark, d).withColumn("values", F.transform("values", lambda v: (v > 170).cast("int")))
     c = rasters.components(mask, 2)
     inside = (F.col("x") >= 1) & (F.col("y") >= 1) & (F.col("x") + F.col("w") <= 7) & (F.col("y") + F.col("h") <= 7)
-    place = F.row_number().over(rasters.Window.partitionBy("raster_id").orderBy(F.desc("area"), "y", "x", "w", "h"))
+    place = F.row_number().over(rasters.Window.partitionBy("raster_id").orderBy(F.desc("area"), "label"))
     return c.select("raster_id", "area", F.round("fill", 9).alias("fill"), F.round("aspect", 9).alias("aspect"), inside.alias("inside"), place.alias("place"))
 
 
@@ -289,19 +290,24 @@ def raster_textured(spark, d):
 
 @query("""with p as (select l_orderkey k, l_extendedprice x, l_quantity * 997 + l_discount * 31 + l_linenumber / 7.0 y from lineitem), e as (select a.k, a.x ax, a.y ay, b.x bx, b.y by_ from p a join p b on a.k = b.k and (a.x <> b.x or a.y <> b.y)),
 s as (select e.*, (bx - ax) / sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) c, (by_ - ay) / sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) s from e),
-h as (select s.k, ax, ay, bx, by_, min((bx - ax) * (p.y - ay) - (by_ - ay) * (p.x - ax)) side, (max(p.x * c + p.y * s) - min(p.x * c + p.y * s)) * (max(p.y * c - p.x * s) - min(p.y * c - p.x * s)) box, count(*) n from s join p on p.k = s.k group by 1, 2, 3, 4, 5)
-select k as l_orderkey, cast(count(*) as int) corners, round(sum(ax * by_ - bx * ay) / 2000, 1) area, round(min(box) / 1000, 1) box_area from h where side >= -1e-6 and n > 2 group by 1""")
+h as (select s.k, ax, ay, bx, by_, min((bx - ax) * (p.y - ay) - (by_ - ay) * (p.x - ax)) side, (max(p.x * c + p.y * s) - min(p.x * c + p.y * s)) * (max(p.y * c - p.x * s) - min(p.y * c - p.x * s)) box, max(p.x * c + p.y * s) - min(p.x * c + p.y * s) u, max(p.y * c - p.x * s) - min(p.y * c - p.x * s) v, abs(s) > abs(c) flip, atan(s / c) t, count(*) n from s join p on p.k = s.k group by s.k, ax, ay, bx, by_, c, s)
+select k as l_orderkey, cast(count(*) as int) corners, round(sum(ax * by_ - bx * ay) / 2000, 1) area, round(min(box) / 1000, 1) box_area, case when list_sort(list(box))[2] > min(box) * (1 + 1e-6) then round(arg_min(wide, box) / 100, 2) end box_width, case when list_sort(list(box))[2] > min(box) * (1 + 1e-6) then round(abs(arg_min(turn, box)), 5) end box_turn from (select h.*, case when flip then v else u end wide, case when t > pi() / 4 then t - pi() / 2 when t < -pi() / 4 then t + pi() / 2 else t end turn from h) where side >= -1e-6 and n > 2 group by 1""")
 def hull_figures(spark, d):
     """Convex hull and smallest rectangle of each order's lines as points; orders of three lines or more.  In the SQL a side of the
-    hull has no point to its right."""
+    hull has no point to its right.  Width and turn are given where no two rectangles are equally small, as those of a triangle."""
     p = table(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("x"), (F.col("l_quantity") * 997 + F.col("l_discount") * 31 + F.col("l_linenumber") / 7).alias("y"))
 
     def kernel(x, y):
         h = shapes.hull(x, y)
-        return [(len(h), shapes.area(h), shapes.least_rectangle(h)[2] * shapes.least_rectangle(h)[3])] if len(h) > 2 else []
-
-    out = shapes.by_set(p, "l_orderkey", ["x", "y"], kernel, "corners int, area double, box_area double")
-    return out.select("l_orderkey", "corners", F.round(F.col("area") / 1000, 1).alias("area"), F.round(F.col("box_area") / 1000, 1).alias("box_area"))
+        if len(h) < 3:
+            return []
+        _, _, wide, high, turn = shapes.least_rectangle(h)
+        best = np.sort(np.prod(shapes.rectangles(h)[:, 2:4], 1))
+        one = best[1] > best[0] * (1 + 1e-6)
+        return [(len(h), shapes.area(h), wide * high, wide if one else None, abs(turn) if one else None)]
+
+    out = shapes.by_set(p, "l_orderkey", ["x", "y"], kernel, "corners int, area double, box_area double, box_width double, box_turn double")
+    return out.select("l_orderkey", "corners", F.round(F.col("area") / 1000, 1).alias("area"), F.round(F.col("box_area") / 1000, 1).alias("box_area"), F.round(F.col("box_width") / 100, 2).alias("box_width"), F.round("box_turn", 5).alias("box_turn"))
 
 
 @query("""with p as (select p_partkey, p_size k from part) select p_partkey, round((1.2 * 30 + 0.1 * 20 + k) / (0.001 * 30 + 0.002 * 20 + 1), 5) x, round((0.05 * 30 + 0.9 * 20 + 2 * k) / (0.001 * 30 + 0.002 * 20 + 1), 5) y from p""")

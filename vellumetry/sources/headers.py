@@ -11,7 +11,7 @@ from pyspark.sql.types import IntegerType, StructType
 
 #: Markers of JPEG frames that carry the size, and those without a length.  Fixed values of the standard.
 FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
-BARE = frozenset((0x01, *range(0xD0, 0xDA)))
+BARE, PICTURE = frozenset((0x01, *range(0xD0, 0xD9))), (0xD9, 0xDA)
 
 
 def _big(data: bytes, at: int, n: int = 2) -> int:
@@ -19,24 +19,27 @@ def _big(data: bytes, at: int, n: int = 2) -> int:
 
 
 def _segments(data: bytes) -> Iterator[tuple[int, int]]:
-    """(marker, place of its length) of a JPEG's segments, up to the first that isn't one."""
-    at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF:
+    """(marker, place of its length) of a JPEG's segments, up to its picture or a length that can't be.  What lies between
+    segments is passed over."""
+    at = data.find(0xFF, 2)
+    while 0 <= at and at + 4 <= len(data):
         marker = data[at + 1]
         if marker == 0xFF:  # fill
             at += 1
         elif marker in BARE:
-            at += 2
+            at = data.find(0xFF, at + 2)
+        elif marker in PICTURE or _big(data, at + 2) < 2:
+            return
         else:
             yield marker, at + 2
-            at += 2 + max(2, _big(data, at + 2))
+            at = data.find(0xFF, at + 2 + _big(data, at + 2))
 
 
 def size_of(data: bytes | None) -> tuple[int, int] | None:
     """(width, height); None where the bytes are of no known format or too few."""
     data = data or b""
     found = None
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR" and len(data) >= 24:
         found = _big(data, 16, 4), _big(data, 20, 4)
     elif data[:2] == b"\xff\xd8":
         frame = next((at for marker, at in _segments(data) if marker in FRAMES), None)
@@ -60,5 +63,5 @@ def _sizes(content: pd.Series) -> pd.DataFrame:
 
 
 def image_size(content: Column) -> Column:
-    """(width, height), both null where unknown.  Only the first megabyte goes to Python, metadata before a frame included."""
-    return _sizes(F.substring(content, 1, 1 << 20))
+    """(width, height), both null where unknown."""
+    return _sizes(content)

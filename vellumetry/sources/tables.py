@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumetry.functions.text import SPACE
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,9 +37,12 @@ def png_size(content: Column) -> Column:
 
 
 def photo_from_data_url(url: Column, most_bytes: int = 5 * 1024 * 1024) -> Column:
-    """(content, kind, error) of a data URL; error is invalid_photo or photo_too_large."""
-    body = F.regexp_replace(F.regexp_extract(url, r"(?s)^data:[^;,]*;base64,(.*)$", 1), r"\s", "")
-    content = F.try_to_binary(body, F.lit("base64"))
+    """(content, kind, error) of a data URL; error is invalid_photo or photo_too_large.  The declared type must be one of the
+    accepted ones, but the kind is told from the bytes.  Decoding ends at the first padding, and an odd letter is left out."""
+    body = F.regexp_replace(F.regexp_extract(url, rf"^data:image/(?:png|jpeg|jpg|webp);base64,([A-Za-z0-9+/={SPACE}]+)\z", 1), f"[{SPACE}]", "")
+    body = F.regexp_extract(body, "^[^=]*", 0)
+    odd = F.char_length(body) % 4
+    content = F.try_to_binary(F.when(odd == 1, F.substring(body, F.lit(1), F.char_length(body) - 1)).when(odd > 1, F.rpad(body, F.char_length(body) + 4 - odd, F.lit("="))).otherwise(body), F.lit("base64"))
     bad = content.isNull() | (F.octet_length(content) == 0)
     error = F.when(bad, "invalid_photo").when(F.octet_length(content) > most_bytes, "photo_too_large").when(image_kind(content).isNull(), "invalid_photo")
     return F.struct(content.alias("content"), image_kind(content).alias("kind"), error.alias("error"))
