@@ -21,14 +21,16 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
-def clean(c: Column, multiline: bool) -> Column:
-    """Line ends become LF, other control characters go (tabs too, before white space is collapsed), blank lines go.  Most
-    answers need none of it, which one search tells."""
+def clean(c: Column, multiline: bool | Column) -> Column:
+    """Line ends become LF, other control characters go (tabs too, before white space is collapsed), blank lines go; lines are
+    joined by commas unless multiline.  Most answers need none of it, which one search tells.  c is mentioned several times:
+    pass a column."""
     whole = c
     c = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[\x00-\x09\x0B-\x1F\x7F]", "")
     c = F.regexp_replace(c, f"[{SPACE}&&[^\n]]+", " ")
     lines = F.filter(F.transform(F.split(c, "\n"), trimmed), lambda x: x != "")
-    tidy = F.substring(F.array_join(lines, "\n" if multiline else ", "), 1, LONGEST_ANSWER)
+    between = F.when(multiline, "\n").otherwise(", ") if isinstance(multiline, Column) else F.lit("\n" if multiline else ", ")
+    tidy = F.substring(F.call_function("array_join", lines, between), 1, LONGEST_ANSWER)
     dirty = f"[\\x00-\\x1F\\x7F]|[{SPACE}&&[^ ]]|  |^ | $"
     return F.when(whole.rlike(dirty) | (F.char_length(whole) > LONGEST_ANSWER), tidy).otherwise(whole)
 

@@ -182,3 +182,52 @@ def new_ink(labels: DataFrame, printed: DataFrame, least: float = 0.2) -> DataFr
     known = printed.select("raster_id", "y", "x", F.lit(1).alias("_known"))
     rest = labels.join(known, ["raster_id", "y", "x"], "left").groupBy("raster_id", "label").agg(F.count("*").alias("_area"), F.count_if(F.col("_known").isNull()).alias("_rest"))
     return labels.join(rest.where((F.col("_rest") > 0) & (F.col("_rest") >= F.col("_area") * least)).select("raster_id", "label"), ["raster_id", "label"], "left_semi")
+
+
+def rooted(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """key, id, root: of each node (key, id) the smallest id that edges (key, a, b) lead to.  Each round takes the least root
+    of a node's neighbours and then the root's own root, so that chains halve."""
+    both = settled(edges.select(key, "a", "b").union(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))))
+    at = settled(nodes.select(key, "id", F.col("id").alias("root")))
+    while True:
+        low = both.join(at.withColumnRenamed("id", "a"), [key, "a"]).groupBy(key, F.col("b").alias("id")).agg(F.min("root").alias("low"))
+        new = at.join(low, [key, "id"], "left").select(key, "id", F.least("root", F.coalesce("low", "root")).alias("new"), "root")
+        up = new.select(key, F.col("id").alias("new"), F.col("new").alias("up"))
+        new = settled(new.join(up, [key, "new"], "left").select(key, "id", F.least("new", F.coalesce("up", "new")).alias("new"), "root"))
+        at = new.select(key, "id", F.col("new").alias("root"))
+        if new.where("new <> root").isEmpty():
+            return at
+
+
+#: A dark region at the border stays a print's unless it touches two sides or runs along so much of one.  Fixed values.
+TWO_SIDES, MOST_OF_A_SIDE = 2, 0.85
+
+
+def border_regions(dark: DataFrame, sizes: DataFrame) -> DataFrame:
+    """raster_id, y, x of the dark pixels (raster_id, y, x) of the regions, joined in four directions, that reach a raster's border
+    along two sides or more, or along most of one.  sizes: raster_id, width, height.
+
+    Pixels of a row are taken as runs first; runs of neighbouring rows that overlap are linked, so what is labelled is
+    a raster's runs, not its pixels."""
+    row = Window.partitionBy("raster_id", "y").orderBy("x")
+    runs = dark.withColumn("_at", F.col("x") - F.row_number().over(row)).groupBy("raster_id", "y", "_at").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    runs = settled(runs.join(sizes, "raster_id").select("raster_id", "y", "x0", "x1", "width", "height", (F.col("y").cast("long") * F.col("width") + F.col("x0")).alias("id")))
+    below = runs.select("raster_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("id").alias("b"))
+    edges = runs.join(below, ["raster_id", "y"]).where("x0 <= _x1 and _x0 <= x1").select("raster_id", F.col("id").alias("a"), "b")
+    named = runs.join(rooted(runs, edges, "raster_id"), ["raster_id", "id"])
+    length = F.col("x1") - F.col("x0") + 1
+    touch = {"top": F.when(F.col("y") == 0, length), "bottom": F.when(F.col("y") == F.col("height") - 1, length), "left": F.when(F.col("x0") == 0, 1), "right": F.when(F.col("x1") == F.col("width") - 1, 1)}
+    sides = named.groupBy("raster_id", "root", "width", "height").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in touch.items()))
+    touched = sum(((F.col(n) > 0).cast("int") for n in touch), F.lit(0))
+    longest = F.greatest(F.col("top") / F.col("width"), F.col("bottom") / F.col("width"), F.col("left") / F.col("height"), F.col("right") / F.col("height"))
+    kept = sides.where((touched >= TWO_SIDES) | (longest >= MOST_OF_A_SIDE)).select("raster_id", "root")
+    return named.join(kept, ["raster_id", "root"], "left_semi").select("raster_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+def region_means(pixels: DataFrame, boxes: DataFrame, *layers: str) -> DataFrame:
+    """raster_id, region and the mean of each layer over the pixels (raster_id, y, x, ...) of a box (raster_id, region, x, y, w, h);
+    0 for a box without pixels.  Ink density is the mean of a mask, texture contrast that of the grain over the paper's."""
+    b = boxes.select("raster_id", "region", F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("x") + F.col("w")).alias("_right"), (F.col("y") + F.col("h")).alias("_bottom"))
+    inside = pixels.join(b, "raster_id").where("x >= _x and x < _right and y >= _y and y < _bottom")
+    means = inside.groupBy("raster_id", "region").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in layers))
+    return boxes.select("raster_id", "region").join(means, ["raster_id", "region"], "left").na.fill(0.0, list(layers))

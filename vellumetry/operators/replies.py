@@ -146,43 +146,43 @@ def opened(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return replies.select(*names, reply).mapInArrow(run, schema)
 
 
-def printed(value: Column, options: Column) -> Column:
-    """The printed spelling of an option; null if there is none."""
-    same = F.filter(options, lambda o: text.option_key(o) == text.option_key(value))
-    return F.try_element_at(same, F.lit(1))
-
-
-def _scalar(raw: Column, multiline: bool) -> Column:
-    parts = F.filter(F.transform(raw["items"], lambda i: text.clean(i["text"], multiline)), lambda p: p != "")
-    return F.when(raw["kind"] == "array", text.clean(F.array_join(parts, ", "), multiline)).when(raw["kind"] == "string", text.clean(raw["text"], multiline)).otherwise(raw["text"])
-
-
-def _checklist(raw: Column, options: Column) -> Column:
-    plain = F.transform(F.filter(raw["items"], lambda i: i["plain"]), lambda i: i["text"])
-    items = F.when(raw["kind"] == "string", F.split(raw["text"], r"[,;\n]", -1)).when(raw["kind"].isin("array", "object"), plain)
-    cleaned = F.filter(F.transform(items, lambda x: text.clean(x, False)), lambda x: x != "")
-    named = F.transform(cleaned, lambda x: F.coalesce(printed(x, options), x))
-    keys = F.transform(named, text.option_key)
-    return F.array_join(F.filter(named, lambda x, i: F.array_position(keys, text.option_key(x)) == i + 1), ", ")
+def printed(key: Column, options: Column, keys: Column) -> Column:
+    """The option of a key, in its printed spelling; null if there is none.  keys: the options' keys, in their order."""
+    return F.get(options, (F.array_position(keys, key) - 1).cast("int"))
 
 
 def readings(replies: DataFrame, fields: DataFrame, key: list[str], form: str = "form_id") -> DataFrame:
     """A row for each field of the form of each parsed reply: key, form, field, value, unreadable, off_list, readable.
 
     fields: form_id, field, kind, options, a small relation that joins by the form.  Replies that can't be parsed have no
-    rows.  A field that the reply leaves out is blank, a null or a value of the wrong shape unreadable."""
-    each = replies.where("error_code is null").join(F.broadcast(fields), form)
-    raw, kind, options = F.try_element_at("fields", F.col("field")), F.col("kind"), F.coalesce("options", F.array().cast("array<string>"))
-    each = each.select(*key, form, "field", "kind", "readable", options.alias("options"), raw.alias("raw"))
-    raw, options = F.col("raw"), F.col("options")
-    flat = F.when(kind == "multiline", _scalar(raw, True)).otherwise(_scalar(raw, False))
-    answer = F.when(raw["kind"].isin("boolean", "number", "string"), text.yes_no(raw["text"]))
-    found = F.when(kind == "checklist", _checklist(raw, options)).when(kind == "yesno", answer).when(kind == "choice", F.coalesce(printed(flat, options), flat)).otherwise(flat)
-    each = each.withColumn("found", F.when(~F.col("readable") | raw.isNull(), "").otherwise(found))
-    value = F.coalesce("found", F.lit(""))
-    listed = F.when(kind == "yesno", F.array(F.lit("Yes"), F.lit("No"))).otherwise(options)
-    off = kind.isin("choice", "yesno") & (value != "") & printed(value, listed).isNull()
-    return each.select(*key, form, "field", "kind", value.alias("value"), F.col("found").isNull().alias("unreadable"), off.alias("off_list"), "readable")
+    rows.  A field that the reply leaves out is blank, a null or a value of the wrong shape unreadable.  Each step binds what the
+    next one mentions, so that nothing is computed, or compiled, twice."""
+    options = F.coalesce("options", F.array().cast("array<string>"))
+    listed = F.when(F.col("kind") == "yesno", F.array(F.lit("Yes"), F.lit("No"))).otherwise(options)
+    catalogue = fields.select(form, "field", "kind", listed.alias("options")).withColumn("option_keys", F.transform("options", text.option_key))
+    each = replies.where("error_code is null").join(catalogue, form)
+    raw, kind, multiline = F.col("raw"), F.col("kind"), F.col("kind") == "multiline"
+    each = each.select(*key, form, "field", "kind", "readable", "options", "option_keys", F.try_element_at("fields", F.col("field")).alias("raw"))
+    # the items, as they stand: of a list or an object, or of a string that lists them
+    plain = F.transform(F.filter(raw["items"], lambda i: i["plain"]), lambda i: i["text"])
+    ticked = F.when(raw["kind"] == "string", F.split(raw["text"], r"[,;\n]", -1)).when(raw["kind"].isin("array", "object"), plain)
+    items = F.when(kind == "checklist", ticked).when((kind != "yesno") & (raw["kind"] == "array"), F.transform(raw["items"], lambda i: i["text"]))
+    each = each.withColumn("items", F.filter(F.transform(items, lambda x: text.clean(x, multiline)), lambda x: x != ""))
+    single = (raw["kind"] == "string") | (raw["kind"] == "array")
+    each = each.withColumn("said", F.when(kind.isin("checklist", "yesno"), raw["text"]).when(raw["kind"] == "array", F.array_join("items", ", ")).otherwise(raw["text"]))
+    each = each.withColumn("flat", F.when(single & ~kind.isin("checklist", "yesno"), text.clean(F.col("said"), multiline)).otherwise(F.col("said")))
+    # of a checklist the printed spellings, the first of each key
+    each = each.withColumn("named", F.when(kind == "checklist", F.transform("items", lambda x: F.coalesce(printed(text.option_key(x), F.col("options"), F.col("option_keys")), x))))
+    each = each.withColumn("named_keys", F.transform("named", text.option_key))
+    ticks = F.array_join(F.filter("named", lambda x, i: F.array_position("named_keys", F.get("named_keys", i)) == i + 1), ", ")
+    answer = F.when(raw["kind"].isin("boolean", "number", "string"), text.yes_no(F.col("flat")))
+    each = each.withColumn("found", F.when(kind == "checklist", ticks).when(kind == "yesno", answer).otherwise(F.col("flat")))
+    each = each.withColumn("option", F.when(kind.isin("choice", "yesno"), printed(text.option_key(F.col("found")), F.col("options"), F.col("option_keys"))))
+    blank = ~F.col("readable") | raw.isNull()
+    value = F.when(blank, "").otherwise(F.coalesce(F.when(kind == "choice", F.col("option")), "found", F.lit("")))
+    each = each.withColumn("value", value)
+    off = kind.isin("choice", "yesno") & (F.col("value") != "") & F.col("option").isNull()
+    return each.select(*key, form, "field", "kind", "value", (~blank & F.col("found").isNull()).alias("unreadable"), off.alias("off_list"), "readable")
 
 
 def paired(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,9 +197,10 @@ def agreed(both: DataFrame, on: list[str]) -> DataFrame:
     failed = F.struct(F.lit("").alias("value"), F.lit(False).alias("unreadable"), F.lit(False).alias("off_list"), F.lit(False).alias("readable"))
     both = both.select(*on, F.coalesce("kind_a", "kind_b").alias("kind"), F.coalesce("a", failed).alias("a"), F.coalesce("b", failed).alias("b"))
     a, b = F.col("a.value"), F.col("b.value")
+    both = both.withColumn("same", text.same_by_kind(a, b, F.col("kind")))
     single = ~F.col("a.readable") | ~F.col("b.readable")
-    other = F.when(single, ~F.col("a.readable")).otherwise(~text.same_by_kind(a, b, F.col("kind")) & (a == ""))
-    differ = ~single & ~text.same_by_kind(a, b, F.col("kind"))
+    both = both.withColumns({"other": F.when(single, ~F.col("a.readable")).otherwise(~F.col("same") & (a == "")), "differ": ~single & ~F.col("same"), "single": single})
+    other, differ, single = F.col("other"), F.col("differ"), F.col("single")
     side = F.when(other, F.col("b")).otherwise(F.col("a"))
     unreadable = F.when(single, side["unreadable"]).otherwise(F.col("a.unreadable") & ~other)
     return both.select(*on, side["value"].alias("value"), F.when(differ, F.when(a == "", "").otherwise(b)).alias("alternative"), unreadable.alias("unreadable"), side["off_list"].alias("off_list"))

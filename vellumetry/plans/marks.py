@@ -9,6 +9,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumetry.functions import photo
 from vellumetry.operators import lines, packed, rasters, regions, typeset
 from vellumetry.plans.catalogue import PX
 from vellumetry.plans.registry import query
@@ -286,3 +287,60 @@ def differential_ink(spark, d):
     form = scans.withColumn("values", F.transform("values", lambda _, i: ((i % 8 * 5 + F.floor(i / 8) * 3 + F.col("raster_id")) % 11 == 0).cast("int")))
     printed = packed.pixels(packed.mapped(form, lambda a: {"ink": packed.extreme(a, 1, 1, True)}, "ink array<int>"), "ink").where("ink > 0")
     return regions.new_ink(labels, printed, 0.4).select("raster_id", "y", "x")
+
+
+@query("with recursive " + PX[5:] + """, s as (select raster_id, y, x from px where v < 110),
+r as (select raster_id, y, x, y * 8 + x as seed from s union select s.raster_id, s.y, s.x, r.seed from r join s on s.raster_id = r.raster_id and abs(s.y - r.y) + abs(s.x - r.x) = 1),
+l as (select raster_id, y, x, min(seed) seed from r group by 1, 2, 3), t as (select raster_id, seed, count(*) filter (y = 0) a, count(*) filter (y = 7) b, count(*) filter (x = 0) c, count(*) filter (x = 7) e from l group by 1, 2)
+select l.raster_id, l.y, l.x from l join t on t.raster_id = l.raster_id and t.seed = l.seed where cast(a > 0 as int) + cast(b > 0 as int) + cast(c > 0 as int) + cast(e > 0 as int) >= 2 or greatest(a, b, c, e) / 8 >= 0.85""")
+def border_regions(spark, d):
+    """Dark regions that reach the border along two sides or most of one."""
+    dark = packed.pixels(packed_rasters(spark, d), "values").where("values < 110").select("raster_id", "y", "x")
+    return regions.border_regions(dark, packed_rasters(spark, d).select("raster_id", "width", "height"))
+
+
+@query(PX + """, z(region, zx, zy, zw, zh) as (values (1, 1, 2, 4, 5), (2, 5, 5, 9, 9), (3, 9, 0, 3, 3)), every as (select raster_id from px group by 1)
+select every.raster_id, region, round(coalesce(avg(v), 0), 9) v, round(coalesce(avg(cast(v < 128 as int)), 0), 9) ink from every cross join z left join px p on p.raster_id = every.raster_id and x >= zx and x < zx + zw and y >= zy and y < zy + zh group by 1, 2""")
+def region_means(spark, d):
+    zones = F.array(*(F.struct(F.lit(k).alias("region"), *(F.lit(v).alias(c) for c, v in zip("xywh", z, strict=True))) for k, z in enumerate(((1, 2, 4, 5), (5, 5, 9, 9), (9, 0, 3, 3)), 1)))
+    scans = packed_rasters(spark, d)
+    px = packed.pixels(scans, "values").select("raster_id", "y", "x", F.col("values").alias("v"), (F.col("values") < 128).alias("ink"))
+    out = regions.region_means(px, scans.select("raster_id", F.inline(zones)), "v", "ink")
+    return out.select("raster_id", "region", F.round("v", 9).alias("v"), F.round("ink", 9).alias("ink"))
+
+
+@query("""with f as (select p_partkey, p_size / 50.0::double c, 1 + p_size % 9 / 10.0::double t, p_partkey % 60 / 100.0::double s, p_partkey % 4 m, 0.6 + p_size % 5 / 10.0::double q, 25 + p_size % 20 * 1.0::double a, 30 + p_partkey % 30 * 1.0::double b, p_partkey % 3 = 0 grey from part),
+g as (select *, least(a, b) lo, greatest(a, b) hi from f), h as (select *, case when lo / 35 between 0.72 and 1.35 and hi / 45 between 0.72 and 1.35 then 1 - least(1, (abs(1 - lo / 35) + abs(1 - hi / 45)) / (1.35 - 0.72)) else 0 end fit, abs(lo / hi - 35 / 45.0::double) / (35 / 45.0::double) err from g),
+k as (select *, greatest(fit, case when err <= 0.15 then 1 - err / 0.15 else 0 end) best from h)
+select p_partkey, round(0.3 * greatest(0, least(1, (c - 0.35) / 0.45)) + 0.22 * greatest(0, least(1, (t - 1.15) / 0.65)) + 0.2 * greatest(0, least(1, (s - 0.2) / 0.3)) + 0.16 * (0.5 * greatest(0, least(1, (q - 0.7) / 0.25)) + 0.5 * best)
++ 0.12 * case when grey then greatest(0, least(1, (s - 0.18) / 0.27)) else greatest(0, least(1, (m - 1) / 2.0::double)) end, 8) score, c < 0.45 and s < 0.35 as is_empty from k""")
+def photo_content(spark, d):
+    """Scores of regions from their figures, and whether they are asserted to be empty."""
+    p, real = table(spark, d, "part"), lambda c: F.expr(c).cast("double")
+    c, t, s, q, a, b = map(real, ("p_size / 50", "1 + p_size % 9 / 10", "p_partkey % 60 / 100", "0.6 + p_size % 5 / 10", "25 + p_size % 20", "30 + p_partkey % 30"))
+    short, long = F.least(a, b), F.greatest(a, b)
+    fit = F.greatest(photo.size_fit(short, long, (35.0, 45.0), (0.72, 1.35)), photo.aspect_fit(short, long, (35.0, 45.0)))
+    score = photo.content_score(c, t, s, F.col("p_partkey") % 4, q, fit, F.col("p_partkey") % 3 == 0)
+    return p.select("p_partkey", F.round(score, 8).alias("score"), photo.is_empty(c, s).alias("is_empty"))
+
+
+@query("""with t as (select p_partkey, unnest([{'s': 0, 'n': 90, 't': p_size % 5 - 2.0::double, 'w': 0.9::double, 'x': 10.0::double, 'y': 50.0::double}, {'s': 1, 'n': 0, 't': p_partkey % 4 - 1.5::double, 'w': 0.5 + p_size % 4 / 10.0::double, 'x': 60.0::double, 'y': 12.0::double},
+{'s': 2, 'n': 90, 't': p_partkey % 23 - 11.3::double, 'w': 0.3::double, 'x': 110.0::double, 'y': 50.0::double}, {'s': 3, 'n': 0, 't': 1.0::double, 'w': 0.1::double, 'x': 60.0::double, 'y': 88.0::double}], recursive := true) from part),
+m as (select p_partkey, arg_max(t, (w, -s)) anchor from t group by 1), k as (select p_partkey, sum(w * t) / sum(w) turn from t join m using (p_partkey) where abs(t - anchor) <= 8 group by 1 having count(*) >= 2),
+l as (select p_partkey, s, -sin(radians(n + turn)) a, cos(radians(n + turn)) b, x + (1 + s) * sin(radians(n + t)) px, y - (1 + s) * cos(radians(n + t)) py from t join k using (p_partkey)), c as (select *, -(a * px + b * py) c from l),
+j as (select p.p_partkey, z.i, (p.b * q.c - q.b * p.c) / (p.a * q.b - q.a * p.b) x, (q.a * p.c - p.a * q.c) / (p.a * q.b - q.a * p.b) y from (values (1, 0, 1), (2, 2, 1), (3, 2, 3), (4, 0, 3)) z(i, u, v) join c p on p.s = z.u join c q on q.p_partkey = p.p_partkey and q.s = z.v)
+select p_partkey, i corner, round(x, 5) x, round(y, 5) y from j""")
+def squared_edges(spark, d):
+    """Edges that pass their sides' middles at 1 to 4 pixels, turned each by its own angle; the third may stray."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    turns = {"left": size % 5 - 2.0, "top": key % 4 - 1.5, "right": key % 23 - 11.3, "bottom": F.lit(1.0)}
+    weights = {"left": F.lit(0.9), "top": 0.5 + size % 4 / 10.0, "right": F.lit(0.3), "bottom": F.lit(0.1)}
+    middles = {s: (F.lit(x), F.lit(y)) for s, x, y in (("left", 10.0, 50.0), ("top", 60.0, 12.0), ("right", 110.0, 50.0), ("bottom", 60.0, 88.0))}
+
+    def edge(side: str, off: int):
+        phi, (x, y) = F.radians(turns[side] + photo.NOMINAL[side]), middles[side]
+        return F.struct((-F.sin(phi)).alias("a"), F.cos(phi).alias("b"), (F.sin(phi) * x - F.cos(phi) * y + off).alias("c"))
+
+    edges = table(spark, d, "part").select("p_partkey", "p_size", *(edge(s, k).alias(s) for k, s in enumerate(photo.NOMINAL, 1)))
+    q = edges.select("p_partkey", photo.squared_up({s: F.col(s) for s in photo.NOMINAL}, weights, middles).alias("q"))
+    return q.select("p_partkey", F.posexplode("q").alias("i", "p")).select("p_partkey", (F.col("i") + 1).alias("corner"), F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
