@@ -4,6 +4,7 @@ Ink is a relation of pixels (raster_id, y, x), components are rows (raster_id, l
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +19,15 @@ LABELS = CAPTIONS | {"height": 5.0, "width": 6.0, "glyphs": 4, "span": 8.0}
 UNEVEN, LEAST_LINES, LEAST_RULES = 0.45, 3, 3
 
 
-def _turns(angles: list[float]) -> Column:
-    """Sine and cosine of some angles in degrees, as an array."""
-    return F.array(*(F.struct(F.lit(k).alias("k"), F.lit(math.sin(math.radians(a))).alias("s"), F.lit(math.cos(math.radians(a))).alias("c")) for k, a in enumerate(angles)))
+def _table(rows: list) -> Column:
+    """Numbers as one constant: a literal for each would be thousands of expressions to plan."""
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<double>>")
+
+
+def _turns(angles: list[list[float]], k: Column) -> Column:
+    """Number, sine and cosine of the k-th list of angles in degrees, as an array."""
+    sines, cosines = (F.get(_table([[f(math.radians(a)) for a in row] for row in angles]), k) for f in (math.sin, math.cos))
+    return F.transform(F.arrays_zip(sines.alias("s"), cosines.alias("c")), lambda t, i: F.struct(i.alias("k"), t["s"].alias("s"), t["c"].alias("c")))
 
 
 def _scores(ink: DataFrame, sizes: DataFrame, turns: Column) -> DataFrame:
@@ -53,15 +60,14 @@ def skew(ink: DataFrame, sizes: DataFrame, most: int = 8, steps: int = 41) -> Da
     dark = ink.groupBy("raster_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_INK).select("raster_id")
     used = ink.join(dark, "raster_id", "left_semi")
     whole = list(range(-most, most + 1))
-    coarse = _scores(used, sizes, _turns(whole))
+    coarse = _scores(used, sizes, _turns([whole], F.lit(0)))
     ranked = F.transform(F.map_entries("scores"), lambda e: F.struct(e["value"].alias("score"), (-e["key"]).alias("back")))
     coarse = coarse.select("raster_id", F.array_max(ranked).alias("b")).select("raster_id", (-F.col("b.back")).alias("k"), F.col("b.score").alias("best"))
     found, end = None, None
     while True:
-        fine = F.array(*(_turns(fine_angles(a, steps)) for a in whole))
-        angles = F.array(*(F.array(*map(F.lit, fine_angles(a, steps))) for a in whole))
-        scored = _scores(used.join(coarse.select("raster_id", "k"), "raster_id"), sizes, F.get(fine, F.col("k"))) if end is None else _scores(used.join(end, "raster_id"), sizes, F.get(fine, F.col("k")))
-        rows = scored.join(coarse, "raster_id").select("raster_id", "k", "scores", "best", F.get(angles, F.col("k")).alias("angles"))
+        fine = [fine_angles(a, steps) for a in whole]
+        scored = _scores(used.join(coarse.select("raster_id", "k") if end is None else end, "raster_id"), sizes, _turns(fine, F.col("k")))
+        rows = scored.join(coarse, "raster_id").select("raster_id", "k", "scores", "best", F.get(_table(fine), F.col("k")).alias("angles"))
         state = F.struct((F.col("k") - most).cast("double").alias("angle"), F.col("best").alias("score"), F.lit(False).alias("over"))
 
         def step(s: Column, i: Column) -> Column:

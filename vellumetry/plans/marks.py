@@ -38,7 +38,7 @@ from {source}, {angles} group by all) where r between 0 and {HEIGHT} group by al
 
 
 _WHOLE = ", ".join(f"({k}, {math.sin(math.radians(k - 8))!r}::double, {math.cos(math.radians(k - 8))!r}::double)" for k in range(17))
-_FINE = ", ".join(f"({k}, {j}, {a!r}::double, {math.sin(math.radians(a))!r}::double, {math.cos(math.radians(a))!r}::double)" for k in range(17) for j, a in enumerate(typeset.fine_angles(k - 8, 120)))
+_FINE = ", ".join(f"({k}, {j}, {a!r}::double, {math.sin(math.radians(a))!r}::double, {math.cos(math.radians(a))!r}::double)" for k in range(17) for j, a in enumerate(typeset.fine_angles(k - 8, 50)))
 
 
 @query(f"""with recursive {_INK}, used as (select page.* from page join (select raster_id from page group by 1 having count(*) >= 200) using (raster_id)),
@@ -48,7 +48,7 @@ scored as {_turned('k', 'fine', '(select used.*, coarse.k own from used join coa
 walk as (select raster_id, k, -1 j, k - 8.0::double angle, best score, false past from coarse union all
 select w.raster_id, w.k, w.j + 1, case when not (w.past or f.a > w.angle + 1) and coalesce(s.score, 0) > w.score then f.a else w.angle end, case when not (w.past or f.a > w.angle + 1) and coalesce(s.score, 0) > w.score then s.score else w.score end, w.past or f.a > w.angle + 1
 from walk w join fine f on f.k = w.k and f.j = w.j + 1 left join scored s on s.raster_id = w.raster_id and s.j = f.j)
-select size.raster_id, coalesce(case when abs(angle) > 8 then 0 else round(angle, 2) end, 0) degrees from size left join (select * from walk where j = 119) using (raster_id)""")
+select size.raster_id, coalesce(case when abs(angle) > 8 then 0 else round(angle, 2) end, 0) degrees from size left join (select * from walk where j = 49) using (raster_id)""")
 def page_skew(spark, d):
     return typeset.skew(*_ink(spark, d))
 
