@@ -3,6 +3,7 @@ a task holds one set and one batch, and each set is bounded by its raster.  Poin
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -170,20 +171,34 @@ def stroke_groups(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, in
     """Rows (x, y, w, h, ink, boxes) of groups of boxes, most ink first: the closest two within the gaps become one, one pair at
     a time, unless their joint box would leave the cap (x, y, w, h).  Of equally close pairs the earlier groups go first; a
     new group comes last."""
-    g = np.stack([x, y, x + w, y + h, ink, np.ones(len(x))], 1).astype(float)
-    while len(g) > 1:
-        low, high = np.maximum(g[:, None, :2], g[None, :, :2]), np.minimum(g[:, None, 2:4], g[None, :, 2:4])
-        apart = np.maximum(low - high, 0)
-        fits = np.triu((apart <= (gap_x, gap_y)).all(2), 1)
+    n = len(x)
+    g = np.zeros((max(1, 2 * n), 6))  # a joint group takes the next row
+    g[:n] = np.stack([x, y, x + w, y + h, ink, np.ones(n)], 1)
+    alive = np.arange(len(g)) < n
+
+    def pairs(k: int, among: np.ndarray) -> list[tuple[float, int, int]]:
+        """(cost, earlier, later) of the groups that may join group k."""
+        apart = np.maximum(np.maximum(g[among, :2], g[k, :2]) - np.minimum(g[among, 2:4], g[k, 2:4]), 0)
+        fits = (apart <= (gap_x, gap_y)).all(1)
         if cap:
-            left, right = np.minimum(g[:, None, :2], g[None, :, :2]), np.maximum(g[:, None, 2:4], g[None, :, 2:4])
-            fits &= (left >= cap[:2]).all(2) & (right <= np.add(cap[:2], cap[2:])).all(2)
-        if not fits.any():
-            break
-        cost = np.where(fits, (apart / np.maximum(1e-6, (gap_x, gap_y))).sum(2), np.inf)
-        i, j = np.unravel_index(cost.argmin(), cost.shape)
-        joint = [*np.minimum(g[i, :2], g[j, :2]), *np.maximum(g[i, 2:4], g[j, 2:4]), *(g[i, 4:] + g[j, 4:])]
-        g = np.concatenate([np.delete(g, (i, j), 0), [joint]])
+            fits &= (np.minimum(g[among, :2], g[k, :2]) >= cap[:2]).all(1) & (np.maximum(g[among, 2:4], g[k, 2:4]) <= np.add(cap[:2], cap[2:])).all(1)
+        cost = (apart[fits] / np.maximum(1e-6, (gap_x, gap_y))).sum(1)
+        return [(c, min(k, o), max(k, o)) for c, o in zip(cost.tolist(), among[fits].tolist(), strict=True)]
+
+    by_x = np.argsort(g[:n, 0], kind="stable")
+    ends = np.searchsorted(g[by_x, 0], g[by_x, 2] + gap_x, "right")
+    heap = [p for at, k in enumerate(by_x.tolist()) for p in pairs(k, by_x[at + 1 : ends[at]])]
+    heapq.heapify(heap)
+    while heap:
+        _, i, j = heapq.heappop(heap)
+        if alive[i] and alive[j]:
+            g[n] = [*np.minimum(g[i, :2], g[j, :2]), *np.maximum(g[i, 2:4], g[j, 2:4]), *(g[i, 4:] + g[j, 4:])]
+            alive[[i, j]] = False
+            for p in pairs(n, np.flatnonzero(alive[:n])):
+                heapq.heappush(heap, p)
+            alive[n] = True
+            n += 1
+    g = g[alive]
     g = g[np.argsort(-g[:, 4], kind="stable")]
     return np.concatenate([g[:, :2], g[:, 2:4] - g[:, :2], g[:, 4:]], 1)
 

@@ -120,7 +120,17 @@ def polygon_outline(spark, d):
     return out.select("l_orderkey", "corners", F.round(F.col("height") / 1000, 3).alias("height"))
 
 
-@query()
+_MAY_JOIN = "greatest(0, greatest(a.x, c.x) - least(a.x1, c.x1)) <= 4 and greatest(0, greatest(a.y, c.y) - least(a.y1, c.y1)) <= 3 and least(a.x, c.x) >= 0 and least(a.y, c.y) >= 0 and greatest(a.x1, c.x1) <= 45 and greatest(a.y1, c.y1) <= 60"
+
+
+@query(f"""with recursive b as ({_LINE_BOXES}), o as (select *, row_number() over (partition by l_orderkey order by x, y, w, h) ord from b),
+r as (select 0 step, l_orderkey k, ord, x, y, x + w x1, y + h y1, w * h ink, 1 n from o union all select step + 1, k, ord, x, y, x1, y1, ink, n from (
+with p as (select a.k, a.step, a.ord i, c.ord j, greatest(0, greatest(a.x, c.x) - least(a.x1, c.x1)) / 4 + greatest(0, greatest(a.y, c.y) - least(a.y1, c.y1)) / 3 as cost from r a join r c on a.k = c.k and a.ord < c.ord where {_MAY_JOIN}),
+best as (select k, step, arg_min(i, (cost, i, j)) i, arg_min(j, (cost, i, j)) j from p group by 1, 2)
+select r.step, r.k, r.ord, x, y, x1, y1, ink, n from r join best on best.k = r.k where r.ord <> i and r.ord <> j union all
+select best.step, best.k, 1000 + best.step, least(a.x, c.x), least(a.y, c.y), greatest(a.x1, c.x1), greatest(a.y1, c.y1), a.ink + c.ink, a.n + c.n from best join r a on a.k = best.k and a.ord = i join r c on c.k = best.k and c.ord = j)),
+l as (select * from r qualify step = max(step) over (partition by k))
+select k l_orderkey, cast(row_number() over (partition by k order by ink desc, ord) - 1 as int) place, x, y, round(x1 - x, 6) w, round(y1 - y, 6) h, round(ink, 6) ink, cast(n as int) boxes from l""")
 def stroke_groups(spark, d):
     """The boxes of an order's lines, joined within (4, 3) inside the box (0, 0, 45, 60); most ink first."""
     b = _line_boxes(spark, d).select("l_orderkey", "box.*").withColumn("ink", F.col("w") * F.col("h"))
@@ -129,4 +139,4 @@ def stroke_groups(spark, d):
         at = shapes.np.lexsort(columns[3::-1])
         return [(i, *g[:5], int(g[5])) for i, g in enumerate(shapes.stroke_groups(*(c[at] for c in columns), 4.0, 3.0, (0, 0, 45, 60)).tolist())]
 
-    return shapes.by_set(b, "l_orderkey", [*"xywh", "ink"], kernel, "place int, x double, y double, w double, h double, ink double, boxes int")
+    return shapes.by_set(b, "l_orderkey", [*"xywh", "ink"], kernel, "place int, x double, y double, w double, h double, ink double, boxes int").select("l_orderkey", "place", "x", "y", *(F.round(c, 6).alias(c) for c in ("w", "h", "ink")), "boxes")
