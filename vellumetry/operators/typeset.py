@@ -105,7 +105,7 @@ def text_runs(components: DataFrame, pixels_per_mm: float, of: dict = CAPTIONS)
     bucket = F.array_position(F.transform("keys", lambda k: near(k, F.col("base"))), True)
     placed = glyphs.join(placed.select("raster_id", "base", bucket.alias("bucket")), ["raster_id", "base"])
 
-    row = Window.partitionBy("raster_id", "bucket").orderBy("x", "label")
+    row = Window.partitionBy("raster_id", "bucket").orderBy("x", "label", "w", "h")
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(row)
     cut = placed.withColumn("_new", (gap > of["gap"] * px).cast("int"))
     runs = cut.withColumn("run", F.sum(F.coalesce("_new", F.lit(0))).over(row))

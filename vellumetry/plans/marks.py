@@ -53,13 +53,13 @@ def page_skew(spark, d):
     return typeset.skew(*_ink(spark, d))
 
 
-_GLYPHS = """g as (select l_suppkey raster_id, l_orderkey * 10 + l_linenumber as label, cast(l_partkey * 7 % 900 as int) x, cast(l_orderkey * 11 % 160 + l_linenumber as int) y, cast(2 + l_quantity % 13 as int) w, cast(3 + l_partkey % 9 as int) h, cast(1 + l_quantity as int) area from lineitem)"""
+_GLYPHS = """g as (select l_suppkey raster_id, l_partkey * 1000000000 + l_orderkey * 10 + l_linenumber as label, cast(l_partkey * 7 % 900 as int) x, cast(l_orderkey * 11 % 160 + l_linenumber as int) y, cast(2 + l_quantity % 13 as int) w, cast(3 + l_partkey % 9 as int) h, cast(1 + l_quantity as int) area from lineitem)"""
 
 
 def _glyphs(spark, d) -> DataFrame:
     whole = lambda c, n: F.expr(c).cast("int").alias(n)
     return table(spark, d, "lineitem").select(
-        F.col("l_suppkey").alias("raster_id"), F.expr("l_orderkey * 10 + l_linenumber").alias("label"), whole("l_partkey * 7 % 900", "x"), whole("l_orderkey * 11 % 160 + l_linenumber", "y"),
+        F.col("l_suppkey").alias("raster_id"), F.expr("l_partkey * 1000000000 + l_orderkey * 10 + l_linenumber").alias("label"), whole("l_partkey * 7 % 900", "x"), whole("l_orderkey * 11 % 160 + l_linenumber", "y"),
         whole("2 + l_quantity % 13", "w"), whole("3 + l_partkey % 9", "h"), whole("1 + l_quantity", "area"),
     )
 
@@ -67,14 +67,14 @@ def _glyphs(spark, d) -> DataFrame:
 def _runs_sql(px: float, of: dict, source: str) -> str:
     """CTEs up to runs(raster_id, bucket, run, label, x, y, w, h), those of type."""
     return f"""small as (select *, y + h base from {source} where h <= {of['height'] * px} and w <= {of['width'] * px}),
-bases as (select raster_id, base, row_number() over (partition by raster_id order by min(label)) k from small group by 1, 2),
+bases as (select raster_id, base, row_number() over (partition by raster_id order by min(label), base) k from small group by 1, 2),
 fold as (select raster_id, k, [base] keys from bases where k = 1 union all
 select f.raster_id, f.k + 1, case when len([q for q in f.keys if abs(q - b.base) <= {of['tolerance'] * px}]) > 0 then f.keys else list_append(f.keys, b.base) end from fold f join bases b on b.raster_id = f.raster_id and b.k = f.k + 1),
 keys as (select raster_id, arg_max(keys, k) keys from fold group by 1),
 placed as (select s.*, list_position([abs(q - base) <= {of['tolerance'] * px} for q in keys], true) bucket from small s join keys using (raster_id)),
-cut as (select *, coalesce(x - lag(x + w) over o > {of['gap'] * px}, false) fresh from placed window o as (partition by raster_id, bucket order by x, label)),
-every as (select *, sum(cast(fresh as int)) over (partition by raster_id, bucket order by x, label) run from cut),
-good as (select raster_id, bucket, run from every group by all having count(*) >= {of['glyphs']} and arg_max(x + w, (x, label)) - min(x) >= {of['span'] * px} and stddev_pop(h) / avg(h) <= {typeset.UNEVEN}),
+cut as (select *, coalesce(x - lag(x + w) over o > {of['gap'] * px}, false) fresh from placed window o as (partition by raster_id, bucket order by x, label, w, h)),
+every as (select *, sum(cast(fresh as int)) over (partition by raster_id, bucket order by x, label, w, h) run from cut),
+good as (select raster_id, bucket, run from every group by all having count(*) >= {of['glyphs']} and arg_max(x + w, (x, label, w)) - min(x) >= {of['span'] * px} and stddev_pop(h) / avg(h) <= {typeset.UNEVEN}),
 runs as (select raster_id, cast(bucket as bigint) bucket, cast(run as bigint) run, label, x, y, w, h from every join good using (raster_id, bucket, run))"""
 
 
