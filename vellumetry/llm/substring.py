@@ -292,6 +292,7 @@ def repeated_spans(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     some = written(some.select("doc_id", "text_key", F.inline("found")), "stretches")
     every = some.select("doc_id", "word", "start", "raw").mapInArrow(_passages(least_words), PASSAGES)
     owners = every.groupBy("digest", "more").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    owners = written(owners, "passage-owners")  # a join of two plain tables is one that adaptive execution can split
     met = every.join(owners, ["digest", "more"]).where("doc_id > owner").select("doc_id", F.lit(0).cast("long").alias("key"), "word", "span_start", "span_end", "owner")
     spans = met.repartition("doc_id").sortWithinPartitions("doc_id", "word").mapInArrow(_united(least_words), SPANS).drop("text_key")
     keys = some.select("doc_id", "text_key").distinct()
