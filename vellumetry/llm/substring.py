@@ -264,6 +264,7 @@ def repeated_spans(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     docs = one_text(documents)
     keyed = docs.select("doc_id", "text_key", F.xxhash64(F.lit(1), "text").alias("other_key"))
     first = keyed.groupBy("text_key", "other_key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    first = written(first, "first-copies")  # as below, for a text that very many documents have
     copies = written(keyed.join(first, ["text_key", "other_key"]).where("doc_id > source").select("doc_id", "source"), "copies")
 
     def whole(rows):
