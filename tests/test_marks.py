@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellumetry.functions import boxes, pages
 from vellumetry.operators import lines, regions, typeset
+from vellumetry.plans import marks
 
 # ---- steps and lines
 
@@ -270,3 +271,15 @@ def test_white_balance_leaves_a_page_of_ink_alone(spark):
     rows = [(1, y, x, 100, 150, 200, not (y == 0 and x == 0)) for y in range(6) for x in range(6)] + [(2, y, x, 220, 10, 250, False) for y in range(6) for x in range(6)]
     got = {(r.raster_id, r.r, r.g, r.b) for r in regions.white_balanced(spark.createDataFrame(rows, "raster_id long, y int, x int, r int, g int, b int, ink boolean")).collect()}
     assert got == {(1, 100, 150, 200), (2, 245, 10, 245)}
+
+
+# ---- a small file of which much is made
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_pixels_are_broadcast_for_local_paper(spark, sf):
+    df = marks.paper_near_hints(spark, sf)
+    assert "Broadcast" not in plan_of(df) and df.rdd.getNumPartitions() > 1

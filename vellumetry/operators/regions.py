@@ -105,6 +105,12 @@ def best_by_merit(measured: DataFrame, key: str, hints: DataFrame, weight: float
     return top.select(key, (-F.col("_t._back")).alias("place"), "_t._row.*", F.col("_t.merit").alias("merit"))
 
 
+def _held(side: DataFrame) -> DataFrame:
+    """The side of a join that each task keeps, its own share of it: rows of a raster beside its pixels.  Spark takes pixels made
+    from a small file for small and would broadcast them."""
+    return side.hint("shuffle_hash")
+
+
 def _upper(values: Column) -> Column:
     """The upper one of the middle values of an array."""
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
@@ -144,18 +150,18 @@ def local_paper(pixels: DataFrame, hints: DataFrame, within_bounds: DataFrame |
     grown = lambda by: box.rect(round_half_up(F.col("x") - by * F.col("w")), round_half_up(F.col("y") - by * F.col("h")), round_half_up(F.col("w") + 2 * by * F.col("w")), round_half_up(F.col("h") + 2 * by * F.col("h")))
     ring = hints.select("raster_id", "width", "height", grown(0.25).alias("i"), grown(0.9).alias("o"))
     ring = ring.withColumns({"fx": F.greatest(F.lit(0), F.col("o.x")), "fy": F.greatest(F.lit(0), F.col("o.y"))})
-    p = pixels.join(ring, "raster_id")
+    p = pixels.join(_held(ring), "raster_id")
     inside = lambda b: (F.col("x") >= F.col(f"{b}.x")) & (F.col("x") < F.col(f"{b}.x") + F.col(f"{b}.w")) & (F.col("y") >= F.col(f"{b}.y")) & (F.col("y") < F.col(f"{b}.y") + F.col(f"{b}.h"))
     p = p.where(inside("o") & ~inside("i") & ((F.col("x") - F.col("fx")) % 2 == 0) & ((F.col("y") - F.col("fy")) % 2 == 0))
     if within_bounds is not None:
-        p = p.join(within_bounds.select("raster_id", box.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("s")), "raster_id").where(inside("s"))
+        p = p.join(within_bounds.select("raster_id", box.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("s")).transform(_held), "raster_id").where(inside("s"))
     luminance = 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")
     samples = p.groupBy("raster_id").agg(F.sort_array(F.collect_list(F.struct(luminance.alias("l"), "y", "x", "r", "g", "b"))).alias("p")).where(F.size("p") >= LEAST_SAMPLES)
     bright = samples.select("raster_id", F.slice("p", F.floor(F.size("p") / 2).cast("int") + 1, F.size("p")).alias("p"))
     middle = lambda c: _upper(F.transform("p", lambda q: q[c].cast("double")))
     found = bright.select("raster_id", "p", *(middle(c).alias(n) for c, n in (("r", "r"), ("g", "g"), ("b", "b"), ("l", "luminance"))))
     found = found.withColumn("spread", _upper(F.transform("p", lambda q: F.abs(q["l"] - F.col("luminance"))))).drop("p")
-    return hints.select("raster_id").join(found, "raster_id", "left").select("raster_id", *(F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in PLAIN_PAPER.items()))
+    return hints.select("raster_id").join(_held(found), "raster_id", "left").select("raster_id", *(F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in PLAIN_PAPER.items()))
 
 
 def white_balanced(pixels: DataFrame) -> DataFrame:

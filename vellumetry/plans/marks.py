@@ -13,7 +13,7 @@ from vellumetry.functions import photo
 from vellumetry.operators import lines, packed, rasters, regions, typeset
 from vellumetry.plans.catalogue import PX
 from vellumetry.plans.registry import query
-from vellumetry.sources.tables import packed_rasters, table
+from vellumetry.sources.tables import dealt, packed_rasters, table
 
 # ---- type and turn
 
@@ -224,8 +224,9 @@ _W, _H = 45, 29
 
 
 def _sheet(spark, d, values: dict[str, str]) -> DataFrame:
-    """Pixels of a raster of each part."""
-    at = table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(_H - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(_W - 1))).alias("x"))
+    """Pixels of a raster of each part, dealt out by raster before they are made."""
+    part = dealt(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey", _W * _H)
+    at = part.select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(_H - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(_W - 1))).alias("x"))
     return at.select(F.col("p_partkey").alias("raster_id"), "y", "x", *(F.expr(v).alias(n) for n, v in values.items()))
 
 

@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str, makes: int, most: int = 2_000_000) -> DataFrame:
+    """rows dealt out by key, to so many tasks that each makes about `most` rows where one row becomes `makes`.  Unlike this,
+    a small file is one task, however much is made of its rows.  What is grouped or joined by the key afterwards stays where it is."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * makes // most))
+    return rows.repartition(tasks, key)
+
+
 def pixels(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
     """raster_id, y, x, v: each embedding as a raster of `width` columns, scaled to 0..255 and rounded half to even."""
     values = F.transform("embedding", lambda e: e.cast("double"))
