@@ -283,3 +283,7 @@ def plan_of(df):
 def test_no_pixels_are_broadcast_for_local_paper(spark, sf):
     df = marks.paper_near_hints(spark, sf)
     assert "Broadcast" not in plan_of(df) and df.rdd.getNumPartitions() > 1
+
+
+def test_scans_of_a_small_file_are_more_than_one_task(spark, sf):
+    assert marks.edge_steps(spark, sf).rdd.getNumPartitions() >= 8

@@ -109,7 +109,8 @@ _SCAN = "200 - case when x >= 12 + p_size % 20 then 90 else 0 end - case when x
 def _scans(spark, d, width: int, height: int, value: str) -> DataFrame:
     """A packed raster of each part, from an expression over its columns, x and y."""
     cells = f"flatten(transform(sequence(0, {height - 1}), y -> transform(sequence(0, {width - 1}), x -> cast({value} as int))))"
-    return table(spark, d, "part").select(F.col("p_partkey").alias("raster_id"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.expr(cells).alias("values"))
+    part = dealt(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey", width * height)
+    return part.select(F.col("p_partkey").alias("raster_id"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.expr(cells).alias("values"))
 
 
 def _peak_sql(n: int, source: str) -> str:
