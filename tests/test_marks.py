@@ -287,3 +287,8 @@ def test_no_pixels_are_broadcast_for_local_paper(spark, sf):
 
 def test_scans_of_a_small_file_are_more_than_one_task(spark, sf):
     assert marks.edge_steps(spark, sf).rdd.getNumPartitions() >= 8
+
+
+def test_balanced_pixels_stay_with_their_raster(spark, sf):
+    plan = plan_of(marks.white_balance(spark, sf))
+    assert "Broadcast" not in plan and "SortMergeJoin" not in plan

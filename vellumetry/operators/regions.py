@@ -175,9 +175,9 @@ def white_balanced(pixels: DataFrame) -> DataFrame:
     level = levels.where("seen >= counted * 0.95D").groupBy("raster_id", "plane").agg(F.min("v").alias("level"), F.first("counted").alias("counted"))
     sizes = pixels.groupBy("raster_id").agg(F.count("*").alias("size"))
     gain = F.when((F.col("counted") < F.col("size") * 0.05) | (F.col("level") < 20), 1.0).otherwise(F.greatest(F.lit(0.8), F.least(F.lit(1.25), 245 / F.col("level"))))
-    gains = level.join(sizes, "raster_id").groupBy("raster_id").agg(F.map_from_entries(F.collect_list(F.struct("plane", gain.alias("gain")))).alias("gains"))
+    gains = level.join(_held(sizes), "raster_id").groupBy("raster_id").agg(F.map_from_entries(F.collect_list(F.struct("plane", gain.alias("gain")))).alias("gains"))
     scaled = lambda c: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.bround(F.col(c) * F.coalesce(F.try_element_at("gains", F.lit(c)), F.lit(1.0))))).cast("int")
-    return pixels.join(gains, "raster_id", "left").select("raster_id", "y", "x", *(scaled(c).alias(c) for c in "rgb"), "ink")
+    return pixels.join(_held(gains), "raster_id", "left").select("raster_id", "y", "x", *(scaled(c).alias(c) for c in "rgb"), "ink")
 
 
 def new_ink(labels: DataFrame, printed: DataFrame, least: float = 0.2) -> DataFrame:
