@@ -292,3 +292,8 @@ def test_scans_of_a_small_file_are_more_than_one_task(spark, sf):
 def test_balanced_pixels_stay_with_their_raster(spark, sf):
     plan = plan_of(marks.white_balance(spark, sf))
     assert "Broadcast" not in plan and "SortMergeJoin" not in plan
+
+
+def test_tiles_stay_with_their_raster(spark, sf):
+    plan = plan_of(marks.paper_figures(spark, sf))
+    assert "Broadcast" not in plan and "SortMergeJoin" not in plan and "ty" not in "".join(x for x in plan.splitlines() if "Exchange" in x)

@@ -125,12 +125,11 @@ def paper_statistics(pixels: DataFrame, sizes: DataFrame, exclude: DataFrame | N
     figures = {"level": F.avg("lightness"), "variance": F.var_pop("lightness"), "chroma": F.stddev_pop("chroma"), "grain": F.stddev_pop("texture"), "texture_mean": F.avg("texture"), "dark": F.avg(F.col("ink").cast("double")), "n": F.count("*")}
     tiles = pixels.groupBy("raster_id", ty.alias("ty"), tx.alias("tx")).agg(*(c.alias(n) for n, c in figures.items())).where((F.col("n") == side * side) & (F.col("dark") <= most_ink))
     if exclude is not None:
-        first = lambda v: F.greatest(F.lit(0).cast("long"), F.floor(v / side))
-        last = lambda v, n: F.least(F.ceil(v / side) - 1, F.floor(F.col(n) / side) - 1)
-        span = lambda at, size, n: F.sequence(first(F.col(at)), F.greatest(first(F.col(at)), last(F.col(at) + F.col(size), n)))
-        covered = exclude.where("w > 0 and h > 0").join(sizes, "raster_id").select("raster_id", "x", "y", "w", "h", F.explode(span("y", "h", "height")).alias("ty"), "width").select("raster_id", "x", "y", "w", "h", "ty", F.explode(span("x", "w", "width")).alias("tx"))
-        covered = covered.where((F.col("x") < (F.col("tx") + 1) * side) & (F.col("x") + F.col("w") > F.col("tx") * side) & (F.col("y") < (F.col("ty") + 1) * side) & (F.col("y") + F.col("h") > F.col("ty") * side))
-        tiles = tiles.join(covered, ["raster_id", "ty", "tx"], "left_anti")
+        # the rectangles of a raster as an array: the tiles stay with their raster
+        side_by_side = F.collect_list(box.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).alias("_out")
+        out = exclude.where("w > 0 and h > 0").groupBy("raster_id").agg(side_by_side)
+        meets = lambda o: (o["x"] < (F.col("tx") + 1) * side) & (o["x"] + o["w"] > F.col("tx") * side) & (o["y"] < (F.col("ty") + 1) * side) & (o["y"] + o["h"] > F.col("ty") * side)
+        tiles = tiles.join(_held(out), "raster_id", "left").where(~F.coalesce(F.exists("_out", meets), F.lit(False)))
     middle = lambda c: F.percentile(c, F.lit(0.5))
     held = F.sort_array(F.collect_list("variance"))
     p85 = F.get(held, round_half_up(0.85 * (F.size(held) - 1)).cast("int"))
@@ -138,7 +137,7 @@ def paper_statistics(pixels: DataFrame, sizes: DataFrame, exclude: DataFrame | N
         middle("level").alias("paper_level"), F.greatest(F.lit(LEAST_SIGMA), middle(F.sqrt("variance"))).alias("sigma_lightness"), F.greatest(F.lit(LEAST_SIGMA), middle("chroma")).alias("sigma_chroma"),
         F.greatest(F.lit(LEAST_SIGMA), middle("grain")).alias("sigma_texture"), F.greatest(F.lit(LEAST_VARIANCE), p85).alias("variance_p85"), F.greatest(F.lit(LEAST_TEXTURE), middle("texture_mean")).alias("texture_level"), F.count("*").alias("tiles"),
     ).where(F.col("tiles") >= LEAST_TILES)
-    every = sizes.select("raster_id", (F.floor(F.col("width") / side) * F.floor(F.col("height") / side)).alias("_every")).join(sums, "raster_id", "left").withColumn("paper_fraction", F.col("tiles") / F.col("_every"))
+    every = sizes.select("raster_id", (F.floor(F.col("width") / side) * F.floor(F.col("height") / side)).alias("_every")).join(_held(sums), "raster_id", "left").withColumn("paper_fraction", F.col("tiles") / F.col("_every"))
     return every.select("raster_id", *(F.coalesce(F.col(c), F.lit(v).cast("long" if c == "tiles" else "double")).alias(c) for c, v in PESSIMISTIC.items()))
 
 
