@@ -297,3 +297,17 @@ def test_balanced_pixels_stay_with_their_raster(spark, sf):
 def test_tiles_stay_with_their_raster(spark, sf):
     plan = plan_of(marks.paper_figures(spark, sf))
     assert "Broadcast" not in plan and "SortMergeJoin" not in plan and "ty" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_cells_do_not_depend_on_the_order_of_boxes(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(1, k, 0.0, 0.0, rng.uniform(0, 10) ** 5, rng.uniform(0, 1)) for k in range(999)], BOXES).coalesce(1)
+    sides = {tuple(regions._sides(df.sort(c), "page", 0.1, 0.2).first()) for c in ("id", "w", "h", F.desc("w"), F.desc("id"))}
+    assert len(sides) == 1
+
+
+def test_marks_of_pages_without_orders_lie_within_regions(spark, tmp_path, sf):
+    line = spark.read.parquet(f"{sf}/lineitem.parquet").limit(50).withColumn("l_orderkey", F.col("l_orderkey") + 10**9)
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{sf}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    assert marks.boxes_within(spark, str(tmp_path)).count() > 0

@@ -29,8 +29,9 @@ def _cells(x: Column, y: Column, right: Column, bottom: Column, sx: Column, sy:
 
 
 def _sides(boxes: DataFrame, key: str, gap_x: float, gap_y: float) -> DataFrame:
-    """Sides of each set's cells: about two mean boxes, gaps included."""
-    side = lambda c, gap: F.greatest(F.lit(1e-6), 2 * (F.avg(c) + gap))
+    """Sides of each set's cells: about two mean boxes, gaps included.  They are read on both sides of a join, so the sum is of whole
+    numbers: one of doubles depends on the order in which rows arrive, and a box on a cell's border would be missed."""
+    side = lambda c, gap: F.greatest(F.lit(1e-6), 2 * (F.sum(F.floor(F.col(c) * 2.0**20)) / F.lit(2.0**20) / F.count(c) + gap))
     return boxes.groupBy(key).agg(side("w", gap_x).alias("_sx"), side("h", gap_y).alias("_sy"))
 
 

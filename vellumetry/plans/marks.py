@@ -214,8 +214,8 @@ def near_box_groups(spark, d):
 @query(f"with {_MARKS}, z(region, zx, zy, zw, zh) as (values (1, 0, 0, 200, 150), (2, 150, 100, 247, 200), (3, 50, 20, 60, 280)) select page, id, region from m, z where x >= zx and y >= zy and x + w <= zx + zw and y + h <= zy + zh")
 def boxes_within(spark, d):
     zones = F.array(*(F.struct(F.lit(k).alias("region"), *(F.lit(float(v)).alias(c) for c, v in zip("xywh", z, strict=True))) for k, z in enumerate(((0, 0, 200, 150), (150, 100, 247, 200), (50, 20, 60, 280)), 1)))
-    pages = table(spark, d, "orders").select(F.expr("o_orderkey div 40").alias("page")).distinct().select("page", F.inline(zones))
-    return regions.within(_marks(spark, d), pages, "page")
+    marks = _marks(spark, d)
+    return regions.within(marks, marks.select("page").distinct().select("page", F.inline(zones)), "page")
 
 
 # ---- paper
