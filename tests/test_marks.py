@@ -311,3 +311,12 @@ def test_marks_of_pages_without_orders_lie_within_regions(spark, tmp_path, sf):
     line.write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.read.parquet(f"{sf}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
     assert marks.boxes_within(spark, str(tmp_path)).count() > 0
+
+
+def test_sizes_are_not_guessed_from_round_to_round(spark):
+    from vellumetry.sources.settled import settled
+
+    df = spark.range(9)
+    for _ in range(6):
+        df = settled(df.join(df.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    assert df.count() == 9 and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**70

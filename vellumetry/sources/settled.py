@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame
 
 def settled(df: DataFrame) -> DataFrame:
     """df, computed and held in the checkpoint folder that all executors share; in a folder of our own where none is set and
-    Spark is local, as in tests."""
-    context = df.sparkSession.sparkContext
+    Spark is local, as in tests.
+
+    The result is a frame anew over the held rows.  A checkpoint keeps the guessed size of what it came from, and that of a join
+    is the product of its sides': after some rounds the guess alone, a number of many million digits, fills the driver."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vellumetry-checkpoint-"))
-    return df.checkpoint()
+    held = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(held.javaRDD(), held.schema()), spark)
