@@ -320,3 +320,10 @@ def test_sizes_are_not_guessed_from_round_to_round(spark):
     for _ in range(6):
         df = settled(df.join(df.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
     assert df.count() == 9 and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**70
+
+
+# ---- expressions that stay short
+
+
+def test_a_polygon_is_mentioned_once(spark):
+    assert str(pages.polygon_area(F.col("ppp"))).count("ppp") == 1

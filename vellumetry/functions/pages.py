@@ -13,6 +13,11 @@ A4 = (210.0, 297.0)
 PAGE_SIZES = {"A4": A4, "A5": (148.0, 210.0), "LETTER": (215.9, 279.4), "LEGAL": (215.9, 355.6), "FOOLSCAP": (215.9, 330.2)}
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is mentioned: as the element of an array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def to_pixels(mm: Column, dpi: int = PAGE_DPI) -> Column:
     return mm * (dpi / MM_PER_INCH)
 
@@ -132,9 +137,13 @@ def fitted_line(x: Column, y: Column) -> Column:
 
 def polygon_area(points: Column) -> Column:
     """Of a closed polygon, from an array of its corners in order."""
-    n = F.size(points)
-    crossed = F.transform(points, lambda p, i: p["x"] * points[(i + 1) % n]["y"] - points[(i + 1) % n]["x"] * p["y"])
-    return F.abs(F.aggregate(crossed, F.lit(0.0), lambda s, v: s + v)) / 2
+
+    def area(q: Column) -> Column:
+        following = F.concat(F.slice(q, 2, F.size(q)), F.slice(q, 1, 1))
+        crossed = F.zip_with(q, following, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+        return F.abs(F.aggregate(crossed, F.lit(0.0), lambda s, v: s + v)) / 2
+
+    return bound(points, area)
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
