@@ -327,3 +327,7 @@ def test_sizes_are_not_guessed_from_round_to_round(spark):
 
 def test_a_polygon_is_mentioned_once(spark):
     assert str(pages.polygon_area(F.col("ppp"))).count("ppp") == 1
+
+
+def test_an_inverse_stays_short(spark):
+    assert str(pages.inverse(F.col("mmm"))).count("mmm") < 45

@@ -76,9 +76,9 @@ def rotation(q: Column) -> Column:
 def inverse(m: Column) -> Column:
     """Of a 3 x 3 matrix, row by row: the adjugate over the determinant; null if that is below 1e-15."""
     minor = lambda a, b, c, d: m[a] * m[b] - m[c] * m[d]
-    adjugate = (minor(4, 8, 5, 7), minor(2, 7, 1, 8), minor(1, 5, 2, 4), minor(5, 6, 3, 8), minor(0, 8, 2, 6), minor(2, 3, 0, 5), minor(3, 7, 4, 6), minor(1, 6, 0, 7), minor(0, 4, 1, 3))
-    det = m[0] * adjugate[0] + m[1] * adjugate[3] + m[2] * adjugate[6]
-    return F.when(F.abs(det) >= 1e-15, F.array(*(a / det for a in adjugate)))
+    adjugate = F.array(minor(4, 8, 5, 7), minor(2, 7, 1, 8), minor(1, 5, 2, 4), minor(5, 6, 3, 8), minor(0, 8, 2, 6), minor(2, 3, 0, 5), minor(3, 7, 4, 6), minor(1, 6, 0, 7), minor(0, 4, 1, 3))
+    over = lambda q, det: F.when(F.abs(det) >= 1e-15, F.transform(q, lambda a: a / det))
+    return bound(adjugate, lambda q: bound(m[0] * q[0] + m[1] * q[3] + m[2] * q[6], lambda det: over(q, det)))
 
 
 def product(a: Column, b: Column) -> Column:
@@ -95,7 +95,12 @@ def through(m: Column, x: Column, y: Column) -> Column:
 
 def effective_dpi(to_page: Column, page: tuple[float, float] = A4) -> Column:
     """Dots per inch of paper in the original: how far ten millimetres across the page's middle reach there."""
-    back, y = inverse(to_page), to_pixels(F.lit(page[1] / 2))
+    return dpi_through(inverse(to_page), page)
+
+
+def dpi_through(back: Column, page: tuple[float, float] = A4) -> Column:
+    """effective_dpi() from the map back to the original.  It is mentioned many times: better a column than an expression."""
+    y = to_pixels(F.lit(page[1] / 2))
     a, b = (through(back, to_pixels(F.lit(page[0] / 2 + d)), y) for d in (-5, 5))
     return F.hypot(b["x"] - a["x"], b["y"] - a["y"]) / 10 * MM_PER_INCH
 
