@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellumetry.functions import boxes, pages
+from vellumetry.functions import boxes, colour, pages
 from vellumetry.operators import lines, regions, typeset
 from vellumetry.plans import marks
 
@@ -331,3 +331,7 @@ def test_a_polygon_is_mentioned_once(spark):
 
 def test_an_inverse_stays_short(spark):
     assert str(pages.inverse(F.col("mmm"))).count("mmm") < 45
+
+
+def test_a_colour_is_mentioned_a_few_times(spark):
+    assert str(colour.lab(*(F.col(c) for c in ("rrr", "ggg", "bbb")))).count("rrr") < 5

@@ -212,5 +212,5 @@ def hue_modes(px: DataFrame, key: list[str], least_chroma: float = 12.0, bins: i
     # the histogram of a region, at most `bins` rows, as an array: neighbours on the circle need no self-join
     full = h.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "weight"))).alias("m"), F.sum("weight").alias("total"))
     at = lambda k: F.coalesce(F.try_element_at("m", F.pmod(k, F.lit(bins))), F.lit(0.0))
-    modes = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: (at(k) >= share * F.col("total")) & (at(k) >= at(k - 1)) & (at(k) >= at(k + 1)))
+    modes = F.filter(F.map_keys("m"), lambda k: (at(k) >= share * F.col("total")) & (at(k) >= at(k - 1)) & (at(k) >= at(k + 1)))
     return full.select(*key, F.size(modes).alias("modes"))
