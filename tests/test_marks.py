@@ -109,6 +109,83 @@ def test_outliers_do_not_bend_a_line(spark):
     assert off(fit, 30, 0) < 0.6 and off(fit, 45, 150) < 0.6
 
 
+def plain_lines(samples, tolerance, most, iterations, least, angle, deviation):
+    """(line, inliers, samples, mean response) of each pass over samples (x, y, response, tie)."""
+    last = lambda v: (v is None, v or 0)
+    off = lambda l, p: math.nan if None in p[:2] else abs(l[0] * p[0] + l[1] * p[1] + l[2])
+    weak = lambda p: (p[2] == p[2], -p[2] if p[2] == p[2] else 0, last(p[3]), *map(last, p[:2]))
+
+    def turned(line):
+        apart = abs(math.degrees(math.atan2(-line[0], line[1])) % 180 - angle) % 180
+        return not min(apart, 180 - apart) <= deviation
+
+    out = []
+    for _ in range(most):
+        strong = sorted((p for p in samples if p[2] is not None and not p[2] < least), key=weak)
+        n, best = len(strong), (7, None)
+        for k, (u, v) in enumerate(lines.draws(iterations) if n >= 8 else []):
+            pool = min(n, max(8, math.floor(k / iterations * n) + 8))
+            i, j = math.floor(u * pool), math.floor(v * pool)
+            p, q = strong[i], strong[(j + 1) % pool if i == j else j]
+            if None in p[:2] + q[:2] or not math.hypot(q[0] - p[0], q[1] - p[1]) >= 1e-9:
+                continue
+            z = math.hypot(q[0] - p[0], q[1] - p[1])
+            a, b = -(q[1] - p[1]) / z, (q[0] - p[0]) / z
+            line = (a, b, -(a * p[0] + b * p[1]))
+            hits = sum(off(line, p) <= tolerance for p in strong)
+            if hits > best[0] and not turned(line):
+                best = (hits, line)
+        if best[1] is None:
+            break
+        x, y = np.array([p[:2] for p in strong if off(best[1], p) <= tolerance]).T
+        _, axes = np.linalg.eigh(np.cov(x, y))
+        a, b = axes[:, 0] * -np.sign(axes[1, 0])
+        line = (a, b, -(a * x.mean() + b * y.mean()))
+        line = best[1] if turned(line) else line
+        held = [p[2] for p in strong if off(line, p) <= tolerance]
+        out.append((line, len(held), n, sum(held) / len(held)))
+        far = [p for p in samples if None not in p[:2] and not off(line, p) <= 2 * tolerance]
+        if len(far) < 8 or len(far) == len(samples):
+            break
+        samples = far
+    return out
+
+
+def test_lines_match_plain_loops(spark):
+    """Fits that span batches or are too small, weak samples, samples and ties that are null or no number, keys of two kinds."""
+    rng, rows, fit = random.Random(4), [], {}
+    for key in [(k, name) for k in (1.0, 2.0, None) for name in ("a", "b", "c", None)] + [(math.nan, "d")]:
+        for t in range(7 if key[1] == "c" else rng.randrange(60, 150)):
+            x = rng.choice([None, math.nan, *[rng.uniform(0, 90) for _ in range(18)]])
+            y = None if x is None else rng.choice([20 + 0.05 * x, 50 - 0.1 * x, 72 + 0.02 * x, rng.uniform(0, 80)]) + rng.uniform(-1, 1)
+            row = (x, y, rng.choice([None, math.nan, 0.5, 2.0, 2.0, rng.uniform(1, 9), rng.uniform(1, 9)]), rng.choice([None, t, t, t]))
+            rows.append((*key, *row))
+            fit.setdefault(str(key), []).append(row)
+    df = spark.createDataFrame(rows, "page double, name string, x double, y double, response double, tie int").repartition(5)
+    of = {"most": 3, "iterations": 40, "least": 1.0, "angle": 0.0, "deviation": 30.0}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+        found = lines.candidates(df, ["page", "name"], ["tie"], 1.5, **of)
+        got = {(str((r.page, r.name)), r["pass"]): r for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {(key, n): w for key, samples in fit.items() if "None" not in key for n, w in enumerate(plain_lines(samples, 1.5, **of), 1)}
+    assert got.keys() == want.keys() and len(want) >= 8 and any(n == 3 for _, n in want)
+    for k, (line, inliers, samples, mean) in want.items():
+        assert tuple(got[k].line) == pytest.approx(line, abs=1e-9) and (got[k].inliers, got[k].samples) == (inliers, samples)
+        assert got[k].mean_response == pytest.approx(mean, nan_ok=True)
+
+
+def test_samples_of_lines_are_shuffled_once(spark):
+    """Whatever the passes and hypotheses are, a sample is neither copied for each of them nor sent again."""
+    samples = spark.range(400).selectExpr("id % 4 raster_id", "id tie", "id % 90 * 1.0D x", "20 + id % 7 / 5D + id div 4 % 2 * 30 y", "1D + id % 5 response")
+    found = lines.candidates(samples, ["raster_id"], ["tie"], 1.5, most=3, iterations=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan and "Aggregate" not in plan
+    assert sorted({r["pass"] for r in found.collect()}) == [1, 2]
+
+
 def test_no_line_is_made_up(spark):
     blank = steps_of(spark, grain(120, 120, 240, 4, 2), "left", (30, 30, 40, 60))
     assert fit_of(blank, 1.0, least=3.0) is None

@@ -1,19 +1,20 @@
 """Edges of pasted objects: steps across bands of a raster, and the straight lines that most of them lie on.
 
-Steps are found in a scanline's own arrays, so they need no shuffle.  Lines are found by consensus: a relation of seeded
-hypotheses for each fit meets the fit's samples, inliers are a partial aggregate, and the samples of the best line are fitted
-again.  All rows of a fit share one shuffle.
+Steps are found in a scanline's own arrays, so they need no shuffle.  Lines are found by consensus: seeded hypotheses of each
+fit are voted on by the fit's samples, and the samples of the best line are fitted again.  Samples are shuffled once, by their
+fit; a task holds one fit and one batch, and a fit is bounded by its raster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumetry.functions import pages
-
 #: The first state of the generator (xorshift of 32 bits by 13, 17 and 5) that draws hypotheses, and the fewest samples of a line.
 #: The same samples always give the same line.
 FIRST_STATE, FEWEST = 0x2F6E2B1, 8
@@ -121,50 +122,132 @@ def draws(iterations: int) -> list[tuple[float, float]]:
     return list(zip(out[::2], out[1::2], strict=True))
 
 
-def fits(samples: DataFrame, key: list[str], order: list[str], tolerance: float, iterations: int = 200, least: float = 1.0, angle: float | None = None, deviation: float = 180.0) -> DataFrame:
-    """key, line (a, b, c), inliers, samples, mean_response: the best supported line of each key's samples (x, y, response).
+def _turned(line: np.ndarray, angle: float | None, deviation: float) -> np.ndarray:
+    """Whether each line is further than `deviation` degrees from the angle."""
+    if angle is None:
+        return np.zeros(line.shape[1], bool)
+    apart = np.abs(np.degrees(np.arctan2(-line[0], line[1])) % 180 - angle) % 180
+    return ~(np.minimum(apart, 180 - apart) <= deviation)
+
+
+def _through(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Lines (a, b, c) through (x, y) and (u, v), not numbers where that is one point."""
+    far = np.hypot(u - x, v - y)
+    far[far < 1e-9] = np.nan
+    a, b = -(v - y) / far, (u - x) / far
+    return np.stack([a, b, -(a * x + b * y)])
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, response: np.ndarray, n: np.ndarray, tolerance: float, iterations: int, angle: float | None, deviation: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The line (a, b, c) of each fit, its inliers (0: it has no line) and their mean response; the n samples of a fit, FEWEST or
+    more, stand one after another, strongest first."""
+    begin, fit = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    near = lambda line: np.abs(line[0][fit] * x + line[1][fit] * y + line[2][fit]) <= tolerance
+    count = lambda taken: np.add.reduceat(taken, begin, dtype=np.int64)
+    total = lambda values, taken: np.bincount(fit, np.where(taken, values, 0.0))  # in the order of the samples
+    votes, seed = np.full(len(n), FEWEST - 1), np.full((3, len(n)), np.nan)
+    for k, (first, second) in enumerate(draws(iterations)):
+        pool = np.minimum(n, np.maximum(FEWEST, np.floor(k / iterations * n).astype(np.int64) + FEWEST))
+        i, j = np.floor(first * pool).astype(np.int64), np.floor(second * pool).astype(np.int64)
+        j = begin + np.where(i == j, (j + 1) % pool, j)
+        line = _through(x[begin + i], y[begin + i], x[j], y[j])
+        line[:, _turned(line, angle, deviation)] = np.nan
+        mine = count(near(line))
+        more = mine > votes
+        votes[more], seed[:, more] = mine[more], line[:, more]
+    taken = near(seed)
+    held = count(taken)
+    mx, my = total(x, taken) / held, total(y, taken) / held
+    dx, dy = x - mx[fit], y - my[fit]
+    sxx, syy, sxy = total(dx * dx, taken), total(dy * dy, taken), total(dx * dy, taken)
+    b = (sxx + syy - np.sqrt((sxx - syy) ** 2 + 4 * sxy * sxy)) / 2 - sxx
+    norm, level = np.hypot(sxy, b), np.where(sxx >= syy, 0.0, 1.0)
+    a, b = np.where(norm < 1e-12, level, sxy / norm), np.where(norm < 1e-12, 1 - level, b / norm)
+    line = np.stack([a, b, -(a * mx + b * my)])
+    line = np.where(_turned(line, angle, deviation), seed, line)
+    taken = near(line)
+    held = count(taken)
+    return line, held, total(response, taken) / held
+
+
+def _begins(keys: list[pa.ChunkedArray]) -> np.ndarray:
+    """Rows from the second on whose keys are not those of the row before."""
+    fresh = np.zeros(len(keys[0]) - 1, bool)
+    for c in keys:
+        other = pc.not_equal(c[1:], c[:-1])
+        if pa.types.is_floating(c.type):
+            other = pc.and_not(other, pc.and_(pc.is_nan(c[1:]), pc.is_nan(c[:-1])))
+        fresh |= other.to_numpy()
+    return np.flatnonzero(fresh) + 1
+
+
+def fits(samples: DataFrame, key: list[str], order: list[str], tolerance: float, **of) -> DataFrame:
+    """key, line (a, b, c), inliers, samples, mean_response: the best supported line of each key's samples (x, y, response)."""
+    return candidates(samples, key, order, tolerance, most=1, **of).drop("pass")
+
+
+def candidates(samples: DataFrame, key: list[str], order: list[str], tolerance: float, most: int = 3, iterations: int = 200, least: float = 1.0, angle: float | None = None, deviation: float = 180.0) -> DataFrame:
+    """The rows of fits(), with pass from 1: each pass leaves out the samples within twice the tolerance of the line before.
+    It ends where nothing, or fewer than FEWEST samples, would be left out or left.
 
     Pairs are drawn from a pool that grows from the strongest samples on; of equally supported pairs the first counts.  A
-    line further than `deviation` degrees from `angle` is no hypothesis.  Keys of fewer than FEWEST samples, or whose best
-    line has fewer, have no row.  order: breaks ties of equal responses."""
-    by = [(-F.col("response")).alias("weak"), *(F.col(c) for c in order), F.col("x"), F.col("y")]
-    packed = samples.where(F.col("response") >= least).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*by))).alias("p")).where(F.size("p") >= FEWEST)
-    n = F.size("p")
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k / iterations).alias("grown")) for k, (a, b) in enumerate(draws(iterations))))
-    tried = packed.select(*key, "p", F.posexplode(pairs).alias("k", "d"))
-    pool = F.least(n, F.greatest(F.lit(FEWEST), F.floor(F.col("d.grown") * n).cast("int") + FEWEST))
-    tried = tried.withColumns({"i": F.floor(F.col("d.a") * pool).cast("int"), "j0": F.floor(F.col("d.b") * pool).cast("int"), "pool": pool})
-    other = F.when(F.col("i") == F.col("j0"), (F.col("j0") + 1) % F.col("pool")).otherwise(F.col("j0"))
-    ends = tried.select(*key, "p", "k", F.get("p", F.col("i")).alias("u"), F.get("p", other).alias("v"))
-    lines = ends.select(*key, "p", "k", pages.line_through(F.col("u.x"), F.col("u.y"), F.col("v.x"), F.col("v.y")).alias("l")).where("l is not null")
-    turned = lambda line: F.lit(False) if angle is None else pages.angle_between(pages.line_angle(line), F.lit(float(angle))) > deviation
-    lines = lines.where(~turned(F.col("l")))
-    near = lambda line, q: F.abs(line["a"] * q["x"] + line["b"] * q["y"] + line["c"]) <= tolerance
-    votes = lines.select(*key, "k", "l", F.explode("p").alias("q")).groupBy(*key, "k").agg(F.count_if(near(F.col("l"), F.col("q"))).alias("n"), F.first("l").alias("l"))
-    best = votes.groupBy(*key).agg(F.max(F.struct("n", (-F.col("k")).alias("back"), "l")).alias("best")).where(F.col("best.n") >= FEWEST)
-    held = packed.join(best.select(*key, F.col("best.l").alias("seed")), key)
-    taken = held.select(*key, "p", "seed", F.explode("p").alias("q")).where(near(F.col("seed"), F.col("q")))
-    again = taken.groupBy(*key).agg(pages.fitted_line(F.col("q.x"), F.col("q.y")).alias("fit"), F.first("seed").alias("seed"), F.first("p").alias("p")).where("fit is not null")
-    final = again.select(*key, F.when(turned(F.col("fit")), F.col("seed")).otherwise(F.col("fit")).alias("line"), F.explode("p").alias("q"))
-    inlier = near(F.col("line"), F.col("q"))
-    out = final.groupBy(*key).agg(F.first("line").alias("line"), F.count_if(inlier).alias("inliers"), F.count("*").alias("samples"), (F.sum(F.when(inlier, -F.col("q.weak"))) / F.count_if(inlier)).alias("mean_response"))
-    return out.where("inliers > 0")
-
-
-def candidates(samples: DataFrame, key: list[str], order: list[str], tolerance: float, most: int = 3, **of) -> DataFrame:
-    """The rows of fits(), with pass from 1: each pass leaves out the samples within twice the tolerance of the line before.
-    It ends where nothing, or fewer than FEWEST samples, would be left out or left."""
-    pool, out = samples, []
-    for k in range(1, most + 1):
-        # dealt by the key once more, a few rows: the passes that read it share that exchange instead of computing it anew
-        fit = fits(pool, key, order, tolerance, **of).repartition(*key)
-        out.append(fit.withColumn("pass", F.lit(k)))
-        if k < most:
-            line, q = F.col("line"), (F.col("x"), F.col("y"))
-            far = pool.join(fit.select(*key, "line"), key).withColumn("_far", F.abs(line["a"] * q[0] + line["b"] * q[1] + line["c"]) > 2 * tolerance)
-            going = far.groupBy(*key).agg(F.count_if("_far").alias("_left"), F.count("*").alias("_all")).where(f"_left >= {FEWEST} and _left < _all").select(*key)
-            pool = far.where("_far").join(going, key, "left_semi").select(*samples.columns)
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-    return whole
+    line further than `deviation` degrees from `angle` is no hypothesis.  Keys of fewer than FEWEST samples of response
+    `least` or more, or whose best line has fewer, have no row.  order: breaks ties of equal responses."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType([samples.schema[k] for k in key] + StructType.fromDDL("line struct<a:double,b:double,c:double>, inliers long, samples long, mean_response double, pass int").fields)
+    arrow = to_arrow_schema(schema)
+
+    def lines_of(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        """part: whole fits, one after another."""
+        first = np.concatenate([[0], _begins([part[k] for k in key])])
+        every = len(first)
+        fit = np.repeat(np.arange(every), np.diff(np.append(first, len(part))))
+        x, y, response, strong, known = (part[c].to_numpy() for c in ("_x", "_y", "_response", "_strong", "_known"))
+        for k in range(1, most + 1):
+            n = np.bincount(fit[strong], minlength=every)
+            at, used = np.flatnonzero(n >= FEWEST), strong & (n >= FEWEST)[fit]
+            if not len(at):
+                return
+            line, inliers, mean = _fitted(x[used], y[used], response[used], n[at], tolerance, iterations, angle, deviation)
+            found = inliers > 0
+            at, line = at[found], line[:, found]
+            made = [part[c].take(pa.array(first[at])) for c in key]
+            made += [pa.StructArray.from_arrays([pa.array(v) for v in line], fields=list(arrow.field("line").type))]
+            made += [pa.array(v) for v in (inliers[found], n[at], mean[found], np.full(len(at), k, np.int32))]
+            yield from pa.table(made, schema=arrow).to_batches()
+            seen = np.full((3, every), np.nan)
+            seen[:, at] = line
+            away = np.abs(seen[0][fit] * x + seen[1][fit] * y + seen[2][fit])
+            has = np.isin(np.arange(every), at)
+            far = has[fit] & known & ~(away <= 2 * tolerance)
+            left = np.bincount(fit[far], minlength=every)
+            keep = far & (has & (left >= FEWEST) & (left < np.bincount(fit, minlength=every)))[fit]
+            fit, x, y, response, strong, known = (v[keep] for v in (fit, x, y, response, strong, known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last fit, which may go on in the next batch
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                before = [held[-1][-1:]] if held else []
+                met = pa.Table.from_batches([*before, batch])
+                begins = _begins([met[k] for k in key]) - len(before)
+                if len(begins):
+                    at = int(begins[-1])
+                    yield from lines_of(pa.Table.from_batches([*held, batch[:at]]))
+                    held = []
+                    batch = batch[at:]
+                held.append(batch)
+            if held:
+                yield from lines_of(pa.Table.from_batches(held))
+
+    rows = samples.select(*dict.fromkeys([*key, *order, "x", "y", "response"]))
+    for k in key:
+        rows = rows.where(F.col(k).isNotNull())
+    rows = rows.repartition(*key).sortWithinPartitions(*key, F.desc("response"), *(F.asc_nulls_last(c) for c in (*order, "x", "y")))
+    real = [F.col(c).cast("double").alias(f"_{c}") for c in ("x", "y", "response")]
+    strong, known = F.coalesce(F.col("response") >= least, F.lit(False)), F.col("x").isNotNull() & F.col("y").isNotNull()
+    return rows.select(*key, *real, strong.alias("_strong"), known.alias("_known")).mapInArrow(run, schema)
