@@ -3,13 +3,14 @@
 import math
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vellumetry.functions import boxes, colour, pages
-from vellumetry.operators import lines, regions, typeset
+from vellumetry.operators import lines, regions, shapes, typeset
 from vellumetry.plans import marks
 
 # ---- steps and lines
@@ -286,6 +287,64 @@ def test_near_groups_match_plain_loops(spark):
     assert {r.id: (r.group, r.x, r.y, pytest.approx(r.w), pytest.approx(r.h)) for r in got if r.page == 1} == want and len(got) == len(rows) + 1
 
 
+def random_boxes(spark, pages: int, boxes: int, side: float):
+    rng = np.random.default_rng(12)
+    page, k = np.divmod(np.arange(pages * boxes), boxes)
+    x, y, w, h = rng.uniform(0, side, len(k)), rng.uniform(0, side, len(k)), rng.uniform(1, 12, len(k)), rng.uniform(1, 12, len(k))
+    twice = np.flatnonzero(k % 50 == 49)  # boxes of one id that are apart
+    x[twice], y[twice], k[twice] = x[twice - 1] + 20, y[twice - 1], k[twice - 1]
+    rows = zip(*(c.tolist() for c in (page, k, x, y, w, h)), strict=True)
+    return spark.createDataFrame(list(rows) + [(0, 10**6, None, 3.0, 1.0, 1.0), (0, 10**6 + 1, 5.0, 5.0, None, 2.0), (0, None, 1.0, 1.0, 1.0, 1.0), (None, 3, 1.0, 1.0, 1.0, 1.0)], BOXES)
+
+
+def test_groups_of_large_sets_are_those_of_small_ones(spark):
+    df = random_boxes(spark, 3, 700, 900.0).repartition(5).localCheckpoint()
+    rows = lambda most: sorted((r.page, r.id, r.group, *(c and round(c, 6) for c in r[3:])) for r in regions.near_groups(df, "page", 3.0, 2.0, most).select("page", "id", "group", *"xywh").where("x is not null and w is not null").collect())
+    small = rows(10**6)
+    assert len(small) == 2100 and 300 < len({r[:3:2] for r in small}) < 2000
+    assert small == rows(100)
+    lone = {r.id: (r.group, r.x, r.w) for r in regions.near_groups(df, "page", 3.0, 2.0).where("id >= 1000000").collect()}
+    assert lone == {10**6: (10**6, None, None), 10**6 + 1: (10**6 + 1, 5.0, None)}
+
+
+def test_groups_by_blocks_of_pairs_match_plain_loops(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(shapes, "BLOCK", 40)
+    sets, rows = np.repeat(np.arange(6), 50), rng.uniform(0, 110, (300, 2)).round()
+    sizes = rng.integers(1, 8, (300, 2))
+    group, box = shapes.near_joined(sets, np.concatenate([rows, rows + sizes], 1).T.copy(), 3.0, 2.0)
+    for k in range(6):
+        at = np.flatnonzero(sets == k)
+        want = plain_groups([(int(i), *rows[i].tolist(), *sizes[i].tolist()) for i in at], 3, 2)
+        names = {g: int(at[group[at] == g].min()) for g in set(group[at].tolist())}
+        assert {int(i): (names[group[i]], *box[:2, group[i]], *(box[2:, group[i]] - box[:2, group[i]])) for i in at} == want
+
+
+def test_groups_of_bounded_sets_are_not_written_in_rounds(spark):
+    from vellumetry.sources.settled import settled
+
+    df = random_boxes(spark, 40, 500, 400.0).localCheckpoint()
+    settled(df.limit(1))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = held()
+    found = regions.near_groups(df, "page", 6.0, 4.0)
+    assert found.count() == 20_002
+    assert held() - before < 20_000  # 20,002 boxes have 960 kB
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+
+
+def test_rounds_of_large_sets_delete_what_they_have_read(spark):
+    from vellumetry.sources.settled import settled
+
+    df = random_boxes(spark, 2, 2000, 900.0).localCheckpoint()
+    settled(df.limit(1))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    assert regions.near_groups(df, "page", 6.0, 4.0, 500).count() == 4002
+    assert len({p.name for p in folder.iterdir()} - before) <= 4  # the large sets, members, joint boxes and the last, empty links
+
+
 def test_near_pairs_of_many_boxes(spark):
     rng = np.random.default_rng(4)
     n = 10_000

@@ -1,18 +1,24 @@
 """Regions of a page: boxes that lie inside or near others, the best of many overlapping boxes, and what paper looks like.
 
 Boxes are rows (set key, id, x, y, w, h).  Boxes meet in cells of a grid: a pair counts in one cell only, that of the greater of
-their left ends and of their upper ends, so no pair is met twice and no set is held whole.
+their left ends and of their upper ends, so no pair is met twice.  No set of more than MOST_HELD boxes is held whole.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from vellumetry.functions import boxes as box
 from vellumetry.functions.boxes import round_half_up
-from vellumetry.sources.settled import settled
+from vellumetry.operators import shapes
+from vellumetry.sources.settled import settled, unsettled
 
+#: Boxes of a set that a task holds at once.
+MOST_HELD = 16_384
 #: Overlap from which a later box is a repetition, and how many boxes are kept.  Fixed values.
 REPEATED, MOST_KEPT = 0.75, 6
 #: Paper of a scan that shows too little of it, and what its figures are at least.  Fixed values.
@@ -56,29 +62,60 @@ def within(boxes: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     return corner.join(dealt, [key, "r", "c"]).where("x >= _x and y >= _y and x + w <= _right and y + h <= _bottom").select(key, "id", "region")
 
 
-def near_groups(boxes: DataFrame, key: str, gap_x: float, gap_y: float) -> DataFrame:
+def near_groups(boxes: DataFrame, key: str, gap_x: float, gap_y: float, most: int = MOST_HELD) -> DataFrame:
     """key, id, group, and the group's joint box (x, y, w, h): boxes within the gaps of each other are one, again and again, as
     a joint box may come near to what neither part was near to.  A group's name is its smallest id.
 
+    Sets of up to `most` boxes are shuffled once and joined each in its task.  Of larger ones, found by counting, no task holds
+    one whole: see _near_groups_of_large."""
+    boxes = boxes.select(key, "id", *(F.col(c).cast("double").alias(c) for c in "xywh")).where(F.col(key).isNotNull() & F.col("id").isNotNull())
+    schema = StructType([boxes.schema[key], boxes.schema["id"], StructField("group", boxes.schema["id"].dataType), *(boxes.schema[c] for c in "xywh")])
+    arrow = to_arrow_schema(schema)
+    rows_of = lambda part: iter(shapes.near_group_rows(part, key, gap_x, gap_y, arrow).to_batches())
+    large = settled(boxes.groupBy(key).count().where(F.col("count") > most).select(key))
+    n = large.count()
+    if not n:
+        return shapes.over_sets(boxes, key, ["id", *"xywh"], rows_of, schema)
+    among = F.broadcast(large) if n <= 1_000_000 else large
+    held = shapes.over_sets(boxes.join(among, key, "left_anti"), key, ["id", *"xywh"], rows_of, schema)
+    return held.union(_near_groups_of_large(boxes.join(among, key, "left_semi"), key, gap_x, gap_y, rows_of, schema))
+
+
+def _near_groups_of_large(boxes: DataFrame, key: str, gap_x: float, gap_y: float, rows_of, schema: StructType) -> DataFrame:
+    """near_groups() of sets too large for a task.  Boxes are dealt out by set and place, and each batch joins its own, which can't
+    join too much; the joint boxes go on.
+
     Each round joins near joint boxes and hands every one the least name that it touches; names are followed to their
-    end within the round.  It ends when no two joint boxes are near."""
-    member = settled(boxes.select(key, "id", F.col("id").alias("group"), "x", "y", "w", "h"))
+    end within the round.  It ends when no two joint boxes are near.  What a round no longer reads is deleted."""
+    right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+    bounds = (F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (bottom - F.min("y")).alias("h"))
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                yield from rows_of(pa.Table.from_batches([batch]))
+
+    dealt = boxes.groupBy(key, "id").agg(*bounds).repartitionByRange(key, "x", "y").sortWithinPartitions(key, "x", "y")
+    member = settled(dealt.mapInArrow(run, schema))
     while True:
-        right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
-        joint = member.groupBy(key, F.col("group").alias("id")).agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (bottom - F.min("y")).alias("h"))
-        joint = settled(joint)
-        low = near_pairs(joint, key, gap_x, gap_y).groupBy(key, F.col("b").alias("group")).agg(F.min("a").alias("to"))
-        low = settled(low)
+        joint = settled(member.groupBy(key, F.col("group").alias("id")).agg(*bounds))
+        low = settled(near_pairs(joint, key, gap_x, gap_y).groupBy(key, F.col("b").alias("group")).agg(F.min("a").alias("to")))
         if low.isEmpty():
             whole = joint.select(key, F.col("id").alias("group"), "x", "y", "w", "h")
-            return member.select(key, "id", "group").join(whole, [key, "group"]).select(key, "id", "group", "x", "y", "w", "h")
+            named = member.select(key, "id", "group").join(whole, [key, "group"])
+            return boxes.select(key, "id").join(named, [key, "id"]).select(key, "id", "group", "x", "y", "w", "h")
+        unsettled(joint)
+        held = low
         while True:  # names of names
             step = low.join(low.select(key, F.col("group").alias("to"), F.col("to").alias("_next")), [key, "to"], "left")
             step = settled(step.select(key, "group", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("_moved")))
-            low = step.drop("_moved")
+            unsettled(held)
+            low, held = step.drop("_moved"), step
             if step.where("_moved").isEmpty():
                 break
-        member = settled(member.join(low, [key, "group"], "left").select(key, "id", F.coalesce("to", "group").alias("group"), "x", "y", "w", "h"))
+        new = settled(member.join(low, [key, "group"], "left").select(key, "id", F.coalesce("to", "group").alias("group"), "x", "y", "w", "h"))
+        unsettled(member, held)
+        member = new
 
 
 def best_apart(candidates: DataFrame, key: str, order: list[str], most: int = MOST_KEPT, overlap: float = REPEATED) -> DataFrame:
